@@ -23,6 +23,8 @@ _SIMPLE = {
     "fx_catalog": i.CATALOG,
     "fx_catalog_systems": i.CATALOG_SYSTEMS,
     "fx_wanted": i.WANTED_ENTITIES,
+    "fx_run_catalog": i.RUN_CATALOG,
+    "fx_run_systems": i.RUN_SYSTEMS,
     "fx_constraints": i.CONSTRAINTS,
     "fx_key_columns": i.KEY_COLUMNS,
     "fx_referenced": i.REFERENCED_COLUMNS,
@@ -158,7 +160,8 @@ _DERIVED = {
     "fx_compared": (_COMPARED, ["fx_pairs", "fx_fields", "fx_compatible"]),
 }
 
-_NEEDS = {"fx_constraints": ["fx_catalog"], "fx_key_columns": ["fx_catalog"], "fx_referenced": ["fx_catalog"], "fx_columns": ["fx_catalog"]}
+_FROM_CATALOG = ["fx_constraints", "fx_key_columns", "fx_referenced", "fx_columns", "fx_run_catalog", "fx_run_systems"]
+_NEEDS = {name: ["fx_catalog"] for name in _FROM_CATALOG}
 
 
 def with_inputs(names: str, body: str) -> str:

@@ -1,6 +1,6 @@
 """Gaps, scores and remediation per run."""
 
-from oracles.fragments import with_inputs
+from oracles.fragments import type_score, with_inputs
 
 O = ORACLES = {}
 
@@ -243,6 +243,51 @@ SELECT run_id, concat_ws(' ',
 FROM z
 """,
 )
+_RUN = "CAST(floor(CAST(substring(entity, 8) AS BIGINT) / 20) AS BIGINT)"
+_KEY_SETS = """
+SELECT entity, source_system, target_system, list_sort(list(DISTINCT source_field) FILTER (WHERE lower(source_field) LIKE '%id%')) AS ss,
+       list_sort(list(DISTINCT target_field) FILTER (WHERE lower(target_field) LIKE '%id%')) AS ts
+FROM fx_compared WHERE target_field IS NOT NULL GROUP BY ALL
+"""
+O["assessment"] = with_inputs(
+    "fx_run_systems fx_compared",
+    f"""
+WITH f AS (
+  SELECT {_RUN} AS run_id, count(*) FILTER (WHERE target_field IS NULL) AS high, count(*) FILTER (WHERE mismatch) AS medium FROM fx_compared GROUP BY 1),
+k AS (SELECT {_RUN} AS run_id, count(*) AS critical FROM ({_KEY_SETS}) WHERE len(ss) > 0 AND len(ts) > 0 AND ss <> ts GROUP BY 1),
+s AS (SELECT run_id, count(*) AS n, bool_or(type = 'ERP') AND bool_or(type = 'CRM') AS both_kinds FROM fx_run_systems GROUP BY run_id),
+t AS (SELECT s.run_id, n, both_kinds, coalesce(high, 0) AS fh, coalesce(critical, 0) AS fc, coalesce(high, 0) + coalesce(medium, 0) + coalesce(critical, 0) AS fn
+      FROM s LEFT JOIN f ON f.run_id = s.run_id LEFT JOIN k ON k.run_id = s.run_id),
+g AS (SELECT *, (n > 4)::INT + (fn > 3)::INT + (fc > 0)::INT AS gb, (fc > 0)::INT AS gc, (n > 2)::INT + (fn > 3)::INT + 1 + both_kinds::INT AS gn,
+             (n > 2)::INT * 20 + (fn > 3)::INT * 40 + 30 + both_kinds::INT * 10 AS gd FROM t),
+x AS (SELECT *, greatest(0, 100 - fc * 15 - fh * 8 - fn * 2) AS schema_score, greatest(0, 100 - gb * 25 - gc * 15 - gn * 5) AS middleware_score FROM g),
+o AS (SELECT *, schema_score * 0.30::DOUBLE + 100 * 0.25::DOUBLE + middleware_score * 0.20::DOUBLE + 100 * 0.15::DOUBLE + 100 * 0.10::DOUBLE AS overall FROM x),
+r AS (SELECT run_id, schema_score, CAST(100 AS BIGINT) AS pipeline_score, CAST(middleware_score AS BIGINT) AS middleware_score, CAST(100 AS BIGINT) AS data_quality_score,
+             CAST(100 AS BIGINT) AS security_score, CAST(printf('%.1f', overall) AS DOUBLE) AS overall_score,
+             CASE WHEN gb >= 2 THEN 'NOT_READY' WHEN gb = 1 THEN 'NOT_YET' WHEN overall >= 80 THEN 'GO' WHEN overall >= 50 THEN 'NOT_YET' ELSE 'NOT_READY' END AS verdict,
+             CAST(gb AS BIGINT) AS blocking_issues, fc + gc AS critical_issues, fn + gn AS total_issues, (gd + fc * 7 + fh * 3) / 5::DOUBLE AS remediation_weeks FROM o)
+SELECT *, CASE WHEN overall_score >= 80 THEN 'green' WHEN overall_score >= 50 THEN 'yellow' ELSE 'red' END AS color FROM r
+""",
+)
+O["assessment_exact"] = with_inputs(
+    "fx_catalog fx_run_systems fx_type_groups",
+    f"""
+WITH found AS (
+  SELECT {_RUN.replace("entity", "s.entity")} AS run_id, CASE WHEN s.pk THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+  FROM fx_catalog s JOIN (SELECT DISTINCT entity, system FROM fx_catalog) o ON o.entity = s.entity AND o.system <> s.system
+  WHERE NOT EXISTS (SELECT 1 FROM fx_catalog t WHERE t.entity = s.entity AND t.system = o.system AND t.field = s.field)
+  UNION ALL
+  SELECT {_RUN.replace("entity", "s.entity")}, 'HIGH' FROM fx_catalog s JOIN fx_catalog t ON t.entity = s.entity AND t.field = s.field AND s.system_ord < t.system_ord
+  WHERE s.type <> '' AND t.type <> '' AND {type_score("s.type", "t.type")} < 0.9::DOUBLE),
+c AS (SELECT run_id, count(*) FILTER (WHERE severity = 'HIGH') AS h, count(*) FILTER (WHERE severity = 'MEDIUM') AS m FROM found GROUP BY run_id),
+z AS (SELECT r.run_id, coalesce(h, 0) AS h, coalesce(m, 0) AS m FROM (SELECT DISTINCT run_id FROM fx_run_systems) r LEFT JOIN c ON c.run_id = r.run_id),
+sc AS (SELECT *, greatest(0::DOUBLE, least(100::DOUBLE, 100::DOUBLE - (h * 10 + m * 5) * 0.30::DOUBLE)) AS readiness_score FROM z)
+SELECT run_id, readiness_score, CASE WHEN readiness_score >= 80 THEN 'GO' WHEN readiness_score >= 50 THEN 'NOT_YET' ELSE 'NOT_READY' END AS verdict,
+       h + m AS item_count, CAST(floor((h * 5 + m * 1) * 0.70::DOUBLE) AS BIGINT) AS min_days,
+       CASE WHEN h + m = 0 THEN 1 ELSE CAST(floor((h * 21 + m * 5) * 0.70::DOUBLE) AS BIGINT) END AS max_days
+FROM sc
+""",
+)
 O["top_issues"] = with_inputs(
     "fx_findings fx_gaps",
     """

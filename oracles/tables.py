@@ -53,12 +53,12 @@ O["catalog_from_describe"] = with_inputs(
 WITH sized AS (SELECT *, count(*) OVER (PARTITION BY system, entity) AS n,
                       row_number() OVER (PARTITION BY system, entity ORDER BY field_ord) - 1 AS pos FROM fx_catalog)
 SELECT system, system_ord, entity, field, CAST(pos AS INTEGER) AS field_ord, CASE WHEN pk THEN 'id' ELSE type END AS type,
-       CASE WHEN field_ord = 3 THEN true ELSE nullable END AS nullable, pk,
+       CAST(CASE WHEN field_ord = 3 THEN true ELSE nullable END AS VARCHAR) AS nullable, CAST(pk AS VARCHAR) AS pk,
        CASE WHEN field_ord = 6 THEN 'Account.Id' END AS fk_to
 FROM sized WHERE n > 2
 UNION ALL
-SELECT DISTINCT system, system_ord, entity, CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN),
-       CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR)
+SELECT DISTINCT system, system_ord, entity, CAST(NULL AS VARCHAR), -1, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
 FROM sized WHERE n = 2
 """,
 )
@@ -297,6 +297,23 @@ O["req_bottlenecks"] = with_inputs(
     "fx_bottlenecks",
     "SELECT run_id, system_name, bottleneck_type, severity, observed_value, threshold_value, unit FROM fx_bottlenecks",
 )
+O["breaking_points"] = with_inputs(
+    "fx_requests",
+    f"""
+WITH phased AS (SELECT *, CAST(floor((start_us - 1704067200000000) / 604800000000::DOUBLE) AS BIGINT) AS phase FROM fx_requests),
+m AS ({metrics_sql("phased", "system_name, phase")}),
+b AS (SELECT *, first_value(p95_ms) OVER (PARTITION BY system_name ORDER BY phase) AS baseline_p95_ms FROM m)
+SELECT system_name, baseline_p95_ms, min(CASE WHEN p95_ms > 3 * baseline_p95_ms OR error_rate_pct > 5 THEN phase END) AS breaking_phase,
+       arg_max(actual_qps, phase) FILTER (WHERE p95_ms < 3 * baseline_p95_ms) AS max_safe_qps
+FROM b GROUP BY system_name, baseline_p95_ms
+""",
+)
+O["audit_operations"] = with_inputs(
+    "fx_requests", "SELECT run_id, system_name, count(*) AS operation_count FROM fx_requests GROUP BY run_id, system_name"
+)
+O["findings_at_least"] = with_inputs(
+    "fx_findings", "SELECT run_id, input_ord, severity, kind FROM fx_findings WHERE severity IN ('CRITICAL', 'HIGH')"
+)
 O["connection_summary"] = with_inputs(
     "fx_systems fx_existing",
     """
@@ -309,13 +326,15 @@ LEFT JOIN (SELECT run_id, count(*) AS table_count FROM fx_existing GROUP BY run_
 
 # --- run tables ------------------------------------------------------------------------
 
+_TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+_CHANGE = f"SELECT * REPLACE ({_TIME.format('changed_at')}) FROM "
 _LATEST = """
 WITH latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY changed_at DESC, version_ord DESC) AS rn
                 FROM fx_changes) WHERE rn = 1)
 """
-O["upsert_latest"] = with_inputs("fx_changes", _LATEST + "SELECT * FROM latest")
-O["run_by_id"] = with_inputs("fx_changes", "SELECT * FROM fx_changes WHERE run_id = 7")
-O["runs_newest"] = with_inputs("fx_changes", "SELECT * FROM fx_changes ORDER BY changed_at DESC, version_ord DESC")
+O["upsert_latest"] = with_inputs("fx_changes", _LATEST + _CHANGE + "latest")
+O["run_by_id"] = with_inputs("fx_changes", _CHANGE + "fx_changes WHERE run_id = 7")
+O["runs_newest"] = with_inputs("fx_changes", _CHANGE + "fx_changes ORDER BY fx_changes.changed_at DESC, version_ord DESC")
 O["connections_of_run"] = with_inputs("fx_systems", "SELECT * FROM fx_systems WHERE run_id = 7 ORDER BY name")
 _CHILDREN = {
     "schema_findings": "fx_findings",
@@ -337,15 +356,15 @@ WITH ordered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY chang
                         row_number() OVER (PARTITION BY run_id, status = 'failed' ORDER BY changed_at DESC, version_ord DESC) AS rk FROM fx_changes)
 SELECT run_id, max(CASE WHEN rn = 1 THEN status END) AS status,
        max(CASE WHEN rk = 1 AND status = 'running' THEN 0 WHEN rk = 1 AND status = 'completed' THEN 100 END)::DOUBLE AS progress_pct,
-       min(CASE WHEN status = 'running' THEN changed_at END) AS started_at,
-       max(CASE WHEN status IN ('completed', 'failed') THEN changed_at END) AS completed_at,
+       strftime(min(CASE WHEN status = 'running' THEN changed_at END), '%Y-%m-%d %H:%M:%S') AS started_at,
+       strftime(max(CASE WHEN status IN ('completed', 'failed') THEN changed_at END), '%Y-%m-%d %H:%M:%S') AS completed_at,
        max(CASE WHEN rk = 1 AND status = 'failed' THEN error_message END) AS error_message
 FROM ordered GROUP BY run_id
 """
 O["run_progress"] = with_inputs("fx_changes", _STATE)
 O["progress_ttl"] = with_inputs(
     "fx_changes",
-    _LATEST + "SELECT * FROM latest WHERE changed_at > (SELECT max(changed_at) FROM fx_changes) - INTERVAL 30 DAY",
+    _LATEST + _CHANGE + "latest WHERE latest.changed_at > (SELECT max(changed_at) FROM fx_changes) - INTERVAL 30 DAY",
 )
 O["runs_by_status"] = with_inputs("fx_changes", _LATEST + "SELECT status, count(*) AS run_count FROM latest GROUP BY status")
 

@@ -33,14 +33,30 @@ def within_length_ratio(a: Column, b: Column) -> Column:
     return (F.least(la, lb) > 0) & (F.greatest(la, lb) <= F.least(la, lb) * 3)
 
 
-def shared_characters(a: Column, b: Column) -> Column:
-    """Size of the overlap of the two character multisets."""
-    def common(total: Column, ch: Column) -> Column:
-        in_a = F.length(a) - F.length(F.replace(a, ch, F.lit("")))
-        in_b = F.length(b) - F.length(F.replace(b, ch, F.lit("")))
-        return total + F.least(in_a, in_b)
+def character_mask(name: Column) -> Column:
+    """64-bit mask of a normalised name's characters, repeats marked apart.
 
-    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), common)
+    First occurrences of a-z, 0-9 and ``_`` have bits 0-36 of their own; further
+    occurrences share the bits above.
+    """
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789_"
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+
+    def bit(ch: Column, at: Column) -> Column:
+        occurrence = F.size(F.filter(F.slice(chars, 1, at + 1), lambda c: c == ch))
+        first = F.instr(F.lit(alphabet), ch) - 1
+        repeat = F.lit(37) + F.pmod(F.xxhash64(ch, occurrence), F.lit(27))
+        place = F.when(occurrence == 1, first).otherwise(repeat).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+    return F.aggregate(F.transform(chars, bit), F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(c))
+
+
+def most_shared(mask_a: Column, length_a: Column, mask_b: Column, length_b: Column) -> Column:
+    """Upper bound of the number of characters two names share, from their masks."""
+    only_a = F.bit_count(mask_a.bitwiseAND(F.bitwise_not(mask_b)))
+    only_b = F.bit_count(mask_b.bitwiseAND(F.bitwise_not(mask_a)))
+    return F.least(length_a - only_a, length_b - only_b)
 
 
 def matching_ratio(source: Column, target: Column) -> Column:
@@ -55,15 +71,18 @@ def matching_ratio(source: Column, target: Column) -> Column:
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        scores = pd.Series(0.0, index=a.index)
+        sources, targets = a.tolist(), b.tolist()
+        scores = [0.0] * len(sources)
         matcher = SequenceMatcher(None, "", "", autojunk=False)
-        # The matcher keeps an index of its second text, so visit equal targets together.
-        for target_name, rows in a.groupby(b, sort=False):
-            matcher.set_seq2(target_name)
-            for row, source_name in rows.items():
-                matcher.set_seq1(source_name)
-                scores[row] = matcher.ratio()
-        return scores
+        current = None
+        # The matcher indexes its second text, so visit equal targets one after another.
+        for row in sorted(range(len(targets)), key=targets.__getitem__):
+            if targets[row] != current:
+                current = targets[row]
+                matcher.set_seq2(current)
+            matcher.set_seq1(sources[row])
+            scores[row] = matcher.ratio()
+        return pd.Series(scores, index=a.index)
 
     return ratio(source, target)
 

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.grades import pattern_description
+from plumbline.functions.grades import pattern_description, severity_rank
 
 # Statements that must not run.
 WRITE_KEYWORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "EXEC", "EXECUTE"]
@@ -56,6 +56,15 @@ def critical_counts(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame
     )
 
 
+def at_least(findings: DataFrame, floor: str, order: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Extension: findings of at least the given severity, most severe first."""
+    rank = severity_rank(F.col("severity"))
+    listed = findings.filter(rank <= severity_rank(F.lit(floor))).orderBy(rank, *order)
+    if offset:
+        listed = listed.offset(offset)
+    return listed if limit is None else listed.limit(limit)
+
+
 def validate_scenarios(scenarios: DataFrame) -> DataFrame:
     """Adds ``failed_rules``, the settings out of range, and ``valid``. Null settings pass."""
     failed = F.array_compact(

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1 << 20
+# Width for positions that are 64-bit hashes: 4096 buckets of equal share.
+HASH_BUCKET = 1 << 52
 
 
 def number_rows(

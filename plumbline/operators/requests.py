@@ -167,6 +167,27 @@ def bottlenecks(
     )
 
 
+def breaking_points(metrics: DataFrame, by: list[str] = KEYS, phase: str = "phase", factor: float = 3.0) -> DataFrame:
+    """Extension: the first load phase that breaks each group, and its highest safe rate.
+
+    ``metrics`` has one row per group and phase. A phase breaks when its p95 is above
+    ``factor`` times that of the first phase or more than 5 % of its requests failed;
+    the safe rate is that of the last phase with a p95 below the limit.
+    """
+    baseline = metrics.groupBy(*by).agg(F.min_by("p95_ms", phase).alias("baseline_p95_ms"))
+    limit = F.col("baseline_p95_ms") * F.lit(factor)
+    broken = (F.col("p95_ms") > limit) | (F.col("error_rate_pct") > 5)
+    safe = F.col("p95_ms") < limit
+    return (
+        metrics.join(baseline, by)
+        .groupBy(*by, "baseline_p95_ms")
+        .agg(
+            F.min(F.when(broken, F.col(phase))).alias("breaking_phase"),
+            F.max_by(F.when(safe, F.col("actual_qps")), F.when(safe, F.col(phase))).alias("max_safe_qps"),
+        )
+    )
+
+
 def connection_summary(
     connections: DataFrame, tables: DataFrame | None = None, by: str = "run_id", name: str = "name"
 ) -> DataFrame:

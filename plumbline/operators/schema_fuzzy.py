@@ -5,6 +5,8 @@ Input is a field catalog: one row per field with ``system``, ``system_ord``, ``e
 name; a row with a null field says that the system has the entity without fields.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,15 +79,21 @@ def _target_names(fields: DataFrame) -> DataFrame:
     )
 
 
-def compare_fields(catalog: DataFrame, threshold: float | None = THRESHOLD) -> DataFrame:
+def compare_fields(
+    catalog: DataFrame,
+    threshold: float | None = THRESHOLD,
+    store: Callable[[DataFrame, str], DataFrame] | None = None,
+) -> DataFrame:
     """Best target field of every source field, per entity and pair of systems.
 
     Equal normalised names match whatever the threshold; the other fields take the
     target with the highest ratio >= ``threshold``, the earliest one on ties. Targets
     may serve several sources. Unmatched source fields have a null ``target_field``.
-    ``threshold=None`` matches equal names only.
+    ``threshold=None`` matches equal names only. ``store`` (such as ``folders.stored``)
+    writes intermediate results that are used several times.
     """
-    fields = unique_fields(catalog).withColumn("norm", normalize_field_name(F.col("field")))
+    store = store or (lambda df, label: df)
+    fields = store(unique_fields(catalog).withColumn("norm", normalize_field_name(F.col("field"))), "fields")
     sources = _source_fields(catalog, fields)
     targets = _target_names(fields)
     equal = targets.withColumnRenamed("target_norm", "source_norm")
@@ -93,7 +101,8 @@ def compare_fields(catalog: DataFrame, threshold: float | None = THRESHOLD) -> D
         "score", F.when(F.col("target").isNotNull(), F.lit(1.0))
     )
     if threshold is not None:
-        compared = _add_similar(compared, targets, threshold)
+        compared = store(compared, "equal_names")
+        compared = _add_similar(compared, targets, threshold, store)
     matched = F.col("target").isNotNull()
     return compared.select(
         *PAIR,
@@ -114,13 +123,16 @@ def compare_fields(catalog: DataFrame, threshold: float | None = THRESHOLD) -> D
     )
 
 
-def _add_similar(compared: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
+def _add_similar(compared: DataFrame, targets: DataFrame, threshold: float, store: Callable) -> DataFrame:
     unmatched = compared.filter(F.col("target").isNull())
-    pairs = candidate_pairs(
-        unmatched.select("entity", "source_norm").distinct(),
-        targets.select("entity", "target_norm").distinct(),
-        threshold,
-        ["entity"],
+    pairs = store(
+        candidate_pairs(
+            unmatched.select("entity", "source_norm").distinct(),
+            targets.select("entity", "target_norm").distinct(),
+            threshold,
+            ["entity"],
+        ),
+        "name_pairs",
     )
     similar = pairs.join(score_pairs(pairs, threshold), ["source_norm", "target_norm"])
     rank = F.struct(F.col("score"), -F.col("target.field_ord"))

@@ -7,7 +7,9 @@ The SQL is plain enough for Spark and for the engine that checks the results; a
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.grades import pattern_description, pattern_max_days, pattern_min_days
 from plumbline.operators.requests import KEYS, bottlenecks, normalise_outcomes, request_metrics
+from plumbline.sources.folders import stored
 
 TABLE_NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -131,6 +133,18 @@ WANTED_ENTITIES = """
 SELECT concat('entity_', CAST(p_partkey AS STRING)) AS entity FROM {part} WHERE p_size > 20
 """
 
+# The same catalog as twenty entities per run, and the systems each run connects.
+RUN_CATALOG = """
+SELECT CAST(floor(CAST(substring(entity, 8) AS BIGINT) / 20) AS BIGINT) AS run_id, system, system_ord, entity, field, field_ord, type, nullable, pk
+FROM {catalog}
+"""
+
+RUN_SYSTEMS = """
+SELECT DISTINCT run_id, system AS name,
+       CASE system_ord WHEN 0 THEN 'ERP' WHEN 1 THEN 'CRM' WHEN 2 THEN 'DATA_WAREHOUSE' ELSE 'DATABASE' END AS type
+FROM (SELECT CAST(floor(CAST(substring(entity, 8) AS BIGINT) / 20) AS BIGINT) AS run_id, system, system_ord FROM {catalog}) c
+"""
+
 # Constraint views of a relational source with one schema per system of the catalog.
 CONSTRAINTS = """
 SELECT CASE WHEN pk THEN concat('pk_', entity) ELSE concat('fk_', entity, '_', CAST(field_ord AS STRING)) END AS constraint_name,
@@ -187,10 +201,15 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {name: table(spark, sf_dir, name) for name in TABLE_NAMES if "{" + name + "}" in sql}
     if "{catalog}" in sql:
-        used["catalog"] = derive(spark, sf_dir, CATALOG)
+        used["catalog"] = catalog(spark, sf_dir)
     return spark.sql(sql, **used)
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived field catalog, written once because the comparisons read it several times."""
+    return stored(derive(spark, sf_dir, CATALOG), "catalog")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_outcomes(derive(spark, sf_dir, RAW_REQUESTS))
 
@@ -207,8 +226,6 @@ def pipeline_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps with the effort and solution of their pattern."""
-    from plumbline.functions.grades import pattern_description, pattern_max_days, pattern_min_days
-
     kind = F.col("gap_type")
     return (
         derive(spark, sf_dir, GAP_ROWS)
@@ -234,7 +251,7 @@ def describe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     n = F.count(F.lit(1))
     return (
-        derive(spark, sf_dir, CATALOG)
+        catalog(spark, sf_dir)
         .groupBy("system", "system_ord", "entity")
         .agg(F.array_sort(F.collect_list(field)).alias("all_fields"), n.alias("n"))
         .select(

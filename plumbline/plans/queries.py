@@ -21,9 +21,10 @@ from plumbline.operators import (
 from plumbline.operators import requests as req
 from plumbline.operators.similar_names import candidate_pairs, score_pairs
 from plumbline.plans import inputs as i
+from plumbline.plans.assessment import assess, assess_exact
 from plumbline.sources import catalog as cat
 from plumbline.sources import reads, results
-from plumbline.sources.folders import working_folder
+from plumbline.sources.folders import stored, working_folder
 from plumbline.streaming import events as stream_events
 from plumbline.streaming.tables import append_available, parquet_stream, update_available
 
@@ -41,6 +42,14 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+def _time_text(name):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+def _with_time_text(df, *names):
+    return df.withColumns({name: _time_text(name) for name in names})
+
+
 # --- sources and sinks ---------------------------------------------------------------
 
 
@@ -77,7 +86,11 @@ def catalog_upper(spark, d):
 
 @query
 def catalog_from_describe(spark, d):
-    return cat.catalog_from_describe(cat.parse_describe(i.describe_documents(spark, d)))
+    catalog = cat.catalog_from_describe(cat.parse_describe(i.describe_documents(spark, d)))
+    return catalog.select(
+        "system", "system_ord", "entity", "field", F.coalesce("field_ord", F.lit(-1)).alias("field_ord"), "type",
+        F.col("nullable").cast("string").alias("nullable"), F.col("pk").cast("string").alias("pk"), "fk_to",
+    )
 
 
 @query
@@ -159,7 +172,7 @@ def active_catalog(spark, d):
 
 @query
 def entities_requested(spark, d):
-    wanted = predicates.requested_entities(i.derive(spark, d, i.CATALOG), i.derive(spark, d, i.WANTED_ENTITIES))
+    wanted = predicates.requested_entities(i.catalog(spark, d), i.derive(spark, d, i.WANTED_ENTITIES))
     return wanted.select("system", "entity", "field", "type")
 
 
@@ -168,6 +181,12 @@ def critical_counts(spark, d):
     return predicates.critical_counts(i.derive(spark, d, i.FINDINGS), i.pipeline_bottlenecks(spark, d), i.gap_rows(spark, d))
 
 
+@query
+def findings_at_least(spark, d):
+    listed = predicates.at_least(i.derive(spark, d, i.FINDINGS), "HIGH", ["input_ord"])
+    return listed.select("run_id", "input_ord", "severity", "kind")
+
+
 @query
 def scenario_validate(spark, d):
     checked = predicates.validate_scenarios(i.derive(spark, d, i.SCENARIOS))
@@ -211,7 +230,7 @@ def load_plan(spark, d):
 
 @query
 def normalize_names(spark, d):
-    fields = i.derive(spark, d, i.CATALOG).select("field").distinct()
+    fields = i.catalog(spark, d).select("field").distinct()
     words = i.table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("field")).distinct()
     names = fields.union(words).distinct()
     return names.select("field", normalize_field_name(F.col("field")).alias("norm"))
@@ -219,13 +238,13 @@ def normalize_names(spark, d):
 
 @query
 def type_bases(spark, d):
-    types = i.derive(spark, d, i.CATALOG).groupBy("type").agg(F.count(F.lit(1)).alias("fields"))
+    types = i.catalog(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("fields"))
     return types.select("type", type_base(F.col("type")).alias("base"), "fields")
 
 
 def _type_pairs(spark, d):
     """Every pair of types that two systems declare for the same field position."""
-    fields = i.derive(spark, d, i.CATALOG).select("entity", "field_ord", "type", "system_ord")
+    fields = i.catalog(spark, d).select("entity", "field_ord", "type", "system_ord")
     other = fields.select("entity", "field_ord", F.col("type").alias("other"), F.col("system_ord").alias("other_ord"))
     met = fields.join(other, ["entity", "field_ord"]).filter(F.col("system_ord") != F.col("other_ord"))
     return met.groupBy("type", "other").agg(F.count(F.lit(1)).alias("met"))
@@ -247,9 +266,10 @@ def type_similarities(spark, d):
 
 @query
 def name_similarity(spark, d):
-    fields = schema_fuzzy.unique_fields(i.vocabulary_catalog(spark, d)).withColumn("norm", normalize_field_name(F.col("field")))
-    sources = fields.select("entity", F.col("norm").alias("source_norm")).distinct()
-    targets = fields.select("entity", F.col("norm").alias("target_norm")).distinct()
+    words = i.vocabulary_catalog(spark, d).select("entity", normalize_field_name(F.col("field")).alias("norm")).distinct()
+    words = stored(words, "words")
+    sources = words.withColumnRenamed("norm", "source_norm")
+    targets = words.withColumnRenamed("norm", "target_norm")
     return score_pairs(candidate_pairs(sources, targets, 0.8, ["entity"]), 0.8)
 
 
@@ -299,17 +319,22 @@ def json_roundtrip(spark, d):
 
 
 def _compared(spark, d):
-    return schema_fuzzy.compare_fields(i.derive(spark, d, i.CATALOG), threshold=None)
+    return schema_fuzzy.compare_fields(i.catalog(spark, d), threshold=None)
+
+
+def _compared_words(spark, d):
+    catalog = stored(i.vocabulary_catalog(spark, d), "word_catalog")
+    return schema_fuzzy.compare_fields(catalog, store=stored)
 
 
 @query
 def shared_entities(spark, d):
-    return schema_fuzzy.shared_entities(i.derive(spark, d, i.CATALOG))
+    return schema_fuzzy.shared_entities(i.catalog(spark, d))
 
 
 @query
 def system_pairs(spark, d):
-    return schema_fuzzy.system_pairs(i.derive(spark, d, i.CATALOG))
+    return schema_fuzzy.system_pairs(i.catalog(spark, d))
 
 
 @query
@@ -319,8 +344,7 @@ def exact_norm_match(spark, d):
 
 @query
 def fuzzy_match(spark, d):
-    compared = schema_fuzzy.compare_fields(i.vocabulary_catalog(spark, d))
-    return schema_fuzzy.field_matches(compared).select(*PAIR, "source_field", "target_field", "score")
+    return schema_fuzzy.field_matches(_compared_words(spark, d)).select(*PAIR, "source_field", "target_field", "score")
 
 
 @query
@@ -330,13 +354,15 @@ def matched_type_mismatch(spark, d):
 
 @query
 def missing_fields(spark, d):
-    found = schema_fuzzy.missing_fields(i.derive(spark, d, i.CATALOG), _compared(spark, d))
+    catalog = i.catalog(spark, d)
+    found = schema_fuzzy.missing_fields(catalog, stored(schema_fuzzy.compare_fields(catalog, threshold=None), "compared"))
     return found.select(*PAIR, "field", "side")
 
 
 @query
 def schema_similarity(spark, d):
-    return schema_fuzzy.schema_similarity(i.derive(spark, d, i.CATALOG), _compared(spark, d))
+    catalog = i.catalog(spark, d)
+    return schema_fuzzy.schema_similarity(catalog, schema_fuzzy.compare_fields(catalog, threshold=None))
 
 
 @query
@@ -346,14 +372,14 @@ def key_mismatch(spark, d):
 
 @query
 def inconsistency_report(spark, d):
-    report = schema_fuzzy.inconsistency_report(_compared(spark, d), ordered=True)
+    report = schema_fuzzy.inconsistency_report(stored(_compared(spark, d), "compared"), ordered=True)
     return report.select(*PAIR, "kind", "severity", "detail")
 
 
 @query
 def fuzzy_report(spark, d):
-    compared = schema_fuzzy.compare_fields(i.vocabulary_catalog(spark, d))
-    return schema_fuzzy.inconsistency_report(compared).groupBy("entity", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
+    report = schema_fuzzy.inconsistency_report(stored(_compared_words(spark, d), "compared"))
+    return report.groupBy("entity", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -368,7 +394,7 @@ def key_type_mismatch(spark, d):
 
 def _drifting(spark, d):
     """The catalog with key types and nullability that differ between systems."""
-    fields = i.derive(spark, d, i.CATALOG)
+    fields = i.catalog(spark, d)
     odd = F.col("system_ord") % 2 == 1
     return schema_fuzzy.compare_fields(
         fields.withColumn("type", F.when(F.col("pk") & odd, "bigint").otherwise(F.col("type"))).withColumn(
@@ -380,33 +406,33 @@ def _drifting(spark, d):
 
 @query
 def canonical_schema(spark, d):
-    return schema_exact.canonical_schema(i.derive(spark, d, i.CATALOG))
+    return schema_exact.canonical_schema(i.catalog(spark, d))
 
 
 @query
 def field_mapping(spark, d):
-    return schema_exact.field_mapping(i.derive(spark, d, i.CATALOG))
+    return schema_exact.field_mapping(i.catalog(spark, d))
 
 
 @query
 def consistency_score(spark, d):
-    return schema_exact.consistency_score(i.derive(spark, d, i.CATALOG))
+    return schema_exact.consistency_score(i.catalog(spark, d))
 
 
 @query
 def missing_field_findings(spark, d):
-    return schema_exact.missing_field_findings(i.derive(spark, d, i.CATALOG)).drop("source_definition", "target_definition")
+    return schema_exact.missing_field_findings(i.catalog(spark, d)).drop("source_definition", "target_definition")
 
 
 @query
 def type_mismatch_findings(spark, d):
-    return schema_exact.type_mismatch_findings(i.derive(spark, d, i.CATALOG))
+    return schema_exact.type_mismatch_findings(i.catalog(spark, d))
 
 
 @query
 def schema_analysis(spark, d):
     analysis = schema_exact.analyze_schemas(
-        i.derive(spark, d, i.CATALOG), i.derive(spark, d, i.CATALOG_SYSTEMS), i.derive(spark, d, i.WANTED_ENTITIES)
+        i.catalog(spark, d), i.derive(spark, d, i.CATALOG_SYSTEMS), i.derive(spark, d, i.WANTED_ENTITIES)
     )
     return analysis["inconsistencies"].select(*PAIR, "inconsistency_type", "field_name", "severity", "target_definition")
 
@@ -498,6 +524,17 @@ def req_bottlenecks(spark, d):
     )
 
 
+@query
+def breaking_points(spark, d):
+    by_week = i.requests(spark, d).withColumn("phase", F.floor((F.col("start_us") - 1704067200000000) / 604800000000))
+    return req.breaking_points(req.request_metrics(by_week, ["system_name", "phase"]), ["system_name"])
+
+
+@query
+def audit_operations(spark, d):
+    return reads.audit_counts(i.requests(spark, d), req.KEYS)
+
+
 @query
 def connection_summary(spark, d):
     tables = i.derive(spark, d, i.EXISTING)
@@ -638,6 +675,25 @@ def top_issues(spark, d):
     return remediation.top_issues(i.derive(spark, d, i.FINDINGS), i.gap_rows(spark, d))
 
 
+def _portfolio(spark, d):
+    runs_ = i.derive(spark, d, i.RUN_SYSTEMS).select("run_id").distinct()
+    return runs_, i.derive(spark, d, i.RUN_CATALOG), i.derive(spark, d, i.RUN_SYSTEMS)
+
+
+@query
+def assessment(spark, d):
+    return assess(*_portfolio(spark, d), threshold=None, assessed_on="January 31, 2024")["scores"]
+
+
+@query
+def assessment_exact(spark, d):
+    run_list, catalog, _ = _portfolio(spark, d)
+    result = assess_exact(run_list, catalog)
+    return result["scores"].join(result["effort"], "run_id").select(
+        "run_id", "readiness_score", "verdict", "item_count", "min_days", "max_days"
+    )
+
+
 # --- run tables ----------------------------------------------------------------------
 
 
@@ -645,17 +701,18 @@ def top_issues(spark, d):
 def upsert_latest(spark, d):
     changes = i.derive(spark, d, i.RUN_CHANGES)
     old = changes.filter("status = 'running'")
-    return runs.upsert_latest(old, changes.filter("status <> 'running'"), ["run_id"], ["changed_at", "version_ord"])
+    new = changes.filter("status <> 'running'")
+    return _with_time_text(runs.upsert_latest(old, new, ["run_id"], ["changed_at", "version_ord"]), "changed_at")
 
 
 @query
 def run_by_id(spark, d):
-    return runs.find_by_id(i.derive(spark, d, i.RUN_CHANGES), "run_id", 7)
+    return _with_time_text(runs.find_by_id(i.derive(spark, d, i.RUN_CHANGES), "run_id", 7), "changed_at")
 
 
 @query
 def runs_newest(spark, d):
-    return runs.newest_first(i.derive(spark, d, i.RUN_CHANGES), "changed_at", "version_ord")
+    return _with_time_text(runs.newest_first(i.derive(spark, d, i.RUN_CHANGES), "changed_at", "version_ord"), "changed_at")
 
 
 @query
@@ -679,12 +736,12 @@ def cascade_delete(spark, d):
 
 @query
 def run_progress(spark, d):
-    return runs.run_progress(i.derive(spark, d, i.RUN_CHANGES))
+    return _with_time_text(runs.run_progress(i.derive(spark, d, i.RUN_CHANGES)), "started_at", "completed_at")
 
 
 @query
 def progress_ttl(spark, d):
-    return runs.latest_progress(i.derive(spark, d, i.RUN_CHANGES), ttl_seconds=30 * 86400)
+    return _with_time_text(runs.latest_progress(i.derive(spark, d, i.RUN_CHANGES), ttl_seconds=30 * 86400), "changed_at")
 
 
 @query
@@ -706,10 +763,6 @@ def _request_stream(spark, d):
     return req.normalise_outcomes(raw.withColumn("event_time", F.col("start_ts").cast("timestamp")))
 
 
-def _time_text(name):
-    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
-
-
 @query
 def stream_req_windows(spark, d):
     windows = append_available(stream_events.request_windows(_request_stream(spark, d)), "request_windows")
@@ -730,7 +783,7 @@ def stream_dedup(spark, d):
 def stream_run_state(spark, d):
     orders = parquet_stream(spark, d, "orders.parquet", i.table(spark, d, "orders").schema)
     states = stream_events.run_states(spark.sql(i.RUN_CHANGES, orders=orders))
-    return update_available(states, "run_states", ["run_id"])
+    return _with_time_text(update_available(states, "run_states", ["run_id"]), "started_at", "completed_at")
 
 
 @query
