@@ -218,10 +218,14 @@ def pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return request_metrics(requests(spark, sf_dir), KEYS)
 
 
-def pipeline_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def number_bottlenecks(metrics: DataFrame) -> DataFrame:
     """Bottlenecks numbered by system and kind inside their run."""
     system_ord = F.substring("system_name", 5, 10).cast("long")
-    return bottlenecks(pipeline_metrics(spark, sf_dir)).withColumn("input_ord", system_ord * 2 + F.col("bottleneck_ord"))
+    return bottlenecks(metrics).withColumn("input_ord", system_ord * 2 + F.col("bottleneck_ord"))
+
+
+def pipeline_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_bottlenecks(pipeline_metrics(spark, sf_dir))
 
 
 def gap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,13 +278,10 @@ def vocabulary_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     Words have 6 to 20 letters, digits or underscores and occur in at least three
     documents of their source and language.
     """
-    words = (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", "source", "lang", F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("word"))
-        .filter(F.length("word").between(6, 20))
-        .select("doc_id", "source", "lang", F.lower("word").alias("field"))
-        .distinct()
-    )
+    fits = F.filter(F.split("text", "[^A-Za-z0-9_]+"), lambda w: F.length(w).between(6, 20))
+    # Distinct inside the row: a document is one row, so its words need no shuffle.
+    once = F.array_distinct(F.transform(fits, F.lower))
+    words = table(spark, sf_dir, "documents").select("source", "lang", F.explode(once).alias("field"))
     return (
         words.groupBy("source", "lang", "field")
         .agg(F.count(F.lit(1)).alias("support"))

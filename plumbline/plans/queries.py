@@ -117,13 +117,12 @@ def sample_rows(spark, d):
     return reads.sample_rows(i.table(spark, d, "customer"), ["c_custkey"], 1000)
 
 
-def _effort(spark, d):
-    return remediation.remediation_effort(_items(spark, d))
-
-
 @query
 def report_json(spark, d):
-    documents = results.report_documents(_readiness(spark, d), _summary(spark, d), _effort(spark, d), "2024-01-31")
+    t = _finding_tables(spark, d, stored)
+    effort = remediation.remediation_effort(remediation.plan_items(*_issues(t)))
+    summary = remediation.findings_summary(*_issues(t))
+    documents = results.report_documents(_readiness(t, _run_list(spark, d)), summary, effort, "2024-01-31")
     schema = (
         "run_id bigint, readiness_score double, verdict string, findings_summary struct<schema_inconsistencies:bigint,"
         "middleware_gaps:bigint>, remediation_items bigint, total_effort_max_days bigint, remediation_weeks string"
@@ -548,6 +547,33 @@ def _run_list(spark, d):
     return i.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"))
 
 
+def _finding_tables(spark, d, store=lambda df, label: df):
+    """Findings, request metrics, bottlenecks, gaps and quality results of the runs.
+
+    Queries that read them more than once pass ``stored``.
+    """
+    pipeline = store(i.pipeline_metrics(spark, d), "pipeline")
+    return {
+        "findings": store(i.derive(spark, d, i.FINDINGS), "findings"),
+        "pipeline": pipeline,
+        "bottlenecks": i.number_bottlenecks(pipeline),
+        "gaps": store(i.gap_rows(spark, d), "gaps"),
+        "quality": store(i.derive(spark, d, i.QUALITY), "quality"),
+    }
+
+
+def _subscores(t, run_list):
+    return scoring.subscores(run_list, t["findings"], t["pipeline"], t["gaps"], t["quality"])
+
+
+def _readiness(t, run_list):
+    return scoring.readiness(run_list, t["findings"], t["pipeline"], t["gaps"], t["quality"])
+
+
+def _issues(t):
+    return t["findings"], t["bottlenecks"], t["gaps"], t["quality"].filter("NOT passed")
+
+
 @query
 def middleware_gaps(spark, d):
     found = gaps.middleware_gaps(i.derive(spark, d, i.SYSTEMS), i.derive(spark, d, i.FINDINGS), i.derive(spark, d, i.EXISTING))
@@ -559,61 +585,34 @@ def gap_effort(spark, d):
     return gaps.total_effort(i.gap_rows(spark, d))
 
 
-def _finding_inputs(spark, d):
-    return (
-        _run_list(spark, d),
-        i.derive(spark, d, i.FINDINGS),
-        i.pipeline_metrics(spark, d),
-        i.gap_rows(spark, d),
-        i.derive(spark, d, i.QUALITY),
-    )
-
-
-def _readiness(spark, d):
-    return scoring.readiness(*_finding_inputs(spark, d))
-
-
 @query
 def subscores(spark, d):
-    return scoring.subscores(*_finding_inputs(spark, d)).select(
+    return _subscores(_finding_tables(spark, d), _run_list(spark, d)).select(
         "run_id", "schema_score", "pipeline_score", "middleware_score", "data_quality_score", "security_score"
     )
 
 
 @query
 def readiness(spark, d):
-    return _readiness(spark, d)
-
-
-def _issues(spark, d):
-    return (
-        i.derive(spark, d, i.FINDINGS),
-        i.pipeline_bottlenecks(spark, d),
-        i.gap_rows(spark, d),
-        i.derive(spark, d, i.QUALITY).filter("NOT passed"),
-    )
+    return _readiness(_finding_tables(spark, d), _run_list(spark, d))
 
 
 @query
 def readiness_penalty(spark, d):
-    scores = scoring.readiness_penalty(_run_list(spark, d), *_issues(spark, d))
+    scores = scoring.readiness_penalty(_run_list(spark, d), *_issues(_finding_tables(spark, d)))
     return scores.select("run_id", "readiness_score", "verdict")
 
 
 @query
 def readiness_three_part(spark, d):
-    findings, bottlenecks, gap_rows, _ = _issues(spark, d)
-    scores = scoring.subscores(*_finding_inputs(spark, d))
-    return scoring.readiness_three_part(_run_list(spark, d), findings, bottlenecks, gap_rows, scores)
-
-
-def _items(spark, d):
-    return remediation.plan_items(*_issues(spark, d))
+    t, run_list = _finding_tables(spark, d, stored), _run_list(spark, d)
+    return scoring.readiness_three_part(run_list, t["findings"], t["bottlenecks"], t["gaps"], _subscores(t, run_list))
 
 
 @query
 def remediation_plan(spark, d):
-    return remediation.remediation_plan(_items(spark, d)).select(
+    items = stored(remediation.plan_items(*_issues(_finding_tables(spark, d))), "items")
+    return remediation.remediation_plan(items).select(
         "run_id",
         "recommended_sequence",
         "title",
@@ -628,26 +627,23 @@ def remediation_plan(spark, d):
 
 @query
 def remediation_effort(spark, d):
-    return remediation.remediation_effort(_items(spark, d), _run_list(spark, d))
-
-
-def _summary(spark, d):
-    return remediation.findings_summary(*_issues(spark, d))
+    items = remediation.plan_items(*_issues(_finding_tables(spark, d)))
+    return remediation.remediation_effort(items, _run_list(spark, d))
 
 
 @query
 def findings_summary(spark, d):
-    return _summary(spark, d)
+    return remediation.findings_summary(*_issues(_finding_tables(spark, d)))
 
 
 @query
 def severity_breakdown(spark, d):
-    return remediation.severity_breakdown(*_issues(spark, d))
+    return remediation.severity_breakdown(*_issues(_finding_tables(spark, d)))
 
 
 @query
 def technical_summary(spark, d):
-    return remediation.technical_summary(*_issues(spark, d))
+    return remediation.technical_summary(*_issues(_finding_tables(spark, d)))
 
 
 @query
@@ -657,17 +653,17 @@ def simple_plan(spark, d):
 
 @query
 def exec_summary(spark, d):
-    critical = scoring.subscores(_run_list(spark, d), i.derive(spark, d, i.FINDINGS)).select(
-        "run_id", F.col("schema_critical").alias("critical_schema")
-    )
-    summary = _summary(spark, d).join(critical, "run_id")
-    return remediation.executive_summary(_readiness(spark, d), summary, "January 31, 2024")
+    t, run_list = _finding_tables(spark, d, stored), _run_list(spark, d)
+    critical = scoring.subscores(run_list, t["findings"]).select("run_id", F.col("schema_critical").alias("critical_schema"))
+    summary = remediation.findings_summary(*_issues(t)).join(critical, "run_id")
+    return remediation.executive_summary(_readiness(t, run_list), summary, "January 31, 2024")
 
 
 @query
 def exec_summary_penalty(spark, d):
-    scores = scoring.readiness_penalty(_run_list(spark, d), *_issues(spark, d))
-    return remediation.executive_summary_penalty(scores, _summary(spark, d))
+    t = _finding_tables(spark, d, stored)
+    scores = scoring.readiness_penalty(_run_list(spark, d), *_issues(t))
+    return remediation.executive_summary_penalty(scores, remediation.findings_summary(*_issues(t)))
 
 
 @query
