@@ -152,7 +152,7 @@ SELECT field, trim(regexp_replace(regexp_replace(lower(regexp_replace(field, '([
 FROM names
 """,
 )
-O["type_bases"] = with_inputs(
+O["type_base"] = with_inputs(
     "fx_catalog", f"SELECT type, {base('type')} AS base, count(*) AS fields FROM fx_catalog GROUP BY type"
 )
 _MET = """
@@ -166,7 +166,7 @@ SELECT type, other, met, {base("type")} = {base("other")} OR EXISTS (SELECT 1 FR
 FROM met
 """,
 )
-O["type_similarities"] = with_inputs(
+O["type_similarity"] = with_inputs(
     "fx_catalog fx_type_groups",
     f"""{_MET}
 SELECT type, other, met, {type_score("type", "other")} AS similarity, {type_score("type", "other")} >= 0.9::DOUBLE AS equivalent FROM met

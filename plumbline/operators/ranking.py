@@ -4,6 +4,8 @@ Both split a group by a bucket that follows the sort order, count rows per bucke
 and sort only inside a bucket, so that no task ever holds a whole group.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,13 @@ ROWS_PER_BUCKET = 1 << 20
 HASH_BUCKET = 1 << 52
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which a null key equals a null key."""
+    other = right.select(*[F.col(c).alias(f"__right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def number_rows(
     df: DataFrame,
     group: list[str],
@@ -24,14 +33,17 @@ def number_rows(
 
     ``classes`` are low-cardinality sort keys (ascending); ``position`` is an integer,
     unique within (group, classes), so one bucket of positions holds at most
-    ``rows_per_bucket`` rows whatever the size of the group.
+    ``rows_per_bucket`` rows whatever the size of the group. Group columns and classes
+    must not be null.
     """
     classes = classes or []
     keys = [f"__class{i}" for i in range(len(classes))]
     tagged = df
     for key, expr in zip(keys, classes):
         tagged = tagged.withColumn(key, expr)
-    tagged = tagged.withColumn("__bucket", F.floor(F.col(position) / F.lit(rows_per_bucket)).cast("long"))
+    bucket = F.floor(F.col(position) / F.lit(rows_per_bucket)).cast("long")
+    # A missing position sorts first, in a bucket below all others.
+    tagged = tagged.withColumn("__bucket", F.coalesce(bucket, F.lit(-(1 << 62))))
     slot = [*group, *keys, "__bucket"]
     before = Window.partitionBy(*group).orderBy(*keys, "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -81,8 +93,7 @@ def ranked_values(
 
     slot = [*by, "bucket"]
     wanted_rows = (
-        rows.withColumn("bucket", magnitude_bucket(F.col(value)))
-        .join(targets, slot)
+        join_on_keys(rows.withColumn("bucket", magnitude_bucket(F.col(value))), targets, slot)
         .groupBy(*slot, *wants, value)
         .agg(F.sum(weight).alias("n"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import spaced, truncated
-from plumbline.operators.ranking import magnitude_bucket, ranked_values
+from plumbline.operators.ranking import join_on_keys, magnitude_bucket, ranked_values
 
 KEYS = ["run_id", "system_name"]
 ERROR_LENGTH = 100
@@ -96,7 +96,7 @@ def request_metrics(requests: DataFrame, by: list[str] = KEYS, weight: str | Non
     )
     failed = F.col("total_requests") - F.col("successful_requests")
     zero = F.lit(0.0)
-    return totals.join(ranks, by, "left").select(
+    return join_on_keys(totals, ranks, by, "left").select(
         *by,
         "total_requests",
         "successful_requests",

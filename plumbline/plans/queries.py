@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import types
 from plumbline.functions.names import normalize_field_name
 from plumbline.functions.text import fallback, fixed
-from plumbline.functions.types import type_base, type_similarity, types_compatible, types_equivalent
 from plumbline.operators import (
     gaps,
     predicates,
@@ -236,9 +236,9 @@ def normalize_names(spark, d):
 
 
 @query
-def type_bases(spark, d):
-    types = i.catalog(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("fields"))
-    return types.select("type", type_base(F.col("type")).alias("base"), "fields")
+def type_base(spark, d):
+    declared = i.catalog(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("fields"))
+    return declared.select("type", types.type_base(F.col("type")).alias("base"), "fields")
 
 
 def _type_pairs(spark, d):
@@ -252,14 +252,14 @@ def _type_pairs(spark, d):
 @query
 def type_compat(spark, d):
     pairs = _type_pairs(spark, d)
-    return pairs.select("type", "other", "met", types_compatible(F.col("type"), F.col("other")).alias("compatible"))
+    return pairs.select("type", "other", "met", types.types_compatible(F.col("type"), F.col("other")).alias("compatible"))
 
 
 @query
-def type_similarities(spark, d):
+def type_similarity(spark, d):
     a, b = F.col("type"), F.col("other")
     return _type_pairs(spark, d).select(
-        "type", "other", "met", type_similarity(a, b).alias("similarity"), types_equivalent(a, b).alias("equivalent")
+        "type", "other", "met", types.type_similarity(a, b).alias("similarity"), types.types_equivalent(a, b).alias("equivalent")
     )
 
 
