@@ -43,13 +43,17 @@ def type_base(declared: Column) -> Column:
     return F.lower(F.when(letters != "", letters).otherwise(stripped))
 
 
-def types_compatible(source: Column, target: Column) -> Column:
+def bases_compatible(a: Column, b: Column) -> Column:
     """Equal base types, or one of the compatible pairs."""
-    a, b = type_base(F.coalesce(source, F.lit(""))), type_base(F.coalesce(target, F.lit("")))
     pairs = ["|".join(sorted(pair)) for pair in COMPATIBLE_TYPES]
     return (a == b) | F.concat_ws("|", F.least(a, b), F.greatest(a, b)).isin(*pairs)
 
 
+def types_compatible(source: Column, target: Column) -> Column:
+    """Compatibility of two declared types, whatever their lengths."""
+    return bases_compatible(type_base(F.coalesce(source, F.lit(""))), type_base(F.coalesce(target, F.lit(""))))
+
+
 def type_similarity(source: Column, target: Column) -> Column:
     """1.0 same text, 0.9 same group, 0.5 when either is empty, else 0.2.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.grades import severity_rank
 from plumbline.functions.names import looks_like_id, normalize_field_name
-from plumbline.functions.types import types_compatible
+from plumbline.functions.types import bases_compatible, type_base
 from plumbline.operators.similar_names import candidate_pairs, score_pairs
 
 THRESHOLD = 0.8
@@ -67,13 +67,14 @@ def _source_fields(catalog: DataFrame, fields: DataFrame) -> DataFrame:
         F.col("nullable").alias("source_nullable"),
         F.col("pk").alias("source_pk"),
         F.col("norm").alias("source_norm"),
+        F.col("base").alias("source_base"),
     )
     return source.join(later, "entity").filter(F.col("source_ord") < F.col("target_ord"))
 
 
 def _target_names(fields: DataFrame) -> DataFrame:
     """The earliest field of each normalised name: it wins every tie among equal names."""
-    target = F.struct("field", "field_ord", "type", "nullable", "pk")
+    target = F.struct("field", "field_ord", "type", "nullable", "pk", "base")
     return fields.groupBy("entity", F.col("system").alias("target_system"), F.col("norm").alias("target_norm")).agg(
         F.min_by(target, "field_ord").alias("target")
     )
@@ -93,7 +94,10 @@ def compare_fields(
     writes intermediate results that are used several times.
     """
     store = store or (lambda df, label: df)
-    fields = store(unique_fields(catalog).withColumn("norm", normalize_field_name(F.col("field"))), "fields")
+    prepared = unique_fields(catalog).withColumns(
+        {"norm": normalize_field_name(F.col("field")), "base": type_base(F.coalesce(F.col("type"), F.lit("")))}
+    )
+    fields = store(prepared, "fields")
     sources = _source_fields(catalog, fields)
     targets = _target_names(fields)
     equal = targets.withColumnRenamed("target_norm", "source_norm")
@@ -119,11 +123,16 @@ def compare_fields(
         F.col("target.nullable").alias("target_nullable"),
         F.col("target.pk").alias("target_pk"),
         "score",
-        F.when(matched, ~types_compatible(F.col("source_type"), F.col("target.type"))).alias("type_mismatch"),
+        F.when(matched, ~bases_compatible(F.col("source_base"), F.col("target.base"))).alias("type_mismatch"),
     )
 
 
 def _add_similar(compared: DataFrame, targets: DataFrame, threshold: float, store: Callable) -> DataFrame:
+    """Fill in the best similar target where no equal name was found.
+
+    The best target depends on the source's name and the target system alone, so it is
+    looked for once per name and not once per source system.
+    """
     unmatched = compared.filter(F.col("target").isNull())
     pairs = store(
         candidate_pairs(
@@ -136,16 +145,13 @@ def _add_similar(compared: DataFrame, targets: DataFrame, threshold: float, stor
     )
     similar = pairs.join(score_pairs(pairs, threshold), ["source_norm", "target_norm"])
     rank = F.struct(F.col("score"), -F.col("target.field_ord"))
-    field = ["entity", "source_system", "target_system", "source_field"]
     best = (
-        unmatched.select(*field, "source_norm")
-        .join(similar, ["entity", "source_norm"])
-        .join(targets, ["entity", "target_system", "target_norm"])
-        .groupBy(*field)
+        similar.join(targets, ["entity", "target_norm"])
+        .groupBy("entity", "target_system", "source_norm")
         .agg(F.max_by(F.struct("target", "score"), rank).alias("best"))
     )
     return (
-        compared.join(best, field, "left")
+        compared.join(best, ["entity", "target_system", "source_norm"], "left")
         .withColumn("target", F.coalesce("target", "best.target"))
         .withColumn("score", F.coalesce("score", "best.score"))
         .drop("best")

@@ -318,7 +318,7 @@ def json_roundtrip(spark, d):
 
 
 def _compared(spark, d):
-    return schema_fuzzy.compare_fields(i.catalog(spark, d), threshold=None)
+    return schema_fuzzy.compare_fields(i.catalog(spark, d), None, stored)
 
 
 def _compared_words(spark, d):
@@ -354,14 +354,14 @@ def matched_type_mismatch(spark, d):
 @query
 def missing_fields(spark, d):
     catalog = i.catalog(spark, d)
-    found = schema_fuzzy.missing_fields(catalog, stored(schema_fuzzy.compare_fields(catalog, threshold=None), "compared"))
+    found = schema_fuzzy.missing_fields(catalog, stored(schema_fuzzy.compare_fields(catalog, None, stored), "compared"))
     return found.select(*PAIR, "field", "side")
 
 
 @query
 def schema_similarity(spark, d):
     catalog = i.catalog(spark, d)
-    return schema_fuzzy.schema_similarity(catalog, schema_fuzzy.compare_fields(catalog, threshold=None))
+    return schema_fuzzy.schema_similarity(catalog, schema_fuzzy.compare_fields(catalog, None, stored))
 
 
 @query
@@ -399,7 +399,8 @@ def _drifting(spark, d):
         fields.withColumn("type", F.when(F.col("pk") & odd, "bigint").otherwise(F.col("type"))).withColumn(
             "nullable", F.col("nullable") & ~(odd & (F.col("field_ord") == 6))
         ),
-        threshold=None,
+        None,
+        stored,
     )
 
 
