@@ -47,3 +47,34 @@ def test_sources_use_no_driver_side_rows():
                     text = f.read()
                 for call in (".collect()", ".toPandas()", ".localCheckpoint(", "crossJoin", ".rdd"):
                     assert call not in text, f"{name}: {call}"
+
+
+def test_word_matches_equal_brute_force(spark, sf_dir):
+    """The queries without SQL, on the smallest tables: every pair of words by hand."""
+    import difflib
+
+    from plumbline.plans.inputs import vocabulary_catalog
+
+    words = sorted((r.entity, r.system_ord, r.field_ord, r.system, r.field) for r in vocabulary_catalog(spark, sf_dir).collect())
+    want, scores = {}, {}
+    for entity, source_ord, _, source, a in words:
+        targets = [w for w in words if w[0] == entity and w[1] > source_ord]
+        for system in {w[3] for w in targets}:
+            best, best_score = None, 0.0
+            for *_, b in (w for w in targets if w[3] == system):
+                score = 1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+                if score > best_score and score >= 0.8 and max(len(a), len(b)) <= 3 * min(len(a), len(b)):
+                    best, best_score = b, score
+            if best:
+                want[entity, source, system, a] = (best, best_score)
+        for b in {w[4] for w in words if w[0] == entity and w[4] != a}:
+            score = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+            if score >= 0.8:
+                scores[a, b] = score
+    rows = QUERIES["fuzzy_match"](spark, sf_dir).collect()
+    assert {(r.entity, r.source_system, r.target_system, r.source_field): (r.target_field, r.score) for r in rows} == want
+    pairs = QUERIES["name_similarity"](spark, sf_dir).collect()
+    assert {(r.source_norm, r.target_norm): r.score for r in pairs} == scores
+    missing = sum(r.n for r in QUERIES["fuzzy_report"](spark, sf_dir).collect() if r.kind == "missing_field")
+    facing = sum(len({w[3] for w in words if w[0] == e and w[1] > o}) for e, o, *_ in words)
+    assert missing == facing - len(want)

@@ -144,3 +144,17 @@ def test_audit_export(spark):
 def test_working_folder_follows_the_session(spark):
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert folders.working_folder(spark, "x").startswith(base)
+
+
+def test_report_documents(spark):
+    scores = spark.createDataFrame([(1, 77.0, "NOT_YET", 19.0), (2, 100.0, "GO", None)], "run_id int, overall_score double, verdict string, remediation_weeks double")
+    summary = spark.createDataFrame([(1, 5, 2)], "run_id int, schema_inconsistencies long, middleware_gaps long")
+    sizes = spark.createDataFrame([(1, 3, 10, 40)], "run_id int, item_count long, min_days long, max_days long")
+    path = folders.working_folder(spark, "reports")
+    results.write_reports(results.report_documents(scores, summary, sizes, "2024-05-01"), path)
+    got = {d["run_id"]: d for d in (json.loads(r.value) for r in spark.read.text(path).collect())}
+    assert got[1] == {
+        "run_id": 1, "readiness_score": 77.0, "verdict": "NOT_YET", "findings_summary": {"schema_inconsistencies": 5, "middleware_gaps": 2},
+        "remediation_items": 3, "total_effort_min_days": 10, "total_effort_max_days": 40, "remediation_weeks": "19", "generated_at": "2024-05-01",
+    }
+    assert (got[2]["remediation_weeks"], got[2]["findings_summary"]["middleware_gaps"]) == ("TBD", 0)
