@@ -1,5 +1,7 @@
 """Text and number formatting with Python's conventions, as native expressions."""
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,14 @@ def titled(value: Column) -> Column:
 def fallback(value: Column, domain: list[str], default: str) -> Column:
     """``value`` when it belongs to ``domain``, otherwise ``default`` (also for null)."""
     return F.when(value.isin(*domain), value).otherwise(F.lit(default))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """``template`` with each ``{name}`` replaced by the text of the column given for it."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(values[name].cast("string"))
+    return F.concat(*parts)

@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import messages
 from plumbline.functions.grades import INTEGRATION_PATTERNS, finding_id, severity_rank
+from plumbline.functions.text import fill
 
 RULES = ["api_gateway", "etl_pipeline", "semantic_layer", "rest_api"]
 
@@ -72,19 +74,19 @@ def middleware_gaps(
             F.array(
                 gap(
                     "api_gateway", n > 2, F.lit("HIGH"), n > 4,
-                    F.concat(F.lit("No API gateway detected for "), n.cast("string"), F.lit(" systems")),
+                    fill(messages.NO_API_GATEWAY, systems=n),
                 ),
                 gap(
                     "etl_pipeline", F.col("finding_count") > 3, F.lit("HIGH"), F.lit(True),
-                    F.lit("Schema inconsistencies require ETL pipeline for data harmonization"),
+                    F.lit(messages.NO_ETL_PIPELINE),
                 ),
                 gap(
                     "semantic_layer", F.lit(True), F.when(key_trouble, "CRITICAL").otherwise("HIGH"), key_trouble,
-                    F.lit("AI agents need a semantic layer to understand business entities across systems"),
+                    F.lit(messages.NO_SEMANTIC_LAYER),
                 ),
                 gap(
                     "rest_api", (F.col("erp") > 0) & (F.col("crm") > 0), F.lit("MEDIUM"), F.lit(False),
-                    F.lit("ERP systems typically lack REST APIs suitable for real-time AI agent queries"),
+                    F.lit(messages.NO_REST_API),
                 ),
             )
         )

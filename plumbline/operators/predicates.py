@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.grades import pattern_description, severity_rank
+from plumbline.functions.messages import REVIEW_FIELDS
 
 # Statements that must not run.
 WRITE_KEYWORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "EXEC", "EXECUTE"]
@@ -83,7 +84,7 @@ def unknown_references(requested: DataFrame, key: str, registered: DataFrame, id
     return requested.select(key).distinct().join(known, key, "left_anti")
 
 
-def finding_view(report: DataFrame, hint: str = "Review field definitions and align schemas") -> DataFrame:
+def finding_view(report: DataFrame, hint: str = REVIEW_FIELDS) -> DataFrame:
     """Report rows under their published names, with defaults for missing values."""
     def or_else(name: str, default: str) -> Column:
         value = F.col(name) if name in report.columns else F.lit(None).cast("string")

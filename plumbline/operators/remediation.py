@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import messages
 from plumbline.functions.grades import (
     EFFORT_CONFIDENCE,
     SEVERITY_WEIGHTS,
@@ -14,7 +15,7 @@ from plumbline.functions.grades import (
     finding_id,
     severity_rank,
 )
-from plumbline.functions.text import fixed, rounded, spaced, titled
+from plumbline.functions.text import fill, fixed, rounded, spaced, titled
 from plumbline.operators.ranking import number_rows
 
 # Priority and effort level of an item by the severity of its finding.
@@ -25,18 +26,6 @@ GAP_PRIORITY = {"CRITICAL": 10, "HIGH": 8, "MEDIUM": 6, "LOW": 3}
 
 PARALLEL_DISCOUNT = 0.70
 
-# Opening sentence of the summary by verdict.
-VERDICT_INTROS = {
-    "GO": "Your enterprise infrastructure appears well-positioned for the proposed AI deployment.",
-    "NOT_YET": "Your enterprise infrastructure needs targeted improvements before AI deployment can succeed.",
-    "NOT_READY": "Significant infrastructure gaps were identified that would prevent a successful AI deployment.",
-}
-VERDICT_PHRASES = {
-    "GO": "systems are well-positioned for AI deployment",
-    "NOT_YET": "systems require moderate remediation before AI deployment",
-    "NOT_READY": "systems are not yet ready for AI deployment and require significant work",
-}
-
 
 def _or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
@@ -66,7 +55,7 @@ def schema_items(findings: DataFrame) -> DataFrame:
     level = choose(severity, SCHEMA_EFFORT, "MEDIUM")
     field = _or_empty(F.col("field_name"))
     title = F.concat(
-        F.lit("Resolve "), spaced(F.col("kind")), F.lit(" for '"), F.col("entity_name"), F.lit("'"),
+        fill(messages.SCHEMA_TITLE, kind=spaced(F.col("kind")), entity=F.col("entity_name")),
         F.when(field != "", F.concat(F.lit("."), field)).otherwise(""),
     )
     hint = _or_empty(F.col("remediation_hint"))
@@ -82,16 +71,20 @@ def schema_items(findings: DataFrame) -> DataFrame:
 
 def bottleneck_items(bottlenecks: DataFrame) -> DataFrame:
     """Items of pipeline bottlenecks."""
-    unit = F.col("unit")
     return _items(
         bottlenecks, 1, "pipeline",
-        title=F.concat(
-            F.lit("Resolve "), spaced(F.col("bottleneck_type")), F.lit(" bottleneck in '"), F.col("pipeline_name"),
-            F.lit("' on "), F.col("system"),
+        title=fill(
+            messages.BOTTLENECK_TITLE,
+            kind=spaced(F.col("bottleneck_type")),
+            pipeline=F.col("pipeline_name"),
+            system=F.col("system"),
         ),
-        description=F.concat(
-            F.col("description"), F.lit(" (observed "), F.col("observed_value").cast("string"), unit,
-            F.lit(", threshold "), F.col("threshold_value").cast("string"), unit, F.lit(")"),
+        description=fill(
+            messages.BOTTLENECK_TEXT,
+            description=F.col("description"),
+            observed=F.col("observed_value"),
+            threshold=F.col("threshold_value"),
+            unit=F.col("unit"),
         ),
         priority=choose(F.col("severity"), BOTTLENECK_PRIORITY, 5),
         low=effort_min(F.lit("MEDIUM")),
@@ -104,11 +97,11 @@ def gap_items(gaps: DataFrame) -> DataFrame:
     raised = choose(F.col("severity"), GAP_PRIORITY, 6) + F.when(F.col("blocking"), 1).otherwise(0)
     return _items(
         gaps, 2, "middleware",
-        title=F.concat(
-            F.lit("Implement "), spaced(F.col("gap_type")), F.lit(" between "), F.col("source_system"), F.lit(" and "), F.col("target_system")
+        title=fill(
+            messages.GAP_TITLE, kind=spaced(F.col("gap_type")), source=F.col("source_system"), target=F.col("target_system")
         ),
-        description=F.concat(
-            F.col("description"), F.lit(" Recommended solution: "), _or_empty(F.col("recommended_solution"))
+        description=fill(
+            messages.GAP_TEXT, description=F.col("description"), solution=_or_empty(F.col("recommended_solution"))
         ),
         priority=F.least(F.lit(10), raised),
         low=F.col("effort_min"),
@@ -122,7 +115,7 @@ def quality_items(issues: DataFrame) -> DataFrame:
         return F.col(name) if name in issues.columns else F.lit(None)
 
     numbered = number_rows(issues, ["run_id"], "input_ord", name="issue_number")
-    default_title = F.concat(F.lit("Data quality issue #"), F.col("issue_number").cast("string"))
+    default_title = fill(messages.QUALITY_TITLE, number=F.col("issue_number"))
     return _items(
         numbered, 3, "data_quality",
         title=F.coalesce(given("title").cast("string"), default_title),
@@ -231,27 +224,22 @@ def severity_breakdown(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFr
 def technical_summary(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame) -> DataFrame:
     """Text with the counts per kind; lines of severities without findings are left out."""
     levels = {"schema": ["CRITICAL", "HIGH", "MEDIUM", "LOW"], "pipeline": ["CRITICAL", "HIGH", "MEDIUM"]}
-    kinds = {
-        "schema": "Schema Inconsistencies ",
-        "pipeline": "Pipeline Bottlenecks   ",
-        "middleware": "Middleware Gaps        ",
-        "data_quality": "Data Quality Issues    ",
-    }
+    kinds = messages.TECHNICAL_KINDS
     kind, severity = F.col("kind"), F.col("severity")
     counts = _tagged(findings, bottlenecks, gaps, quality_issues).groupBy("run_id").agg(
         *[F.count_if(kind == k).alias(k) for k in kinds],
         *[F.count_if((kind == k) & (severity == s)).alias(f"{k}_{s}") for k, ss in levels.items() for s in ss],
         F.count_if("blocking").alias("blocking_count"),
     )
-    lines: list[Column] = [F.lit("=== Technical Readiness Summary ==="), F.lit("")]
+    lines: list[Column] = [F.lit(messages.TECHNICAL_HEAD), F.lit("")]
     for k, label in kinds.items():
-        lines.append(F.concat(F.lit(f"{label}: "), F.col(k).cast("string")))
+        lines.append(fill(label, n=F.col(k)))
         for s in levels.get(k, []):
             n = F.col(f"{k}_{s}")
             lines.append(F.when(n > 0, F.concat(F.lit(f"  {s:8s}: "), n.cast("string"))))
         if k == "middleware":
             n = F.col("blocking_count")
-            lines.append(F.when(n > 0, F.concat(F.lit("  Blocking            : "), n.cast("string"))))
+            lines.append(F.when(n > 0, fill(messages.TECHNICAL_BLOCKING, n=n)))
     return counts.select("run_id", F.concat_ws("\n", *lines).alias("technical_summary"))
 
 
@@ -263,7 +251,7 @@ def simple_plan(findings: DataFrame, gaps: DataFrame, include_high: bool = False
     gap_items_ = number_rows(gaps.filter("blocking"), ["run_id"], "gap_ord", name="recommended_sequence").select(
         "run_id",
         F.concat(F.lit("rem_"), F.col("gap_id")).alias("id"),
-        F.concat(F.lit("Implement "), titled(F.col("gap_type"))).alias("title"),
+        fill(messages.SHORT_GAP_TITLE, kind=titled(F.col("gap_type"))).alias("title"),
         "description",
         F.lit("middleware").alias("category"),
         F.when(F.col("severity") == "CRITICAL", 9).otherwise(7).alias("priority"),
@@ -280,14 +268,14 @@ def simple_plan(findings: DataFrame, gaps: DataFrame, include_high: bool = False
         .agg(F.sum("critical").alias("critical"), F.sum("high").alias("high"), F.coalesce(F.sum("blocking"), zero).alias("blocking"))
     )
 
-    def grouped(name: str, title: str, what: str, priority: int, low: int, high: int, after: Column) -> Column:
+    def grouped(name: str, texts: tuple[str, str], priority: int, low: int, high: int, after: Column) -> Column:
         n = F.col(name)
         return F.when(
             n > 0,
             F.struct(
                 F.lit(f"rem_schema_{name}").alias("id"),
-                F.lit(title).alias("title"),
-                F.concat(F.lit("Fix "), n.cast("string"), F.lit(what)).alias("description"),
+                F.lit(texts[0]).alias("title"),
+                fill(texts[1], n=n).alias("description"),
                 F.lit("schema").alias("category"),
                 F.lit(priority).alias("priority"),
                 F.lit(name.upper()).alias("severity"),
@@ -297,12 +285,10 @@ def simple_plan(findings: DataFrame, gaps: DataFrame, include_high: bool = False
             ),
         )
 
-    wanted = [
-        grouped("critical", "Resolve Critical Schema Mismatches", " critical key/schema mismatches across systems", 10, 3, 7, F.col("blocking"))
-    ]
+    wanted = [grouped("critical", messages.SHORT_CRITICAL, 10, 3, 7, F.col("blocking"))]
     if include_high:
         after = F.col("blocking") + (F.col("critical") > 0).cast("int")
-        wanted.append(grouped("high", "Resolve High-Severity Schema Issues", " high-severity schema issues", 8, 2, 5, after))
+        wanted.append(grouped("high", messages.SHORT_HIGH, 8, 2, 5, after))
     schema_items_ = counts.select("run_id", F.inline(F.array_compact(F.array(*wanted))))
     return gap_items_.unionByName(schema_items_)
 
@@ -317,49 +303,25 @@ def executive_summary(scores: DataFrame, summary: DataFrame, assessed_on: str) -
     c = F.col
     counts = ["schema_inconsistencies", "critical_schema", "pipeline_bottlenecks", "middleware_gaps", "blocking_gaps"]
     joined = scores.join(summary.select("run_id", *counts), "run_id", "left").na.fill(0, counts)
-    n = {name: c(name).cast("string") for name in counts}
     weeks = c("remediation_weeks")
+
+    def shown(name: str, template: str, **values: Column) -> Column:
+        return F.when(c(name) > 0, fill(template, n=c(name), **values))
+
     lines = [
-        F.concat(F.lit("**Readiness Assessment: "), fixed(c("overall_score"), 0), F.lit("% — "), spaced(c("verdict")), F.lit("**")),
+        fill(messages.SUMMARY_HEAD, score=fixed(c("overall_score"), 0), verdict=spaced(c("verdict"))),
         F.lit(""),
-        choose(c("verdict"), VERDICT_INTROS, "Analysis complete."),
+        choose(c("verdict"), messages.VERDICT_INTROS, messages.OTHER_INTRO),
         F.lit(""),
-        F.when(
-            c("schema_inconsistencies") > 0,
-            F.concat(
-                F.lit("**Schema Consistency:** "), n["schema_inconsistencies"], F.lit(" inconsistencies found across connected systems"),
-                F.when(
-                    c("critical_schema") > 0,
-                    F.concat(F.lit(", including "), n["critical_schema"], F.lit(" critical mismatches that would cause AI agent failures")),
-                ).otherwise(""),
-                F.lit("."),
-            ),
-        ),
-        F.when(
-            c("pipeline_bottlenecks") > 0,
-            F.concat(
-                F.lit("**Pipeline Performance:** "), n["pipeline_bottlenecks"],
-                F.lit(" performance bottleneck(s) detected under simulated AI agent load."),
-            ),
-        ),
-        F.when(
-            c("middleware_gaps") > 0,
-            F.concat(
-                F.lit("**Integration Gaps:** "), n["middleware_gaps"], F.lit(" missing middleware component(s) identified"),
-                F.when(c("blocking_gaps") > 0, F.concat(F.lit(", with "), n["blocking_gaps"], F.lit(" blocking deployment"))).otherwise(""),
-                F.lit("."),
-            ),
-        ),
-        F.when(
-            weeks > 0,
-            F.concat(
-                F.lit("\n**Estimated Remediation Timeline:** "), fixed(weeks, 0), F.lit("–"), fixed(weeks * F.lit(1.5), 0),
-                F.lit(" weeks to reach deployment readiness."),
-            ),
+        shown(
+            "schema_inconsistencies", messages.SUMMARY_SCHEMA, critical=_or_empty(shown("critical_schema", messages.SUMMARY_CRITICAL))
         ),
+        shown("pipeline_bottlenecks", messages.SUMMARY_PIPELINE),
+        shown("middleware_gaps", messages.SUMMARY_GAPS, blocking=_or_empty(shown("blocking_gaps", messages.SUMMARY_BLOCKING))),
+        F.when(weeks > 0, fill(messages.SUMMARY_WEEKS, low=fixed(weeks, 0), high=fixed(weeks * F.lit(1.5), 0))),
         F.lit(""),
-        F.lit("This assessment was conducted using read-only access to your systems. No data was modified."),
-        F.lit(f"Assessment date: {assessed_on}"),
+        F.lit(messages.SUMMARY_READ_ONLY),
+        fill(messages.SUMMARY_DATE, date=F.lit(assessed_on)),
     ]
     return joined.select("run_id", F.concat_ws("\n", *lines).alias("executive_summary"))
 
@@ -382,38 +344,27 @@ def executive_summary_penalty(
     else:
         joined = joined.join(scenarios.select("run_id", "target_systems", "use_case"), "run_id", "left")
     listed = _or_empty(c("target_systems"))
-    systems = F.when(listed != "", listed).otherwise("the connected enterprise systems")
+    systems = F.when(listed != "", listed).otherwise(messages.ALL_SYSTEMS)
     total = c("schema_inconsistencies") + c("pipeline_bottlenecks") + c("middleware_gaps")
+
+    def shown(count: Column, template: str) -> Column:
+        return F.when(count > 0, fill(template, n=count))
+
     parts = [
-        F.concat(
-            F.lit(f"The {assessment} diagnostic assessment indicates that "), systems, F.lit(" "),
-            choose(c("verdict"), VERDICT_PHRASES), F.lit(" with a readiness score of "), fixed(c("readiness_score"), 0), F.lit("/100."),
-        ),
-        F.when(
-            c("critical_issues") > 0,
-            F.concat(
-                F.lit("The assessment identified "), c("critical_issues").cast("string"),
-                F.lit(" critical issue(s) that require immediate attention prior to proceeding with any AI workload deployment."),
-            ),
-        ),
-        F.when(
-            c("blocking_gaps") > 0,
-            F.concat(
-                c("blocking_gaps").cast("string"),
-                F.lit(" middleware gap(s) are currently blocking and must be resolved before the AI workload can function correctly."),
-            ),
-        ),
-        F.when(
-            total > 0,
-            F.concat(
-                F.lit("A total of "), total.cast("string"),
-                F.lit(" findings were recorded across schema consistency, pipeline performance, and middleware coverage dimensions."),
-            ),
+        fill(
+            messages.PENALTY_HEAD,
+            assessment=F.lit(assessment),
+            systems=systems,
+            verdict=choose(c("verdict"), messages.VERDICT_PHRASES),
+            score=fixed(c("readiness_score"), 0),
         ),
-        F.concat(
-            F.lit("The recommended remediation plan contains "), (total + c("data_quality_issues")).cast("string"),
-            F.lit(" action items to bring the environment to a GO state for "),
-            F.coalesce(c("use_case"), F.lit("the planned AI deployment")), F.lit("."),
+        shown(c("critical_issues"), messages.PENALTY_CRITICAL),
+        shown(c("blocking_gaps"), messages.PENALTY_BLOCKING),
+        shown(total, messages.PENALTY_TOTAL),
+        fill(
+            messages.PENALTY_PLAN,
+            n=total + c("data_quality_issues"),
+            use_case=F.coalesce(c("use_case"), F.lit(messages.PLANNED_DEPLOYMENT)),
         ),
     ]
     return joined.select("run_id", F.concat_ws(" ", *parts).alias("executive_summary"))

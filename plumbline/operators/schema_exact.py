@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import messages
+from plumbline.functions.text import fill
 from plumbline.functions.types import (
     OTHER_TYPE,
     SAME_GROUP,
@@ -115,33 +117,19 @@ def missing_field_findings(catalog: DataFrame) -> DataFrame:
     fields = _named_fields(catalog)
     other = entity_systems(catalog).select("entity", F.col("system").alias("target_system"))
     present = fields.select("entity", F.col("system").alias("target_system"), "field")
-    source = F.col("source_system")
-    target = F.col("target_system")
-    field = F.concat(F.lit("'"), F.col("field"), F.lit("'"))
+    names = {"field": F.col("field"), "source": F.col("source_system"), "target": F.col("target_system")}
     absent = (
         fields.withColumnRenamed("system", "source_system")
         .join(other, "entity")
-        .filter(source != target)
+        .filter(F.col("source_system") != F.col("target_system"))
         .join(present, ["entity", "target_system", "field"], "left_anti")
     )
     return _finding(
         absent.withColumn("severity", F.when(F.coalesce(F.col("pk"), F.lit(False)), "HIGH").otherwise("MEDIUM"))
         .withColumn("source_definition", F.to_json(F.struct(F.col("field").alias("name"), "type", "nullable", "pk")))
         .withColumn("target_definition", F.lit(None).cast("string"))
-        .withColumn(
-            "impact_description",
-            F.concat(
-                F.lit("Field "), field, F.lit(" exists in "), source, F.lit(" but is absent in "), target,
-                F.lit(". Queries spanning both systems may fail or return nulls."),
-            ),
-        )
-        .withColumn(
-            "remediation_hint",
-            F.concat(
-                F.lit("Add field "), field, F.lit(" to "), target,
-                F.lit(" or implement a transformation/default in the integration layer."),
-            ),
-        ),
+        .withColumn("impact_description", fill(messages.ABSENT_IMPACT, **names))
+        .withColumn("remediation_hint", fill(messages.ABSENT_HINT, **names)),
         "missing_field",
     )
 
@@ -155,29 +143,21 @@ def type_mismatch_findings(catalog: DataFrame) -> DataFrame:
     target = typed.select(
         "entity", "field", F.col("system").alias("target_system"), F.col("system_ord").alias("target_ord"), F.col("type").alias("target_definition")
     )
-    s, t = F.col("source_system"), F.col("target_system")
-    field = F.concat(F.lit("'"), F.col("field"), F.lit("'"))
+    names = {
+        "field": F.col("field"),
+        "source": F.col("source_system"),
+        "target": F.col("target_system"),
+        "source_type": F.col("source_definition"),
+        "target_type": F.col("target_definition"),
+    }
     differing = source.join(target, ["entity", "field"]).filter(
         (F.col("source_ord") < F.col("target_ord"))
         & ~types_equivalent(F.col("source_definition"), F.col("target_definition"))
     )
     return _finding(
         differing.withColumn("severity", F.lit("HIGH"))
-        .withColumn(
-            "impact_description",
-            F.concat(
-                F.lit("Field "), field, F.lit(" has type '"), F.col("source_definition"), F.lit("' in "), s,
-                F.lit(" but '"), F.col("target_definition"), F.lit("' in "), t,
-                F.lit(". Data type coercion may silently corrupt values."),
-            ),
-        )
-        .withColumn(
-            "remediation_hint",
-            F.concat(
-                F.lit("Align the type of "), field, F.lit(" between "), s, F.lit(" and "), t,
-                F.lit(", or add explicit casting in the ETL pipeline."),
-            ),
-        ),
+        .withColumn("impact_description", fill(messages.TYPE_IMPACT, **names))
+        .withColumn("remediation_hint", fill(messages.TYPE_HINT, **names)),
         "type_mismatch",
     )
 

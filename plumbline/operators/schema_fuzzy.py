@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import messages
 from plumbline.functions.grades import severity_rank
 from plumbline.functions.names import looks_like_id, normalize_field_name
+from plumbline.functions.text import fill
 from plumbline.functions.types import bases_compatible, type_base
 from plumbline.operators.similar_names import candidate_pairs, score_pairs
 
@@ -261,19 +263,22 @@ def inconsistency_report(compared: DataFrame, ordered: bool = False) -> DataFram
     Fields missing in the source are not reported. ``finding_ord`` orders the findings
     of one pair as they are found; ``ordered`` sorts the whole report by severity.
     """
-    source, target = F.col("source_system"), F.col("target_system")
+    names = {
+        "field": F.col("source_field"),
+        "source": F.col("source_system"),
+        "target": F.col("target_system"),
+        "source_type": F.col("source_type"),
+        "target_type": F.col("target_type"),
+    }
     missing = F.col("target_field").isNull()
-    quoted = F.concat(F.lit("Field '"), F.col("source_field"), F.lit("'"))
     per_field = compared.filter(missing | F.col("type_mismatch")).select(
         *PAIR,
         "source_ord",
         "target_ord",
         F.when(missing, "missing_field").otherwise("type_mismatch").alias("kind"),
         F.when(missing, "HIGH").otherwise("MEDIUM").alias("severity"),
-        F.when(missing, F.concat(quoted, F.lit(" present in "), source, F.lit(" but missing in "), target))
-        .otherwise(
-            F.concat(quoted, F.lit(": "), F.col("source_type"), F.lit(" in "), source, F.lit(" vs "), F.col("target_type"), F.lit(" in "), target)
-        )
+        F.when(missing, fill(messages.FIELD_MISSING, **names))
+        .otherwise(fill(messages.FIELD_TYPES_DIFFER, **names))
         .alias("detail"),
         F.col("source_field").alias("field_name"),
         F.col("source_field_ord").cast("long").alias("finding_ord"),
@@ -291,7 +296,7 @@ def inconsistency_report(compared: DataFrame, ordered: bool = False) -> DataFram
         "target_ord",
         F.lit("key_mismatch").alias("kind"),
         F.lit("CRITICAL").alias("severity"),
-        F.concat(F.lit("Key fields differ: "), F.col("src"), F.lit(" vs "), F.col("tgt")).alias("detail"),
+        fill(messages.KEYS_DIFFER, source_keys=F.col("src"), target_keys=F.col("tgt")).alias("detail"),
         F.lit(None).cast("string").alias("field_name"),
         F.lit(-1).cast("long").alias("finding_ord"),
     )

@@ -7,6 +7,7 @@ several results read are written once (``stored``) and read back.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.messages import REVIEW_FIELDS
 from plumbline.operators import gaps, remediation, requests, schema_exact, schema_fuzzy, scoring
 from plumbline.operators.ranking import HASH_BUCKET, number_rows
 from plumbline.sources.folders import stored
@@ -38,7 +39,7 @@ def schema_findings(catalog: DataFrame, threshold: float | None = schema_fuzzy.T
         "field_name",
         "severity",
         F.col("detail").alias("impact_description"),
-        F.lit("Review field definitions and align schemas").alias("remediation_hint"),
+        F.lit(REVIEW_FIELDS).alias("remediation_hint"),
     )
     # A repeatable position; ties between equal hashes are cut off by the text itself.
     position = F.xxhash64("entity_name", "source_system", "target_system", "kind", "impact_description")
