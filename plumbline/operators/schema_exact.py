@@ -14,7 +14,7 @@ from plumbline.functions.types import (
     types_equivalent,
 )
 from plumbline.operators.predicates import active, requested_entities
-from plumbline.operators.schema_fuzzy import entity_systems, system_pairs, unique_fields
+from plumbline.operators.schema_fuzzy import entity_systems, unique_fields
 
 PAIR = ["entity", "source_system", "target_system"]
 
@@ -179,15 +179,3 @@ def analyze_schemas(catalog: DataFrame, systems: DataFrame, entities: DataFrame)
         "consistency": consistency_score(scope),
         "inconsistencies": findings(scope),
     }
-
-
-__all__ = [
-    "analyze_schemas",
-    "canonical_schema",
-    "consistency_score",
-    "field_mapping",
-    "findings",
-    "missing_field_findings",
-    "system_pairs",
-    "type_mismatch_findings",
-]
