@@ -6,7 +6,7 @@ QUALITY_RULES = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 words AS (
   SELECT doc_id, t, regexp_extract_all(t, '[^ \t-\r]+') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) AS l
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l
   FROM d
 ),
 grams AS (
@@ -34,7 +34,7 @@ f AS (
     + (CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END) + (CASE WHEN word_chars > 25 * n_words THEN 64 ELSE 0 END)
     + (CASE WHEN 10 * n_exclamations > 3 * n_words THEN 128 ELSE 0 END)
-    + (CASE WHEN 2 * n_letters < word_chars THEN 256 ELSE 0 END) AS failures
+    + (CASE WHEN 2 * n_letters < word_chars THEN 256 ELSE 0 END) :: BIGINT AS failures
   FROM m
 )
 SELECT *, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, (failures & 3) = 0 AS kept_base,
