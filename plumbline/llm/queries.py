@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import fingerprints, license_rules, quality_rules, sharding
+from plumbline.llm import bpe, fingerprints, license_rules, packing, quality_rules, sharding
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_license_scan": license_rules.query,
     "op5_fingerprints": fingerprints.query,
+    "op6_packing": packing.query,
+    "op7_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
 }
