@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprints, license_rules, packing, quality_rules, sharding
+from plumbline.llm import bpe, fingerprints, license_rules, line_dedup, packing, quality_rules, sharding, warc
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_license_scan": license_rules.query,
+    "op3_line_dedup": line_dedup.query,
     "op5_fingerprints": fingerprints.query,
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
+    "op8_warc": warc.query,
     "op10_quality_rules": quality_rules.query,
 }
