@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprints, license_rules, line_dedup, packing, quality_rules, sharding, warc
+from plumbline.llm import bpe, fingerprints, license_rules, line_dedup, near_dedup, packing, quality_rules, sharding, warc
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
     "op8_warc": warc.query,
+    "op9_near_dedup": near_dedup.query,
     "op10_quality_rules": quality_rules.query,
 }
