@@ -95,17 +95,19 @@ def with_next(docs: DataFrame, added: dict[str, Column], key: str = "doc_id") ->
     """
     bounds = _bounds(docs, key)
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.withColumns({"sort_key": k, "tie": F.xxhash64(text_of())})
-    rank = _rank(bounds, F.col("sort_key"))
-    at_bound = F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col("sort_key")) if bounds else F.lit(False)
+    names = ["next_key", "next_tie", "next_place", "next_guest", "next_part"]
+    rows = docs.withColumns({"next_key": k, "next_tie": F.xxhash64(text_of())})
+    rank = _rank(bounds, F.col("next_key"))
+    at_bound = F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col("next_key")) if bounds else F.lit(False)
     home = F.struct(F.lit(False).alias("guest"), rank.alias("part"))
     visit = F.struct(F.lit(True).alias("guest"), ((rank + 1) % max(1, len(bounds))).alias("part"))
     places = F.when(at_bound, F.array(home, visit)).otherwise(F.array(home))
-    dealt = rows.withColumn("place", F.explode(places)).withColumns({"guest": F.col("place.guest"), "part": F.col("place.part")})
+    dealt = rows.withColumn("next_place", F.explode(places))
+    dealt = dealt.withColumns({"next_guest": F.col("next_place.guest"), "next_part": F.col("next_place.part")})
     # A guest comes after the rows of the range; in the lowest range these are followed by the greatest of all.
-    order = Window.partitionBy("part").orderBy(F.col("guest"), F.col("sort_key").desc(), "tie")
+    order = Window.partitionBy("next_part").orderBy(F.col("next_guest"), F.col("next_key").desc(), "next_tie")
     following = dealt.withColumns({name: F.lead(value).over(order) for name, value in added.items()})
-    return following.filter(~F.col("guest")).drop("guest", "part", "place", "sort_key", "tie")
+    return following.filter(~F.col("next_guest")).drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

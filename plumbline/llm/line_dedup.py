@@ -35,14 +35,14 @@ from plumbline.llm.common import text_of, written
 MIN_WORDS = 50
 SALTS = 8
 BUCKETS = 256
-DOC = ["sort_key", "tie"]
+DOC = ["dedup_key", "dedup_tie"]
 _RESULT = ("n_lines", "n_removed", "n_removed_words")
-_LINES = "sort_key long, tie long, pos int, h1 long, h2 long, ahead int, back int"
+_LINES = "dedup_key long, dedup_tie long, pos int, h1 long, h2 long, ahead int, back int"
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)))
-    return docs.withColumns({"sort_key": least, "tie": F.xxhash64(text_of(text))})
+    return docs.withColumns({"dedup_key": least, "dedup_tie": F.xxhash64(text_of(text))})
 
 
 def _windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     """``docs`` without the lines of later copies; lines with a word, and how many lines and words were removed."""
     lines = written(line_table(docs, key, text, min_words), "lines")
     gone = later_copies(lines, suffix_ranks(lines, min_words))
-    gone = gone.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "m")).alias("gone"))
+    gone = gone.groupBy(*DOC).agg(F.collect_set(F.struct("pos", "m")).alias("dedup_gone"))
     columns = [c for c in docs.columns if c.lower() not in _RESULT]
     rows = _identified(docs.select(*[F.col(f"`{c}`") for c in columns]), key, text).join(gone, DOC, "left")
 
@@ -166,9 +166,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     def cleaned(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_without(t, g) for t, g in zip(texts, gone, strict=True)], columns=["text", *_RESULT])
 
-    rows = rows.withColumn("cleaned", cleaned(F.col(f"`{text}`"), F.col("gone")))
-    kept = [F.col("cleaned.text").alias(c) if c == text else F.col(f"`{c}`") for c in columns]
-    return rows.select(*kept, *[F.col(f"cleaned.{c}") for c in _RESULT])
+    rows = rows.withColumn("dedup_cleaned", cleaned(F.col(f"`{text}`"), F.col("dedup_gone")))
+    kept = [F.col("dedup_cleaned.text").alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+    return rows.select(*kept, *[F.col(f"dedup_cleaned.{c}") for c in _RESULT])
 
 
 def _without(text: str | None, gone) -> tuple[str | None, int, int, int]:
