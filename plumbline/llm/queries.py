@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprints, license_rules, line_dedup, near_dedup, packing, quality_rules, sharding, warc
+from plumbline.llm import bpe, fingerprints, html_text, license_rules, line_dedup, near_dedup, packing, quality_rules, sharding, warc
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_license_scan": license_rules.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_html_text": html_text.query,
     "op5_fingerprints": fingerprints.query,
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
