@@ -1,23 +1,49 @@
-"""Corpus pipeline: from raw documents to packed training sequences."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Quality rules drop whole documents; line dedup removes the later copies of repeated passages, and documents of which
+nothing is left; near-dedup keeps one document of each class; packing cuts what remains into pieces of sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import quality_rules
+from plumbline.llm import line_dedup, near_dedup, packing, quality_rules
 from plumbline.llm.common import written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current rule policy keeps, unchanged."""
     return quality_rules.apply_policy(quality_rules.ledger(docs)).select(*docs.columns)
 
 
-STAGES = [("quality_rules", keep_quality)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of repeated passages, ``n_chars`` to match; documents that lost every line go."""
+    found = line_dedup.dedup(docs)
+    rows = found.filter("n_removed = 0 OR n_removed < n_lines")
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each class of near duplicates, unchanged."""
+    return near_dedup.first_of_each(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the sequences."""
+    return packing.pack(written(packing.cut(docs), "pipeline-pieces"))
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_each),
+    ("packing", pack_sequences),
+]
 
-# Hashes and sketches of the later stages have no SQL; tests compare run() with a plain version instead.
+# Signatures, tokens and packing have no SQL; tests compare run() with plain versions of the stages instead.
 ORACLE_SQL = None
 
 
