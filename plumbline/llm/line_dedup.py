@@ -166,6 +166,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     def cleaned(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_without(t, g) for t, g in zip(texts, gone, strict=True)], columns=["text", *_RESULT])
 
+    # Marked, so that a later filter on the counts does not clean the texts twice.
+    cleaned = cleaned.asNondeterministic()
     rows = rows.withColumn("dedup_cleaned", cleaned(F.col(f"`{text}`"), F.col("dedup_gone")))
     kept = [F.col("dedup_cleaned.text").alias(c) if c == text else F.col(f"`{c}`") for c in columns]
     return rows.select(*kept, *[F.col(f"dedup_cleaned.{c}") for c in _RESULT])
