@@ -368,9 +368,8 @@ O["progress_ttl"] = with_inputs(
 )
 O["runs_by_status"] = with_inputs("fx_changes", _LATEST + "SELECT status, count(*) AS run_count FROM latest GROUP BY status")
 
-# --- streams: windows that the watermark has closed --------------------------------------
+# --- streams -----------------------------------------------------------------------------
 
-_CLOSED = "w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 O["stream_req_windows"] = with_inputs(
     "fx_requests",
     f"""
@@ -378,13 +377,13 @@ WITH windowed AS (SELECT *, date_trunc('day', start_ts) AS w FROM fx_requests),
 m AS ({metrics_sql("windowed", "w, system_name")})
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, system_name, total_requests, failed_requests, error_rate_pct,
        p50_ms, p95_ms, p99_ms, max_ms, CASE WHEN error_rate_pct < 5 AND p95_ms < 1000 THEN 'HEALTHY' ELSE 'DEGRADED' END AS overall_health
-FROM m WHERE {_CLOSED}
+FROM m
 """,
 )
 O["stream_dedup"] = "SELECT event_id, user_id, event_type, value FROM events"
 O["stream_run_state"] = O["run_progress"]
-O["stream_event_counts"] = f"""
+O["stream_event_counts"] = """
 WITH e AS (SELECT date_trunc('day', ts) AS w, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS event_count, CAST(sum(k) AS BIGINT) AS payload_total
-FROM e WHERE {_CLOSED} GROUP BY w, event_type
+FROM e GROUP BY w, event_type
 """

@@ -46,12 +46,11 @@ FROM {orders}
 GAP_ROWS = """
 SELECT o_custkey AS run_id, l_linenumber AS gap_ord, concat('gap_', CAST(l_linenumber AS STRING)) AS gap_id,
        CASE l_linenumber % 7 WHEN 0 THEN 'rest_api' WHEN 1 THEN 'message_queue' WHEN 2 THEN 'etl_pipeline' WHEN 3 THEN 'api_gateway' WHEN 4 THEN 'data_virtualization' WHEN 5 THEN 'identity_federation' ELSE 'semantic_layer' END AS gap_type,
-       CASE WHEN max(l_quantity) >= 50 THEN 'CRITICAL' WHEN max(l_quantity) >= 49 THEN 'HIGH' WHEN max(l_quantity) >= 48 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CASE WHEN max(l_quantity) >= 50 THEN 'CRITICAL' WHEN max(l_quantity) >= 45 THEN 'HIGH' WHEN max(l_quantity) >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
        max(CASE WHEN l_returnflag = 'R' AND l_quantity >= 50 THEN 1 ELSE 0 END) = 1 AS blocking,
        concat('Line ', CAST(l_linenumber AS STRING), ' has no integration') AS description,
        'sys_a' AS source_system, 'sys_b' AS target_system
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE l_quantity >= 47
 GROUP BY o_custkey, l_linenumber
 """
 

@@ -762,7 +762,8 @@ def _request_stream(spark, d):
 
 @query
 def stream_req_windows(spark, d):
-    windows = append_available(stream_events.request_windows(_request_stream(spark, d)), "request_windows")
+    stream = stream_events.request_windows(_request_stream(spark, d), delay=None)
+    windows = update_available(stream, "request_windows", [*stream_events.WINDOW_KEYS, "system_name"])
     metrics = stream_events.window_metrics(windows)
     return metrics.select(
         _time_text("window_start"), "system_name", "total_requests", "failed_requests", "error_rate_pct",
@@ -773,7 +774,7 @@ def stream_req_windows(spark, d):
 @query
 def stream_dedup(spark, d):
     twice = _event_stream(spark, d).union(_event_stream(spark, d))
-    return append_available(stream_events.deduplicate(twice), "events_once").select("event_id", "user_id", "event_type", "value")
+    return append_available(stream_events.deduplicate(twice, delay=None), "events_once").select("event_id", "user_id", "event_type", "value")
 
 
 @query
@@ -786,5 +787,6 @@ def stream_run_state(spark, d):
 @query
 def stream_event_counts(spark, d):
     events = _event_stream(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    counts = append_available(stream_events.event_counts(events, "k"), "event_counts")
+    stream = stream_events.event_counts(events, "k", delay=None)
+    counts = update_available(stream, "event_counts", ["window_start", "window_end", "event_type"])
     return counts.select(_time_text("window_start"), "event_type", "event_count", "payload_total")

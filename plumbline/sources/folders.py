@@ -1,18 +1,16 @@
 """Shared working folder for streams, checkpoints and intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def working_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="plumbline-")
+    """A new folder under ``spark.checkpoint.dir``, else under the session's warehouse.
+
+    Both are shared by driver and executors; the owner of the folder clears it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

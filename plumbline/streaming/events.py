@@ -1,6 +1,10 @@
 """Windowed request metrics, de-duplication, run state and event counts on streams.
 
 Event time is a TIMESTAMP column; a TIMESTAMP_NTZ column has to be cast first.
+
+``delay`` is for live input: events later than that are left out and closed state is dropped. ``delay=None`` is for a
+closed backlog: no event is late, however the input is cut into files and batches. Run it in update mode (or, for
+``deduplicate``, append mode), which also gives the windows that are still open at the end.
 """
 
 from pyspark.sql import DataFrame
@@ -10,21 +14,25 @@ from plumbline.operators.requests import health, request_metrics
 from plumbline.operators.runs import progress_measures
 
 
+def _watermarked(events: DataFrame, time: str, delay: str | None) -> DataFrame:
+    return events.withWatermark(time, delay) if delay else events
+
+
 def request_windows(
     requests: DataFrame,
     time: str = "event_time",
     window: str = "1 day",
     slide: str | None = None,
-    delay: str = "1 hour",
+    delay: str | None = "1 hour",
     by: list[str] | None = None,
 ) -> DataFrame:
     """Latency counts of each window, ready to be merged or ranked.
 
-    State holds one row per distinct outcome and latency of the open windows, and
+    State holds one row per distinct outcome and latency of the open windows (``WINDOW_KEYS`` and ``by``), and
     requests later than ``delay`` are left out.
     """
     return (
-        requests.withWatermark(time, delay)
+        _watermarked(requests, time, delay)
         .groupBy(F.window(time, window, slide or window).alias("w"), *(by or ["system_name"]), "success", "latency_ms")
         .agg(F.count(F.lit(1)).alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
         .select(
@@ -40,6 +48,9 @@ def request_windows(
     )
 
 
+WINDOW_KEYS = ["window_start", "window_end", "success", "latency_ms"]
+
+
 def window_metrics(windows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Exact request metrics of closed windows from their latency counts."""
     keys = ["window_start", "window_end", *(by or ["system_name"])]
@@ -63,8 +74,10 @@ def approximate_windows(
     )
 
 
-def deduplicate(events: DataFrame, key: str = "event_id", time: str = "event_time", delay: str = "1 hour") -> DataFrame:
-    """Each event once, for events delivered again within ``delay``."""
+def deduplicate(events: DataFrame, key: str = "event_id", time: str = "event_time", delay: str | None = "1 hour") -> DataFrame:
+    """Each event once, for events delivered again within ``delay`` (None: at any time)."""
+    if delay is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -77,11 +90,11 @@ def run_states(changes: DataFrame) -> DataFrame:
 
 
 def event_counts(
-    events: DataFrame, total: str, time: str = "event_time", window: str = "1 day", delay: str = "1 hour"
+    events: DataFrame, total: str, time: str = "event_time", window: str = "1 day", delay: str | None = "1 hour"
 ) -> DataFrame:
     """Events and sum of a payload number per window and event type."""
     return (
-        events.withWatermark(time, delay)
+        _watermarked(events, time, delay)
         .groupBy(F.window(time, window).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("event_count"), F.sum(total).alias("payload_total"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "event_count", "payload_total")
