@@ -26,7 +26,8 @@ WHERE NOT EXISTS (SELECT 1 FROM fx_existing e WHERE e.run_id = g.run_id AND e.pa
 )
 O["gap_effort"] = with_inputs(
     "fx_gaps",
-    "SELECT run_id, CAST(sum(effort_min) AS BIGINT) AS effort_min_days, CAST(sum(effort_max) AS BIGINT) AS effort_max_days FROM fx_gaps GROUP BY run_id",
+    "SELECT c_custkey AS run_id, CAST(coalesce(sum(effort_min), 0) AS BIGINT) AS effort_min_days, CAST(coalesce(sum(effort_max), 0) AS BIGINT) AS effort_max_days "
+    "FROM customer LEFT JOIN fx_gaps ON run_id = c_custkey GROUP BY c_custkey",
 )
 
 _INPUTS = "fx_findings fx_metrics fx_gaps fx_dq"
@@ -138,14 +139,25 @@ summary AS (SELECT run_id, count(*) FILTER (WHERE kind = 'schema') AS schema_inc
   count(*) FILTER (WHERE severity = 'CRITICAL' AND kind <> 'data_quality') AS critical_issues, count(*) FILTER (WHERE blocking) AS blocking_gaps
   FROM tagged GROUP BY run_id)
 """
-O["findings_summary"] = with_inputs(_PENALTY_INPUTS, f"WITH {_TAGGED} SELECT * FROM summary")
+O["findings_summary"] = with_inputs(
+    _PENALTY_INPUTS,
+    f"""
+WITH {_TAGGED}
+SELECT c_custkey AS run_id, coalesce(schema_inconsistencies, 0) AS schema_inconsistencies, coalesce(pipeline_bottlenecks, 0) AS pipeline_bottlenecks,
+       coalesce(middleware_gaps, 0) AS middleware_gaps, coalesce(data_quality_issues, 0) AS data_quality_issues,
+       coalesce(critical_issues, 0) AS critical_issues, coalesce(blocking_gaps, 0) AS blocking_gaps
+FROM (SELECT c_custkey FROM customer UNION SELECT run_id FROM summary) r LEFT JOIN summary ON run_id = c_custkey
+""",
+)
 O["severity_breakdown"] = with_inputs(
     _PENALTY_INPUTS,
     f"""
 WITH {_TAGGED}
 SELECT run_id, kind, severity, count(*) AS n, false AS is_total FROM tagged GROUP BY run_id, kind, severity
 UNION ALL
-SELECT run_id, kind, CAST(NULL AS VARCHAR), count(*), true FROM tagged GROUP BY run_id, kind
+SELECT k.run_id, k.kind, CAST(NULL AS VARCHAR), count(t.run_id), true
+FROM (SELECT c_custkey AS run_id, kind FROM customer, (VALUES ('schema'), ('pipeline'), ('middleware'), ('data_quality')) v(kind)
+      UNION SELECT run_id, kind FROM tagged) k LEFT JOIN tagged t ON t.run_id = k.run_id AND t.kind = k.kind GROUP BY k.run_id, k.kind
 """,
 )
 
@@ -174,7 +186,8 @@ _TECHNICAL = ",\n  ".join(
     ]
 )
 O["technical_summary"] = with_inputs(
-    _PENALTY_INPUTS, f"WITH {_TAGGED} SELECT run_id, concat_ws(chr(10), {_TECHNICAL}) AS technical_summary FROM tagged GROUP BY run_id"
+    _PENALTY_INPUTS, f"WITH {_TAGGED} SELECT run_id, concat_ws(chr(10), {_TECHNICAL}) AS technical_summary "
+    "FROM (SELECT * FROM tagged UNION ALL SELECT c_custkey, NULL, NULL, false FROM customer) x GROUP BY run_id"
 )
 O["report_json"] = with_inputs(
     "fx_findings fx_metrics fx_bottlenecks fx_gaps fx_dq",

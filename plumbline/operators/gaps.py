@@ -109,5 +109,10 @@ def middleware_gaps(
     )
 
 
-def total_effort(gaps: DataFrame) -> DataFrame:
-    return gaps.groupBy("run_id").agg(F.sum("effort_min").alias("effort_min_days"), F.sum("effort_max").alias("effort_max_days"))
+def total_effort(gaps: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Days per run; zeros for listed ``runs`` without gaps."""
+    rows = gaps.select("run_id", F.col("effort_min").cast("long").alias("low"), F.col("effort_max").cast("long").alias("high"))
+    if runs is not None:
+        zero = F.lit(0).cast("long")
+        rows = rows.unionByName(runs.select("run_id", zero.alias("low"), zero.alias("high")))
+    return rows.groupBy("run_id").agg(F.sum("low").alias("effort_min_days"), F.sum("high").alias("effort_max_days"))

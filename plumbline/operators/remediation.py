@@ -183,11 +183,16 @@ def remediation_effort(items: DataFrame, runs: DataFrame | None = None) -> DataF
     )
 
 
-def _tagged(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame) -> DataFrame:
-    no = F.lit(False)
+def _tagged(
+    findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
+    """All findings with their kind; a row without kind for each run of the list, so that none is missing."""
+    no, none = F.lit(False), F.lit(None).cast("string")
+    listed = [] if runs is None else [runs.select("run_id", none.alias("kind"), none.alias("severity"), no.alias("blocking"))]
     return reduce(
         DataFrame.unionByName,
         [
+            *listed,
             findings.select("run_id", F.lit("schema").alias("kind"), "severity", no.alias("blocking")),
             bottlenecks.select("run_id", F.lit("pipeline").alias("kind"), "severity", no.alias("blocking")),
             gaps.select("run_id", F.lit("middleware").alias("kind"), "severity", "blocking"),
@@ -196,11 +201,13 @@ def _tagged(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, qualit
     )
 
 
-def findings_summary(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame) -> DataFrame:
-    """Six counts per run, in one aggregation over all finding kinds."""
+def findings_summary(
+    findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
+    """Six counts per run, in one aggregation over all finding kinds; zeros for listed ``runs`` without findings."""
     kind = F.col("kind")
     critical = (F.col("severity") == "CRITICAL") & (kind != "data_quality")
-    return _tagged(findings, bottlenecks, gaps, quality_issues).groupBy("run_id").agg(
+    return _tagged(findings, bottlenecks, gaps, quality_issues, runs).groupBy("run_id").agg(
         F.count_if(kind == "schema").alias("schema_inconsistencies"),
         F.count_if(kind == "pipeline").alias("pipeline_bottlenecks"),
         F.count_if(kind == "middleware").alias("middleware_gaps"),
@@ -210,23 +217,35 @@ def findings_summary(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFram
     )
 
 
-def severity_breakdown(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame) -> DataFrame:
-    """Counts per run, kind and severity with subtotals per kind (null severity)."""
+def severity_breakdown(
+    findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
+    """Counts per run, kind and severity with subtotals per kind (null severity).
+
+    Listed ``runs`` have a subtotal for every kind, zero where nothing was found.
+    """
     keys = ["run_id", "kind", "severity"]
-    fine = _tagged(findings, bottlenecks, gaps, quality_issues).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    found = _tagged(findings, bottlenecks, gaps, quality_issues).select(*keys, F.lit(1).alias("one"))
+    if runs is not None:
+        kinds = F.explode(F.array(*[F.lit(k) for k in messages.TECHNICAL_KINDS]))
+        found = found.unionByName(runs.select("run_id", kinds.alias("kind"), F.lit(None).cast("string").alias("severity"), F.lit(0).alias("one")))
+    fine = found.groupBy(*keys).agg(F.sum("one").alias("n"))
     return (
         fine.groupingSets([keys, keys[:2]], *keys)
         .agg(F.sum("n").alias("n"), F.grouping("severity").alias("g"))
         .select(*keys, "n", (F.col("g") == 1).alias("is_total"))
+        .filter("is_total OR n > 0")
     )
 
 
-def technical_summary(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame) -> DataFrame:
+def technical_summary(
+    findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
     """Text with the counts per kind; lines of severities without findings are left out."""
     levels = {"schema": ["CRITICAL", "HIGH", "MEDIUM", "LOW"], "pipeline": ["CRITICAL", "HIGH", "MEDIUM"]}
     kinds = messages.TECHNICAL_KINDS
     kind, severity = F.col("kind"), F.col("severity")
-    counts = _tagged(findings, bottlenecks, gaps, quality_issues).groupBy("run_id").agg(
+    counts = _tagged(findings, bottlenecks, gaps, quality_issues, runs).groupBy("run_id").agg(
         *[F.count_if(kind == k).alias(k) for k in kinds],
         *[F.count_if((kind == k) & (severity == s)).alias(f"{k}_{s}") for k, ss in levels.items() for s in ss],
         F.count_if("blocking").alias("blocking_count"),

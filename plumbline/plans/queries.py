@@ -583,7 +583,7 @@ def middleware_gaps(spark, d):
 
 @query
 def gap_effort(spark, d):
-    return gaps.total_effort(i.gap_rows(spark, d))
+    return gaps.total_effort(i.gap_rows(spark, d), _run_list(spark, d))
 
 
 @query
@@ -634,17 +634,17 @@ def remediation_effort(spark, d):
 
 @query
 def findings_summary(spark, d):
-    return remediation.findings_summary(*_issues(_finding_tables(spark, d)))
+    return remediation.findings_summary(*_issues(_finding_tables(spark, d)), _run_list(spark, d))
 
 
 @query
 def severity_breakdown(spark, d):
-    return remediation.severity_breakdown(*_issues(_finding_tables(spark, d)))
+    return remediation.severity_breakdown(*_issues(_finding_tables(spark, d)), _run_list(spark, d))
 
 
 @query
 def technical_summary(spark, d):
-    return remediation.technical_summary(*_issues(_finding_tables(spark, d)))
+    return remediation.technical_summary(*_issues(_finding_tables(spark, d)), _run_list(spark, d))
 
 
 @query
