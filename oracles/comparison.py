@@ -12,7 +12,7 @@ O["shared_entities"] = with_inputs(
 O["system_pairs"] = with_inputs("fx_pairs", "SELECT * FROM fx_pairs")
 O["exact_norm_match"] = with_inputs(
     "fx_compared",
-    f"SELECT {PAIR}, source_field, target_field, 1::DOUBLE AS score FROM fx_compared WHERE target_field IS NOT NULL",
+    f"SELECT {PAIR}, source_field, target_field, score FROM fx_compared WHERE score = 1",
 )
 O["matched_type_mismatch"] = with_inputs(
     "fx_compared", f"SELECT {PAIR}, source_field, source_type, target_type FROM fx_compared WHERE mismatch"
@@ -24,7 +24,8 @@ SELECT {PAIR}, source_field AS field, 'missing_in_target' AS side FROM fx_compar
 UNION ALL
 SELECT p.entity, p.source_system, p.target_system, t.field, 'missing_in_source'
 FROM fx_pairs p JOIN fx_fields t ON t.entity = p.entity AND t.system = p.target_system
-WHERE NOT EXISTS (SELECT 1 FROM fx_fields s WHERE s.entity = p.entity AND s.system = p.source_system AND s.norm = t.norm)
+WHERE NOT EXISTS (SELECT 1 FROM fx_compared s WHERE s.entity = p.entity AND s.source_system = p.source_system
+                  AND s.target_system = p.target_system AND s.target_field = t.field)
 """,
 )
 O["schema_similarity"] = with_inputs(

@@ -133,15 +133,58 @@ def type_score(a: str, b: str) -> str:
       ELSE 0.2::DOUBLE END"""
 
 
-# Every source field against every later system, with the equal-name match if any.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+_SHARED = " + ".join(f"least(length(a) - length(replace(a, '{c}', '')), length(b) - length(replace(b, '{c}', '')))" for c in _LETTERS)
+# Longest common block of a[alo, ahi) and b[blo, bhi), the earliest in a and then in b.
+_BEST = """
+list_max(flatten([[
+  {'k': list_max([k for k in range(0, least(ahi - i, bhi - j) + 1) if substr(a, i, k) = substr(b, j, k)]), 'i': -i, 'j': -j}
+  for j in range(blo, bhi)] for i in range(alo, ahi)]))
+"""
+
+
+def scored_names(names: str) -> str:
+    """Pairs (a, b, score) of different names (entity, norm) whose matching ratio is at least 0.8; needs WITH RECURSIVE.
+
+    The parts on either side of a longest common block are open blocks in their turn.
+    """
+    return f"""
+WITH RECURSIVE pairs AS (
+  SELECT DISTINCT x.norm AS a, y.norm AS b FROM {names} x JOIN {names} y ON x.entity = y.entity AND x.norm <> y.norm
+  WHERE 2 * least(length(x.norm), length(y.norm)) >= 0.8 * (length(x.norm) + length(y.norm)) - 1e-9
+),
+likely AS (SELECT a, b FROM pairs WHERE 2 * ({_SHARED}) >= 0.8 * (length(a) + length(b)) - 1e-9),
+blocks AS (
+  SELECT a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS got FROM likely
+  UNION ALL
+  SELECT a, b, c.alo, c.ahi, c.blo, c.bhi, c.got FROM (
+    SELECT a, b, unnest([
+      {{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j, 'got': m.k}},
+      {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi, 'got': 0}}]) AS c
+    FROM (SELECT *, {_BEST} AS m FROM blocks WHERE alo < ahi AND blo < bhi) x WHERE m.k > 0) y
+)
+SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS score FROM blocks GROUP BY a, b
+HAVING 2.0::DOUBLE * sum(got) / (length(a) + length(b)) >= 0.8
+"""
+
+
+_FIELD_NAMES = "SELECT DISTINCT entity, norm FROM fx_fields WHERE norm <> ''"
+# The names differ by entity, but not which pairs of names there are: each is scored once.
+_SCORED = scored_names("(SELECT DISTINCT 'all' AS entity, norm FROM fx_names)")
+
+# Every source field against every later system: the equal name if any, else the best similar one, the earliest on ties.
 _COMPARED = f"""
 SELECT p.*, s.field AS source_field, s.field_ord AS source_field_ord, s.type AS source_type, s.nullable AS source_nullable, s.pk AS source_pk,
        t.field AS target_field, t.field_ord AS target_field_ord, t.type AS target_type, t.nullable AS target_nullable, t.pk AS target_pk,
+       CASE WHEN t.norm = s.norm THEN 1::DOUBLE ELSE c.score END AS score,
        t.field IS NOT NULL AND {base("s.type")} <> {base("t.type")}
          AND NOT EXISTS (SELECT 1 FROM fx_compatible c WHERE c.a = {base("s.type")} AND c.b = {base("t.type")}) AS mismatch
 FROM fx_pairs p
 JOIN fx_fields s ON s.entity = p.entity AND s.system = p.source_system
-LEFT JOIN fx_fields t ON t.entity = p.entity AND t.system = p.target_system AND t.norm = s.norm
+LEFT JOIN (fx_fields t LEFT JOIN fx_scored c ON c.b = t.norm)
+  ON t.entity = p.entity AND t.system = p.target_system AND (t.norm = s.norm OR c.a = s.norm)
+QUALIFY row_number() OVER (PARTITION BY p.entity, p.source_system, p.target_system, s.field
+                           ORDER BY coalesce(t.norm = s.norm, false) DESC, CASE WHEN t.norm = s.norm THEN 1 ELSE c.score END DESC NULLS LAST, t.field_ord) = 1
 """
 
 _DERIVED = {
@@ -157,7 +200,9 @@ _DERIVED = {
     "fx_pairs": (_PAIRS, ["fx_catalog"]),
     "fx_compatible": (_COMPATIBLE, []),
     "fx_type_groups": (_TYPE_GROUPS, []),
-    "fx_compared": (_COMPARED, ["fx_pairs", "fx_fields", "fx_compatible"]),
+    "fx_names": (_FIELD_NAMES, ["fx_fields"]),
+    "fx_scored": (_SCORED, ["fx_names"]),
+    "fx_compared": (_COMPARED, ["fx_pairs", "fx_fields", "fx_compatible", "fx_scored"]),
 }
 
 _FROM_CATALOG = ["fx_constraints", "fx_key_columns", "fx_referenced", "fx_columns", "fx_run_catalog", "fx_run_systems"]

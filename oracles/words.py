@@ -1,4 +1,6 @@
-"""Check SQL of the similar-name queries: the matching ratio as a recursion over open blocks of both names."""
+"""Check SQL of the similar-name queries on words."""
+
+from oracles.fragments import scored_names
 
 ORACLES = {}
 
@@ -14,35 +16,10 @@ words AS (
   FROM places WHERE field <> '' GROUP BY ALL
 )
 """
-_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
-_SHARED = " + ".join(f"least(length(a) - length(replace(a, '{c}', '')), length(b) - length(replace(b, '{c}', '')))" for c in _LETTERS)
-# Longest common block of a[alo, ahi) and b[blo, bhi), the earliest in a and then in b; children are the parts on either side.
-_BEST = """
-list_max(flatten([[
-  {'k': list_max([k for k in range(0, least(ahi - i, bhi - j) + 1) if substr(a, i, k) = substr(b, j, k)]), 'i': -i, 'j': -j}
-  for j in range(blo, bhi)] for i in range(alo, ahi)]))
-"""
 _SCORED = f"""
 {_WORDS},
 names AS (SELECT DISTINCT entity, norm FROM words WHERE norm <> ''),
-pairs AS (
-  SELECT DISTINCT x.norm AS a, y.norm AS b FROM names x JOIN names y ON x.entity = y.entity AND x.norm <> y.norm
-  WHERE 2 * least(length(x.norm), length(y.norm)) >= 0.8 * (length(x.norm) + length(y.norm)) - 1e-9
-),
-likely AS (SELECT a, b FROM pairs WHERE 2 * ({_SHARED}) >= 0.8 * (length(a) + length(b)) - 1e-9),
-blocks AS (
-  SELECT a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS got FROM likely
-  UNION ALL
-  SELECT a, b, c.alo, c.ahi, c.blo, c.bhi, c.got FROM (
-    SELECT a, b, unnest([
-      {{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j, 'got': m.k}},
-      {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi, 'got': 0}}]) AS c
-    FROM (SELECT *, {_BEST} AS m FROM blocks WHERE alo < ahi AND blo < bhi) x WHERE m.k > 0) y
-),
-scored AS (
-  SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS score FROM blocks GROUP BY a, b
-  HAVING 2.0::DOUBLE * sum(got) / (length(a) + length(b)) >= 0.8
-)
+scored AS ({scored_names("names")})
 """
 _COMPARED = f"""
 {_SCORED},
@@ -62,10 +39,10 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY entity, source_system, target_system, source_field ORDER BY same DESC, score DESC, field_ord) = 1
 )
 """
-ORACLES["name_similarity"] = f"WITH RECURSIVE {_SCORED} SELECT a AS source_norm, b AS target_norm, score FROM scored"
-ORACLES["fuzzy_match"] = f"WITH RECURSIVE {_COMPARED} SELECT entity, source_system, target_system, source_field, target_field, score FROM best"
+ORACLES["name_similarity"] = f"WITH {_SCORED} SELECT a AS source_norm, b AS target_norm, score FROM scored"
+ORACLES["fuzzy_match"] = f"WITH {_COMPARED} SELECT entity, source_system, target_system, source_field, target_field, score FROM best"
 ORACLES["fuzzy_report"] = f"""
-WITH RECURSIVE {_COMPARED},
+WITH {_COMPARED},
 keys AS (
   SELECT entity, source_system, target_system, list_sort(list(DISTINCT source_field) FILTER (WHERE source_field LIKE '%id%')) AS s,
          list_sort(list(DISTINCT target_field) FILTER (WHERE target_field LIKE '%id%')) AS t

@@ -318,7 +318,7 @@ def json_roundtrip(spark, d):
 
 
 def _compared(spark, d):
-    return schema_fuzzy.compare_fields(i.catalog(spark, d), None, stored)
+    return schema_fuzzy.compare_fields(i.catalog(spark, d), store=stored)
 
 
 def _compared_words(spark, d):
@@ -338,7 +338,8 @@ def system_pairs(spark, d):
 
 @query
 def exact_norm_match(spark, d):
-    return schema_fuzzy.field_matches(_compared(spark, d)).select(*PAIR, "source_field", "target_field", "score")
+    equal = schema_fuzzy.compare_fields(i.catalog(spark, d), None, stored)
+    return schema_fuzzy.field_matches(equal).select(*PAIR, "source_field", "target_field", "score")
 
 
 @query
@@ -354,14 +355,14 @@ def matched_type_mismatch(spark, d):
 @query
 def missing_fields(spark, d):
     catalog = i.catalog(spark, d)
-    found = schema_fuzzy.missing_fields(catalog, stored(schema_fuzzy.compare_fields(catalog, None, stored), "compared"))
+    found = schema_fuzzy.missing_fields(catalog, stored(schema_fuzzy.compare_fields(catalog, store=stored), "compared"))
     return found.select(*PAIR, "field", "side")
 
 
 @query
 def schema_similarity(spark, d):
     catalog = i.catalog(spark, d)
-    return schema_fuzzy.schema_similarity(catalog, schema_fuzzy.compare_fields(catalog, None, stored))
+    return schema_fuzzy.schema_similarity(catalog, schema_fuzzy.compare_fields(catalog, store=stored))
 
 
 @query
@@ -399,8 +400,7 @@ def _drifting(spark, d):
         fields.withColumn("type", F.when(F.col("pk") & odd, "bigint").otherwise(F.col("type"))).withColumn(
             "nullable", F.col("nullable") & ~(odd & (F.col("field_ord") == 6))
         ),
-        None,
-        stored,
+        store=stored,
     )
 
 
@@ -679,7 +679,7 @@ def _portfolio(spark, d):
 
 @query
 def assessment(spark, d):
-    return assess(*_portfolio(spark, d), threshold=None, assessed_on="January 31, 2024")["scores"]
+    return assess(*_portfolio(spark, d), assessed_on="January 31, 2024")["scores"]
 
 
 @query
