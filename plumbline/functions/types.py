@@ -36,9 +36,14 @@ TYPE_GROUPS = [
 SAME_TYPE, SAME_GROUP, UNKNOWN_TYPE, OTHER_TYPE = 1.0, 0.9, 0.5, 0.2
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def type_base(declared: Column) -> Column:
     """``varchar(255)`` -> ``varchar``; text without leading letters is kept whole."""
-    stripped = F.trim(declared)
+    stripped = _stripped(declared)
     letters = F.regexp_extract(stripped, "^([A-Za-z]+)", 1)
     return F.lower(F.when(letters != "", letters).otherwise(stripped))
 
@@ -59,7 +64,7 @@ def type_similarity(source: Column, target: Column) -> Column:
 
     Lengths are not stripped: ``varchar(10)`` and ``varchar`` score 0.2.
     """
-    a, b = F.lower(F.trim(source)), F.lower(F.trim(target))
+    a, b = F.lower(_stripped(source)), F.lower(_stripped(target))
     same_group = F.lit(False)
     for group in TYPE_GROUPS:
         same_group = same_group | (a.isin(*group) & b.isin(*group))

@@ -11,7 +11,6 @@ from plumbline.functions.names import is_identifier, is_key
 from plumbline.functions.text import percent
 
 COMPLETENESS_GATE = 0.05
-IDENTIFIERS_CHECKED = 3
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -113,8 +112,8 @@ def completeness(df: DataFrame, system: str, table: str, gate: float = COMPLETEN
     return _result(graded, "completeness", system, table)
 
 
-def uniqueness(df: DataFrame, system: str, table: str, limit: int = IDENTIFIERS_CHECKED) -> DataFrame:
-    """Duplicate values in the first ``limit`` identifier columns.
+def uniqueness(df: DataFrame, system: str, table: str, limit: int | None = None) -> DataFrame:
+    """Duplicate values in the identifier columns; of the first ``limit`` if given.
 
     One aggregation per column: each reads a single column and combines equal values
     before the shuffle, where several distinct counts in one aggregate would multiply rows.

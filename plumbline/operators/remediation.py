@@ -274,7 +274,7 @@ def simple_plan(findings: DataFrame, gaps: DataFrame, include_high: bool = False
         "description",
         F.lit("middleware").alias("category"),
         F.when(F.col("severity") == "CRITICAL", 9).otherwise(7).alias("priority"),
-        "severity",
+        F.coalesce("severity", F.lit("HIGH")).alias("severity"),
         F.coalesce("effort_min", F.lit(5)).cast("long").alias("effort_min_days"),
         F.coalesce("effort_max", F.lit(20)).cast("long").alias("effort_max_days"),
         F.col("recommended_sequence").cast("long").alias("recommended_sequence"),

@@ -249,10 +249,19 @@ def key_mismatches(compared: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(name):
+    """A name in single quotes; in double quotes if it has single ones only."""
+    single, double = F.lit("'"), F.lit('"')
+    escaped = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), single, F.lit("\\'"))
+    return F.when(F.contains(name, single) & ~F.contains(name, double), F.concat(double, F.replace(name, F.lit("\\"), F.lit("\\\\")), double)).otherwise(
+        F.concat(single, escaped, single)
+    )
+
+
 def _name_list(name, order):
     ordered = F.transform(
         F.array_sort(F.collect_list(F.when(looks_like_id(F.col(name)), F.struct(F.col(order), F.col(name).alias("n"))))),
-        lambda x: F.concat(F.lit("'"), x["n"], F.lit("'")),
+        lambda x: _quoted(x["n"]),
     )
     return F.concat(F.lit("["), F.array_join(ordered, ", "), F.lit("]"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from plumbline.functions.text import fixed
 
 RUN_BUCKETS = 64
+ROWS_PER_TASK = 1_000_000
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -49,12 +50,13 @@ def run_bucket(buckets: int = RUN_BUCKETS):
     return F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
 
 
-def write_results(df: DataFrame, path: str, buckets: int = RUN_BUCKETS) -> None:
+def write_results(df: DataFrame, path: str, buckets: int = RUN_BUCKETS, rows_per_task: int = ROWS_PER_TASK) -> None:
     """Write a result table partitioned by run bucket, replacing only the buckets written.
 
-    Rows are spread by bucket and row hash, so that one large run is written by many tasks.
+    Rows are spread by bucket and row hash, the further the more there are, so that one large run is written by many tasks.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "run_id"]), F.lit(16))
+    parts = 1 + df.count() // rows_per_task
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "run_id"]), F.lit(parts))
     (
         df.withColumn("run_bucket", run_bucket(buckets))
         .repartition("run_bucket", spread)
