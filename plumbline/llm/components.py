@@ -26,8 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up"))
+        hooks = written(hooks, "hooks")
         for _ in range(2):
-            above = hooks.select(F.col("root").alias("up"), F.col("up").alias("top"))
+            # Only roots that hook and are hooked to make a chain.
+            above = hooks.join(hooks.select(F.col("up").alias("root")).distinct(), "root", "left_semi")
+            above = above.select(F.col("root").alias("up"), F.col("up").alias("top"))
             hooks = written(salted_join(hooks, above, "up", F.col("root"), "left").select("root", F.coalesce("top", "up").alias("up")), "hooks")
         moved = salted_join(labels, hooks, "root", F.col("node"), "left")
         labels = written(moved.select("node", F.coalesce("up", "root").alias("root")), "labels")

@@ -7,10 +7,12 @@ intervals [0, 1), [1, 2), [2, 4), ..., so that a count needs as many processes a
 time by which every register is surely met are never made.
 
 Signatures are cut into bands; documents that agree in a band share a bucket. Texts of equal words are one node from the
-start. In the first round every node of a bucket is compared with the bucket's least node, exactly, by multiset overlap;
-links join components. As long as a bucket holds nodes of several components, further nodes of it (all, or about PIVOTS of
-a large bucket) are compared with those of other components, until each such pair of the bucket has been compared or
-joined: no pair that shares a bucket is left out, and a group of copies needs no more pairs than it has members.
+start. STARS times, all nodes of a bucket are compared, exactly, with its most central node (the one with the fullest
+buckets) that has not been a centre yet, unless both are already joined; links join components. In buckets that then still
+hold several components, every node outside the largest one is compared with all nodes of other components. These
+comparisons are made in blocks of bounded size that count the overlaps of all their nodes at once, so that pairs are never
+rows: only links leave a block. No pair that shares a bucket is left out, and a group of copies, once joined, needs about
+as many comparisons as it has members.
 
 Nodes of a hot bucket, links of a hot node and members of a hot class meet their partners salted.
 
@@ -39,9 +41,12 @@ THRESHOLD = 0.8
 REGISTERS = 128
 ROWS = 5
 BANDS = REGISTERS // ROWS
-PIVOTS = 64
+STARS = 2
 PAIRS_A_COPY = 256
 MOST_WORDS = 1_000_000
+QUERY_BYTES = 1 << 20
+QUERIES = 128
+BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"\w+")
 _SKETCH = "k long, tie long, g long, g2 long, bands array<long>"
 NO_KEY = -(1 << 63)
@@ -163,26 +168,86 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(k.alias("k"), tie.alias("tie"), text_of(text).alias("text")).mapInArrow(run, _SKETCH)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) whose multisets have at least the weighted Jaccard similarity ``threshold``."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _multisets(texts: DataFrame) -> DataFrame:
+    """(node, set): the sorted elements of each text's multiset, as bytes."""
 
     @F.pandas_udf("binary")
     def elements(text: pd.Series) -> pd.Series:
         return text.map(_elements)
 
+    return texts.select("node", elements("text").alias("set"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (a, b) whose multisets have at least the weighted Jaccard similarity ``threshold``; a stored table."""
+
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([_overlap(x, y) >= threshold for x, y in zip(left, right, strict=True)])
 
-    sets = written(texts.join(nodes, "node", "left_semi").select("node", elements("text").alias("set")), "multisets")
     # A node with many links is dealt in as many copies as keep the links of a copy below a bound.
     links = pairs.groupBy("b").agg((1 + F.floor(F.count(F.lit(1)) / PAIRS_A_COPY)).cast("int").alias("copies"))
     dealt = salted_join(pairs, links, "b", F.col("a")).withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
     right = sets.withColumnsRenamed({"node": "b", "set": "right"}).join(links, "b")
     right = right.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     left = dealt.drop("copies").join(sets.withColumnsRenamed({"node": "a", "set": "left"}), "a")
-    return left.join(right, ["b", "copy"]).filter(alike("left", "right")).select("a", "b")
+    return written(left.join(right, ["b", "copy"]).filter(alike("left", "right")).select("a", "b"), "links")
+
+
+def _blocks(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (block, node, root, query, set) of the comparisons left in the buckets of ``members``.
+
+    Queries are the nodes outside a bucket's largest component. They are dealt by hash into parts, the bucket's nodes into
+    parts of their own, and every pair of parts is a block of about QUERY_BYTES and BLOCK_BYTES.
+    """
+    sized = sets.select("node", F.octet_length("set").cast("long").alias("bytes"))
+    rows = written(_named(members.select("bucket", "node"), labels).join(sized, "node"), "open")
+    by_root = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    total = by_root.groupBy("bucket").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    left = F.greatest((F.col("bytes") - F.col("top.bytes")) / QUERY_BYTES, (F.col("n") - F.col("top.n")) / QUERIES)
+    parts = total.select(
+        "bucket", F.col("top.root").alias("largest"), F.ceil(left).cast("int").alias("qs"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("ms")
+    )
+    rows = salted_join(rows, parts, "bucket", F.col("node")).withColumn("query", F.col("root") != F.col("largest"))
+    part = lambda n, seed: F.pmod(F.xxhash64("node", "bucket", F.lit(seed)), F.col(n)).cast("int")
+    q, m = F.sequence(F.lit(0), F.col("qs") - 1), F.sequence(F.lit(0), F.col("ms") - 1)
+    as_member = F.transform(q, lambda i: F.struct(i.alias("q"), part("ms", 1).alias("m"), F.lit(False).alias("query")))
+    as_query = F.transform(m, lambda i: F.struct(part("qs", 2).alias("q"), i.alias("m"), F.lit(True).alias("query")))
+    places = F.concat(as_member, F.when(F.col("query"), as_query).otherwise(F.array().cast("array<struct<q:int,m:int,query:boolean>>")))
+    dealt = rows.select("bucket", "node", "root", F.explode(places).alias("at")).join(sets, "node")
+    return dealt.select(F.struct("bucket", "at.q", "at.m").alias("block"), "node", "root", F.col("at.query").alias("query"), "set")
+
+
+def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the queries of each block and its nodes of other components; a stored table."""
+    kind = blocks.schema["node"].dataType.simpleString()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        roots = [tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in frame["root"]]
+        group = pd.factorize(pd.Series(roots))[0]
+        query = frame["query"].to_numpy()
+        asked, given = np.flatnonzero(query), np.flatnonzero(~query)
+        found: list[tuple] = []
+        if len(asked) and len(given):
+            sets = [np.frombuffer(s, np.uint64) for s in frame["set"]]
+            known = np.unique(np.concatenate([sets[k] for k in asked]))
+            has = np.zeros((len(asked), len(known) + 1), bool)
+            for i, k in enumerate(asked):
+                has[i, np.searchsorted(known, sets[k])] = True
+            sizes = np.array([len(s) for s in sets])
+            for low in range(0, len(given), 64):
+                some = given[low : low + 64]
+                flat = np.concatenate([sets[k] for k in some])
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                at = np.where(known[at] == flat, at, len(known))
+                starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+                both = np.add.reduceat(has[:, at], starts, axis=1, dtype=np.int64)
+                near = both >= threshold * (sizes[asked][:, None] + sizes[some][None, :] - both)
+                for i, j in zip(*np.nonzero(near & (group[asked][:, None] != group[some][None, :])), strict=True):
+                    found.append((frame["node"].iat[asked[i]], frame["node"].iat[some[j]]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return written(blocks.groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}").distinct(), "links")
 
 
 def _elements(text: str) -> bytes:
@@ -214,43 +279,57 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     at = nodes.select(F.col("node.k").alias("k"), "tie", "node")
 
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = written(salted_join(members, heads, "bucket", F.col("node")), "members")
-    # Texts of all nodes that share a bucket; later rounds read these alone.
-    shared = members.select("node").distinct()
-    texts = written(source.join(at.join(shared, "node", "left_semi"), ["k", "tie"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    tried = written(members.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    links = written(_compared(tried, texts, threshold), "links")
-    labels = components(links)
-    # A head has been compared with its whole bucket.
-    members = members.filter("node <> head").drop("head")
-    turn = 0
-    while True:
-        turn += 1
-        named = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = named.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n"))
-        members = salted_join(named, open_.filter("r0 <> r1").select("bucket", "n"), "bucket", F.col("node"))
-        chance = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
-        members = written(members.withColumn("pivot", (F.col("n") <= PIVOTS) | chance), "members")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(salted_join(members, shared, "bucket", F.col("node")), "members")
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    members = written(members.join(central, "node").select("bucket", "node", "central"), "members")
+    wanted = at.join(members.select("node").distinct(), "node", "left_semi")
+    texts = source.join(wanted, ["k", "tie"]).dropDuplicates(["node"]).select("node", "text")
+    sets = written(_multisets(texts), "multisets")
+
+    links, tried, labels = None, None, None
+    for _ in range(STARS):
+        heads = members.groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("head")).select("bucket", F.col("head.node").alias("head"))
+        members = written(salted_join(members, heads, "bucket", F.col("node")), "members")
+        pairs = members.filter("node <> head").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+        links, tried, labels = _linked(pairs, sets, links, tried, labels, threshold)
+        members = _unresolved(members.filter("node <> head").drop("head"), "bucket", labels)
         if members.isEmpty():
             break
-        pivots = members.filter("pivot").select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        others = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        pairs = others.join(spread, ["bucket", "salt"]).filter("root <> rb AND node <> b AND (NOT pivot OR node < b)")
-        pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(_compared(pairs, texts, threshold))
+        sets = written(sets.join(members.select("node").distinct(), "node", "left_semi"), "multisets")
+
+    if not members.isEmpty():
+        links = links.unionByName(_block_links(_blocks(members, sets, labels), threshold))
         labels = components(links)
-        members = members.filter(~F.col("pivot")).select("bucket", "node")
-        if members.isEmpty():
-            break
     group = nodes.join(labels, "node", "left").select(F.struct("g", "g2").alias("words"), F.coalesce("root", "node").alias("root"))
     own = rows.select("k", "tie", F.struct("g", "g2").alias("words"))
     return salted_join(own, group, "words", F.struct("k", "tie")).select("k", "tie", "words", "root")
 
 
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _unresolved(members: DataFrame, place: str, labels: DataFrame) -> DataFrame:
+    """Members of places (buckets, elements) that hold nodes of more than one component; a stored table."""
+    open_ = _named(members, labels).groupBy(place).agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    open_ = open_.filter("r0 <> r1").select(place)
+    return written(salted_join(members, open_, place, F.col("node")).select(*members.columns), "unresolved")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, links, tried, labels, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare the pairs that are neither tried nor joined yet: all links, pairs tried, and components so far."""
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        ends = [labels.withColumnsRenamed({"node": x, "root": f"root_{x}"}) for x in ("a", "b")]
+        pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        pairs = pairs.filter("NOT (root_a <=> root_b) OR root_a IS NULL").select("a", "b")
+    pairs = written(pairs, "pairs")
+    found = _compared(pairs, sets, threshold)
+    links = found if links is None else links.unionByName(found)
+    return links, pairs if tried is None else tried.unionByName(pairs), components(links)
+
+
 def _key(column: Column) -> Column:
     return F.when(column != NO_KEY, column)
 
