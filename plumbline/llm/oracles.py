@@ -42,4 +42,19 @@ SELECT *, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, (failures &
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op10_quality_rules": QUALITY_RULES}
+# Base32 of the SHA-1: five hexadecimal digits make four symbols.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first,
+    array_to_string([
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST(concat('0x', substr(x, 1 + 5 * (s // 4), 5)) AS INTEGER) >> (15 - 5 * (s % 4))) & 31), 1)
+      for s in range(32)], '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op8_warc": WARC, "op10_quality_rules": QUALITY_RULES}
