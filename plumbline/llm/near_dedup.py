@@ -43,7 +43,8 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 STARS = 2
 PAIRS_A_COPY = 256
-MOST_WORDS = 1_000_000
+MOST_WORDS = 200_000
+STEP_ELEMENTS = 1 << 15
 QUERY_BYTES = 1 << 20
 QUERIES = 128
 BLOCK_BYTES = 8 << 20
@@ -235,13 +236,14 @@ def _block_links(blocks: DataFrame, threshold: float) -> DataFrame:
             for i, k in enumerate(asked):
                 has[i, np.searchsorted(known, sets[k])] = True
             sizes = np.array([len(s) for s in sets])
-            for low in range(0, len(given), 64):
-                some = given[low : low + 64]
+            # Few members at a time, so that the table of queries by their elements stays small.
+            step = np.cumsum(sizes[given]) // STEP_ELEMENTS
+            for some in np.split(given, np.flatnonzero(np.diff(step)) + 1):
                 flat = np.concatenate([sets[k] for k in some])
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 at = np.where(known[at] == flat, at, len(known))
                 starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-                both = np.add.reduceat(has[:, at], starts, axis=1, dtype=np.int64)
+                both = np.add.reduceat(has[:, at].view(np.uint8), starts, axis=1, dtype=np.int32)
                 near = both >= threshold * (sizes[asked][:, None] + sizes[some][None, :] - both)
                 for i, j in zip(*np.nonzero(near & (group[asked][:, None] != group[some][None, :])), strict=True):
                     found.append((frame["node"].iat[asked[i]], frame["node"].iat[some[j]]))
