@@ -60,7 +60,7 @@ CONTENT_WORDS = frozenset("article content entry post story text main body prose
 # Classifier weights (log-odds of content) and tie capacities.
 IN_BOILERPLATE, IN_CONTENT, CONTENT_NAME, OUTSIDE = -10.0, 4.0, 1.0, -1.0
 PER_WORD, MOST_BY_WORDS, SENTENCE, LINKS, HEADING, ITEM, COPYRIGHT = 0.15, 3.0, 1.0, -5.0, 0.5, -0.5, -2.0
-FOLLOWS, SIBLINGS, APART = 1.0, 0.8, 0.6
+FOLLOWS, SIBLINGS, APART, BORDER = 1.0, 0.8, 0.6, 0.1
 
 
 class Block:
@@ -198,13 +198,16 @@ def blocks(page: str) -> list[Block]:
 def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between blocks that follow each other and between neighbours among the children of an element."""
     edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[tuple, int] = {}
     for k, block in enumerate(found):
+        aside = block.place == "boilerplate"
         if k:
             shared = sum(1 for x, y in zip(block.path, found[k - 1].path, strict=False) if x == y)
             apart = len(block.path) + len(found[k - 1].path) - 2 * shared
-            edges[k - 1, k] = FOLLOWS * APART ** max(0, apart - 2)
-        parent = block.path[:-1]
+            # The border of an element that is named as boilerplate is where the text does change.
+            border = BORDER if aside != (found[k - 1].place == "boilerplate") else 1.0
+            edges[k - 1, k] = border * FOLLOWS * APART ** max(0, apart - 2)
+        parent = (block.path[:-1], aside)
         if parent in last:
             pair = (last[parent], k)
             edges[pair] = edges.get(pair, 0.0) + SIBLINGS
