@@ -6,10 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, database
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Scored by a Python function, so there is no SQL; tested against brute force instead.
-WITHOUT_SQL = {"name_similarity", "fuzzy_match", "fuzzy_report"}
+from oracles import ORACLES
+from plumbline.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +15,9 @@ def con(sf_dir):
     return database(sf_dir)
 
 
-def test_only_name_scores_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -45,6 +45,20 @@ def test_late_requests_are_left_out(spark):
     assert windows.filter(F.col("window_start") == F.lit(T0)).agg(F.sum("n")).first()[0] == 36
 
 
+def test_a_backlog_gives_the_same_rows_however_it_is_cut(spark):
+    rows = requests_between(0, 150)
+    cuts = [[rows], [rows[k::4] for k in range(4)], [rows[100:], rows[:50], rows[50:100]]]
+    keys = [*events.WINDOW_KEYS, "system_name"]
+    results = []
+    for cut in cuts:
+        frame, stream = written(spark, cut, LOG)
+        windows = update_available(events.request_windows(stream, window="6 hours", delay=None), "backlog", keys)
+        once = append_available(events.deduplicate(stream.union(stream), delay=None), "backlog_once")
+        results.append((sorted(map(tuple, windows.select(*keys, "n").collect()), key=str), sorted(r.event_id for r in once.collect())))
+        assert windows.agg(F.sum("n")).first()[0] == 150 and results[-1][1] == list(range(150))
+    assert results[0] == results[1] == results[2]
+
+
 def test_repeated_events_are_dropped(spark):
     _, stream = written(spark, [requests_between(0, 30), requests_between(27, 40)], LOG)
     once = append_available(events.deduplicate(stream), "once")
