@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 LONG_WORD = 256
 SLICE_CHARS = 4 << 20
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -54,7 +55,6 @@ class Coder:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.ids = {raw(token): k for token, k in model["vocab"].items() if token not in self.special}
         self.bytes = {k: token for token, k in self.ids.items()} | {k: s.encode() for s, k in self.special.items()}
-        self.longest = max(map(len, self.ids))
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks, self.merged_into = {}, []
         for rank, (a, b) in enumerate(pairs):
@@ -62,17 +62,36 @@ class Coder:
             self.ranks[self.ids[left] << 32 | self.ids[right]] = rank
             self.merged_into.append(self.ids[left + right])
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        # The same as sorted arrays, for many words at once; the last rank stands for no merge.
+        order = np.argsort(np.fromiter(self.ranks, np.int64, len(self.ranks)))
+        self.rank_keys = np.fromiter(self.ranks, np.int64, len(self.ranks))[order]
+        self.rank_of_key = np.fromiter(self.ranks.values(), np.int64, len(self.ranks))[order]
+        self.merged_ids, self.byte_table = np.array([*self.merged_into, -1]), np.array(self.byte_ids)
+        # Trie of the vocabulary: sorted (node << 8 | byte) edges, the child of each, the token that ends at each node.
+        nodes: dict[bytes, int] = {b"": 0}
+        for token in self.ids:
+            for k in range(1, len(token) + 1):
+                nodes.setdefault(token[:k], len(nodes))
+        edges = np.array([nodes[p[:-1]] << 8 | p[-1] for p in nodes if p], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.child = edges[order], np.arange(1, len(nodes))[order]
+        self.token_at = np.array([self.ids.get(p, -1) for p in nodes], np.int64)
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # ids of a blank and the text up to the next one
         self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
         self.alone: dict[int, bool] = {}
+        # Bit 1: white space. Bit 2: characters that Python's classes sort otherwise than the pattern.
+        self.kinds = np.fromiter((chr(c).isspace() for c in range(0x110000)), np.uint8, 0x110000)
         self.odd = np.zeros(0x110000, bool)
         self.odd[[c for c in range(0x110000) if 0x1C <= c <= 0x1F or unicodedata.category(chr(c)) in ("Nl", "No")]] = True
+        self.kinds |= 2 * self.odd.astype(np.uint8)
+        self.controls = re.compile("[\x1c-\x1f]")
         self.plain = re.compile(PLAIN_PATTERN)
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.counts = {"words": 0, "merged": 0}
 
     def _split(self, text: str) -> list[str]:
-        if self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+        if not text.isascii() and self.odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any() or self.controls.search(text):
             return regex.findall(PATTERN, text)
         return self.plain.findall(text)
 
@@ -116,67 +135,168 @@ class Coder:
             offer(i)
         return [t for t in tokens if t >= 0]
 
-    def _greedy(self, word: bytes) -> list[int]:
-        out, at, n, ids = [], 0, len(word), self.ids
-        while at < n:
-            end = min(n, at + self.longest)
-            while word[at:end] not in ids:
-                end -= 1
-            out.append(ids[word[at:end]])
-            at = end
-        return out
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges where there is none."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.rank_keys, keys), len(self.rank_keys) - 1)
+        return np.where(self.rank_keys[at] == keys, self.rank_of_key[at], len(self.rank_keys))
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words in step: each round merges the leftmost best pair of every unfinished word.
+
+        The ids of all words in a row, and how many each word has.
+        """
+        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
+        results = {k: np.array(self.merge(w)) for k, w in enumerate(words) if len(w) > LONG_WORD}
+        tokens = self.byte_table[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
+        owner = np.repeat(np.array(short, np.int64), [len(words[k]) for k in short])
+        none, done = len(self.rank_keys), [(np.concatenate([np.full(len(v), k) for k, v in results.items()]), np.concatenate(list(results.values())))] if results else []
+        ranks = np.full(len(tokens), none)
+        ranks[:-1] = np.where(owner[:-1] == owner[1:], self._rank(tokens[:-1], tokens[1:]), none)
+        while len(tokens):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(owner)]]))
+            best = np.minimum.reduceat(ranks, starts)
+            if (best == none).any():
+                going = np.repeat(best != none, sizes)
+                done.append((owner[~going], tokens[~going]))
+                tokens, owner, ranks = tokens[going], owner[going], ranks[going]
+                sizes, best = sizes[best != none], best[best != none]
+                if not len(tokens):
+                    break
+            place = np.flatnonzero(ranks == np.repeat(best, sizes))
+            place = place[np.concatenate([[True], owner[place[1:]] != owner[place[:-1]]])]
+            tokens[place] = self.merged_ids[best]
+            keep = np.ones(len(tokens), bool)
+            keep[place + 1] = False
+            tokens, owner, ranks = tokens[keep], owner[keep], ranks[keep]
+            place -= np.arange(len(place))  # every word before has lost one token
+            for at in (place, place[place > 0] - 1):
+                after = np.minimum(at + 1, len(tokens) - 1)
+                ranks[at] = np.where((owner[at] == owner[after]) & (after > at), self._rank(tokens[at], tokens[after]), none)
+        if not done:
+            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+        owners = np.concatenate([o for o, _ in done])
+        return np.concatenate([x for _, x in done])[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of many words in step, one byte of each word at a time.
+
+        The ids of all words in a row, and how many each word has.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.concatenate([np.frombuffer(b"".join(words), np.uint8).astype(np.int64), [0]])
+        end = np.cumsum(lengths)
+        word, at = np.arange(len(words)), end - lengths
+        node, best, best_end = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), at.copy()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            edge = node << 8 | text[at]
+            k = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            on = (self.edges[k] == edge) & (at < end)
+            node = np.where(on, self.child[k], 0)
+            at = np.where(on, at + 1, best_end)
+            token = self.token_at[node]
+            ends = on & (token >= 0)
+            if not on.all():
+                found.append((word[~on], best[~on]))
+            best, best_end = np.where(ends, token, best), np.where(ends, at, best_end)
+            if (going := on | (at < end)).all():
+                continue
+            word, at, end, node, best, best_end = word[going], at[going], end[going], node[going], best[going], best_end[going]
+        owners = np.concatenate([w for w, _ in found]) if found else np.empty(0, np.int64)
+        tokens = np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)
+        return tokens[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
 
     def _fits(self, keys: np.ndarray) -> np.ndarray:
         """For each key (left id << 32 | right id): is the pair the merge result of its own bytes?"""
         new = np.setdiff1d(keys, self.pair_keys)
         if len(new):
-            fits = [self.merge(self.bytes[a] + self.bytes[b]) == [a, b] for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True)]
+            left, right = (new >> 32).tolist(), (new & 0xFFFFFFFF).tolist()
+            ids, lengths = self.merge_many([self.bytes[a] + self.bytes[b] for a, b in zip(left, right, strict=True)])
+            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            fits = (lengths == 2) & (ids[first] == np.array(left)) & (ids[np.minimum(first + 1, len(ids) - 1)] == np.array(right))
             all_keys = np.concatenate([self.pair_keys, new])
             order = np.argsort(all_keys)
-            self.pair_keys, self.pair_fits = all_keys[order], np.concatenate([self.pair_fits, np.array(fits, bool)])[order]
+            self.pair_keys, self.pair_fits = all_keys[order], np.concatenate([self.pair_fits, fits])[order]
         return self.pair_fits[np.searchsorted(self.pair_keys, keys)]
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words."""
         raw = [w.encode() for w in words]
-        proposed = [self._greedy(w) for w in raw]
-        lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
+        flat, lengths = self.propose(raw)
         owner = np.repeat(np.arange(len(words)), lengths)
         inside = owner[:-1] == owner[1:]
         bad = np.zeros(len(words), bool)
         keys = (flat[:-1] << 32 | flat[1:])[inside]
         bad[owner[:-1][inside][~self._fits(keys)]] = True
+        first = np.cumsum(lengths) - lengths
         for k in np.flatnonzero(lengths == 1).tolist():
-            token = proposed[k][0]
+            token = int(flat[first[k]])
             if token not in self.alone:
                 self.alone[token] = self.merge(self.bytes[token]) == [token]
             bad[k] = not self.alone[token]
         self.counts["words"] += len(words)
         self.counts["merged"] += int(bad.sum())
-        for k in np.flatnonzero(bad).tolist():
-            proposed[k] = self.merge(raw[k])
-        for word, ids in zip(words, proposed, strict=True):
-            self.words[word] = np.array(ids, "<u4").tobytes()
+        good, wrong = np.flatnonzero(~bad), np.flatnonzero(bad)
+        self._keep([words[k] for k in good.tolist()], flat[np.repeat(~bad, lengths)], lengths[good])
+        self._keep([words[k] for k in wrong.tolist()], *self.merge_many([raw[k] for k in wrong.tolist()]))
+
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+        self.words.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        whole = [None if self.parts and self.parts.search(t) else self._split(t) for t in texts]
-        pieces = {k: self.parts.split(texts[k]) for k, w in enumerate(whole) if w is None}
-        mixed = {k: [p if p in self.special else self._split(p) for p in ps] for k, ps in pieces.items()}
-        met = set().union(*(w for w in whole if w is not None), *(p for ps in mixed.values() for p in ps if isinstance(p, list)))
-        if new := [w for w in met if w not in self.words]:
+        for known in (self.words, self.pieces):
+            if len(known) > MOST_WORDS:
+                known.clear()
+        out: list = [None] * len(texts)
+        simple = [k for k, t in enumerate(texts) if self._is_simple(t)]
+        heads, tails = [], []
+        for k in simple:
+            head, blank, tail = texts[k].partition(" ")
+            heads.append(head)
+            tails.append(tail.split(" ") if blank else [])
+        look = self.pieces.get
+        missing = set().union(*tails).difference(self.pieces)
+        if missing:
+            self._add_pieces(list(missing))
+        for k, head, tail in zip(simple, self._coded(heads), tails, strict=True):
+            out[k] = head + b"".join(map(look, tail))
+        rest = [(k, self.parts.split(texts[k]) if self.parts else [texts[k]]) for k in range(len(texts)) if out[k] is None]
+        plain = iter(self._coded([p for _, parts in rest for p in parts if p not in self.special]))
+        for k, parts in rest:
+            out[k] = b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else next(plain) for p in parts)
+        return out
+
+    def _add_pieces(self, pieces: list[str]) -> None:
+        """Ids of new pieces, a blank before each: split as one text, whose words with a blank begin the pieces."""
+        words = self.plain.findall(" " + " ".join(pieces))
+        if new := set(words).difference(self.words):
+            self._learn(list(new))
+        coded = list(map(self.words.__getitem__, words))
+        begins = np.fromiter(map(str.startswith, words, repeat(" ")), bool, len(words))
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        starts = np.concatenate([[0], ends[:-1]])[begins].tolist()
+        joined = b"".join(coded)
+        bounds = zip(starts, [*starts[1:], len(joined)], strict=True)
+        self.pieces.update(zip(pieces, [joined[a:b] for a, b in bounds], strict=True))
+
+    def _is_simple(self, text: str) -> bool:
+        """Can the text be cut before each blank? So if no white space touches other white space or an end."""
+        if not text or (self.parts and self.parts.search(text)):
+            return False
+        kind = self.kinds[np.frombuffer(text.encode("utf-32-le"), "<u4")]
+        return not (kind[0] | kind[-1] | (kind[1:] & kind[:-1])).any() and not (kind & 2).any()
+
+    def _coded(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, word by word."""
+        words = [self._split(t) for t in texts]
+        if new := [w for w in set().union(*words) if w not in self.words]:
             self._learn(new)
         look = self.words.__getitem__
-        out = []
-        for k, words in enumerate(whole):
-            if words is not None:
-                out.append(b"".join(map(look, words)))
-            else:
-                out.append(b"".join(b"".join(map(look, p)) if isinstance(p, list) else np.array([self.special[p]], "<u4").tobytes() for p in mixed[k]))
-        return out
+        return [b"".join(map(look, w)) for w in words]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
