@@ -273,9 +273,18 @@ def describe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog of the words of all benchmark texts: four systems, two entities, a field per word."""
-    item = F.col("item_id")
-    words = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.posexplode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("p", "field")
+    return _words_of(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def document_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all document texts: the load of the bench, too large for check SQL."""
+    return _words_of(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def _words_of(texts: DataFrame, key: str) -> DataFrame:
+    item = F.col(key)
+    words = texts.select(
+        key, F.posexplode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("p", "field")
     )
     return (
         words.filter("field <> ''")

@@ -141,3 +141,39 @@ def test_published_benchmark_shape(spark):
     assert sf.field_matches(compared).count() == 10 * 20 * 30
     assert sf.inconsistency_report(compared).count() == 0
     assert sf.schema_similarity(c, compared).filter(F.col("overall_similarity") == 1).count() == 200
+
+
+def test_word_load_has_all_words_of_documents(spark, sf_dir):
+    from plumbline.plans.inputs import document_vocabulary
+
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = {(f"system_{k % 4}", f"domain_{k // 4 % 2}", w) for k, t in texts for w in re.split("[^a-z0-9_]+", t.lower()) if w}
+    assert {(r.system, r.entity, r.field) for r in document_vocabulary(spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_hot_keys_are_cut_without_loss(spark, monkeypatch, threshold):
+    from plumbline.operators import similar_names
+
+    monkeypatch.setattr(similar_names, "CELL", 2)
+    stems = ["customer", "billing_address", "order_line_number", "antidisestablishment", "th", "a"]
+    names = sorted({s[:k] + x + s[k:] for s in stems for k in range(0, len(s), 3) for x in ("", "e", "xy", "_ab")})
+    df = spark.createDataFrame([("e", n) for n in names], "entity string, n string")
+    pairs = similar_names.candidate_pairs(df.withColumnRenamed("n", "source_norm"), df.withColumnRenamed("n", "target_norm"), threshold, ["entity"])
+    got = {(r.source_norm, r.target_norm) for r in similar_names.score_pairs(pairs, threshold).collect()}
+    want = {
+        (a, b) for a in names for b in names
+        if a != b and max(len(a), len(b)) <= 3 * min(len(a), len(b)) and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold
+    }
+    assert got == want
+
+
+def test_short_names_with_one_beginning_do_not_all_meet(spark):
+    """Sixteen names that begin alike and are within no edit of each other."""
+    from plumbline.operators import similar_names
+
+    names = ["th" + a + b + c + d for a, b, c, d in ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yz01", "2345"]]
+    names += [n[:2] + n[:1:-1] for n in names]
+    df = spark.createDataFrame([("e", n) for n in names], "entity string, n string")
+    met = similar_names.met_pairs(df.withColumnRenamed("n", "source_norm"), df.withColumnRenamed("n", "target_norm"), 0.8, ["entity"])
+    assert met.filter("source_norm <> target_norm").count() == 0
