@@ -44,7 +44,7 @@ CELLS = frozenset("td th".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol menu dl table article section aside nav main header footer div form blockquote td th body html".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside menu dialog".split())
 CONTENT_ROLES = frozenset("main article".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status note".split())
 # Words of class and id attributes that mark boilerplate.
@@ -55,10 +55,19 @@ BOILERPLATE_WORDS = frozenset(
     "masthead topbar toolbar comment comments commentlist disqus reply replies respond copyright legal skip alert form search tags tagcloud "
     "byline-links rail teaser outbrain taboola header".split()
 )
+# Names of parts whose own articles and entries are not the page's.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo related recommend recommended recommendations comment comments "
+    "commentlist disqus reply replies respond teaser outbrain taboola footer".split()
+)
+# In a class such as "has-sidebar" or "no-header" the words after these do not name the element itself.
+MODIFIERS = frozenset("has have with without no hide show".split())
 CONTENT_WORDS = frozenset("article content entry post story text main body prose".split())
 
+BOILERPLATE_PLACES = frozenset("boilerplate layout foreign".split())
 # Classifier weights (log-odds of content) and tie capacities.
 IN_BOILERPLATE, IN_CONTENT, CONTENT_NAME, OUTSIDE = -10.0, 4.0, 1.0, -1.0
+IN_NAMED_BOILERPLATE, PER_WORD_THERE, MOST_THERE = -4.0, 0.08, 6.0
 PER_WORD, MOST_BY_WORDS, SENTENCE, LINKS, HEADING, ITEM, COPYRIGHT = 0.15, 3.0, 1.0, -5.0, 0.5, -0.5, -2.0
 FOLLOWS, SIBLINGS, APART, BORDER = 1.0, 0.8, 0.6, 0.1
 
@@ -76,40 +85,63 @@ class Block:
         if self.place == "boilerplate":
             return IN_BOILERPLATE
         words = len(self.text.split())
-        score = IN_CONTENT if self.place == "content" else OUTSIDE + CONTENT_NAME * (self.place == "named")
-        score += min(MOST_BY_WORDS, PER_WORD * words)
+        if self.place in ("layout", "foreign"):  # only a name says so: a long text without links outweighs it
+            score = IN_NAMED_BOILERPLATE + min(MOST_THERE, PER_WORD_THERE * words)
+        else:
+            score = IN_CONTENT if self.place == "content" else OUTSIDE + CONTENT_NAME * (self.place == "named")
+            score += min(MOST_BY_WORDS, PER_WORD * words)
         score += SENTENCE * (words >= 5 and self.text[-1] in ".!?…:;\"'”»)")
         score += LINKS * min(1.0, self.linked / len(self.text))
         score += HEADING * (self.tag[:1] == "h" and self.tag[1:].isdigit()) + ITEM * (self.tag == "li")
         return score + COPYRIGHT * ("©" in self.text and self.place != "content")
 
 
+def _named(value: str) -> set[str]:
+    """Words of a class or id attribute that name the element."""
+    words: set[str] = set()
+    for token in value.split():
+        for word in _TOKEN.findall(_CAMEL.sub(" ", token).lower()):
+            if word in MODIFIERS:
+                break
+            words.add(word)
+    return words
+
+
 def _place(outer: str, name: str, attributes: str) -> str:
-    """Where an element's text stands: the innermost element that says so counts."""
+    """Where an element's text stands: the innermost element that says so counts.
+
+    "boilerplate" is said by tags, roles and hiding, "layout" and "foreign" by names alone. Content tags, roles and names end
+    a layout; only main ends the others.
+    """
     words: set[str] = set()
+    role = ""
     if attributes and name not in ("html", "body"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
             if key in ("class", "id"):
-                words.update(_TOKEN.findall(_CAMEL.sub(" ", value).lower()))
+                words |= _named(value)
             elif key == "role":
-                if value.lower() in BOILERPLATE_ROLES:
+                role = value.lower()
+                if role in BOILERPLATE_ROLES - {"form"}:
                     return "boilerplate"
-                if value.lower() in CONTENT_ROLES and outer != "boilerplate":
-                    return "content"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return "boilerplate"
-    if words & BOILERPLATE_WORDS and not (outer == "content" and words & {"header"} and len(words & BOILERPLATE_WORDS) == 1):
-        # A wrapper that names both ("content with-sidebar") says nothing.
-        if not words & CONTENT_WORDS or words & {"comment", "comments", "ad", "ads", "related", "footer"}:
-            return "boilerplate"
+    closed = outer in ("boilerplate", "foreign")
+    if role == "main" and outer != "boilerplate" or role == "article" and not closed:
+        return "content"
+    marks = words & BOILERPLATE_WORDS
+    # A wrapper that names both ("content with-sidebar") says nothing.
+    if marks and not (outer == "content" and marks == {"header"}) and (not words & CONTENT_WORDS or words & FOREIGN_WORDS):
+        return outer if closed else "foreign" if words & FOREIGN_WORDS else "layout"
     if name in BOILERPLATE_TAGS:
         return "boilerplate"
-    if name in CONTENT_TAGS:
+    if name == "main" or name == "article" and not closed:
         return "content"
     if name == "header" and outer != "content":
         return "boilerplate"
-    if outer in ("content", "boilerplate"):
+    if name == "form" or role == "form":
+        return outer if closed else "layout"
+    if outer == "content" or closed:
         return outer
     return "named" if words & CONTENT_WORDS else outer
 
@@ -200,12 +232,12 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     edges: dict[tuple[int, int], float] = {}
     last: dict[tuple, int] = {}
     for k, block in enumerate(found):
-        aside = block.place == "boilerplate"
+        aside = block.place in BOILERPLATE_PLACES
         if k:
             shared = sum(1 for x, y in zip(block.path, found[k - 1].path, strict=False) if x == y)
             apart = len(block.path) + len(found[k - 1].path) - 2 * shared
             # The border of an element that is named as boilerplate is where the text does change.
-            border = BORDER if aside != (found[k - 1].place == "boilerplate") else 1.0
+            border = BORDER if aside != (found[k - 1].place in BOILERPLATE_PLACES) else 1.0
             edges[k - 1, k] = border * FOLLOWS * APART ** max(0, apart - 2)
         parent = (block.path[:-1], aside)
         if parent in last:

@@ -102,6 +102,25 @@ def test_extraction_of_other_pages(spark):
     assert {r.text for r in html_text.extract(rows).collect()} == {""} and html_text.extract(rows.limit(0)).count() == 0
 
 
+LONG = "This paragraph tells the story at length and has no links at all, " * 4 + "as a real article does."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='layout has-sidebar'>", "<div class='page with-header'>", "<div class='no-sidebar'>", "<form action=x>", "<div class='sidebar'>",
+     "<div class=widget><div class='entry-content'>", "<div class=widget><div role=main>"],
+)
+def test_name_of_a_wrapper_does_not_lose_the_article(wrapper):
+    page = f"<body>{wrapper}<p>{LONG}</p><p>{LONG}</p></div></form></body>"
+    assert html_text.main_text(page) == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("wrapper", ["<aside>", "<section class=related>", "<section id=comments>"])
+def test_article_in_boilerplate_is_none(wrapper):
+    main = f"<main><p>{LONG}</p></main>"
+    assert html_text.main_text(f"<body>{main}{wrapper}<article><p>Another story of the site, told in a few words.</p></article></body>") == LONG
+
+
 def test_minimum_cut_equals_brute_force():
     random.seed(2)
     for _ in range(300):
