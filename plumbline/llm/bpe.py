@@ -3,8 +3,8 @@
 Words (pre-tokens) that a worker has not met are first cut greedily into the longest vocabulary entries. A sequence of
 tokens is the merge result exactly if every adjacent pair is: so all adjacent pairs of all new words are looked up at once
 in a table of compatible pairs, and only words with an incompatible pair go through exact merging. A pair's own entry is
-found once, by merging its bytes. Each worker keeps its table and its words between tasks (``MOST_WORDS`` bounds the memory;
-beyond it the words are forgotten and met anew, which changes no result).
+found once, by merging its bytes. Each worker keeps its table and its words between tasks; beyond ``MOST_WORDS`` it forgets
+those that the slice of texts at hand does not use, which bounds the memory and changes no result.
 
 Defined cases: a null text is the empty text, which has no ids; text of a special token becomes its id, as the tokenizers
 library does; repeated rows are coded alike; extra columns are kept, columns with a result's name are replaced.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 600_000
+MOST_WORDS = 120_000
+MOST_PAIRS = 1 << 20
 LONG_WORD = 256
 SLICE_CHARS = 4 << 20
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -81,9 +81,11 @@ class Coder:
         self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
         self.alone: dict[int, bool] = {}
         # Bit 1: white space. Bit 2: characters that Python's classes sort otherwise than the pattern.
-        self.kinds = np.fromiter((chr(c).isspace() for c in range(0x110000)), np.uint8, 0x110000)
-        self.odd = np.zeros(0x110000, bool)
-        self.odd[[c for c in range(0x110000) if 0x1C <= c <= 0x1F or unicodedata.category(chr(c)) in ("Nl", "No")]] = True
+        every = np.arange(0x110000, dtype="<u4")
+        every = every[(every < 0xD800) | (every > 0xDFFF)].tobytes().decode("utf-32-le")
+        self.kinds, self.odd = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool)
+        self.kinds[[ord(c) for c in re.findall(r"\s", every)]] = 1
+        self.odd[[*range(0x1C, 0x20), *(ord(c) for c in regex.findall(r"[\p{Nl}\p{No}]", every))]] = True
         self.kinds |= 2 * self.odd.astype(np.uint8)
         self.controls = re.compile("[\x1c-\x1f]")
         self.plain = re.compile(PLAIN_PATTERN)
@@ -210,6 +212,8 @@ class Coder:
 
     def _fits(self, keys: np.ndarray) -> np.ndarray:
         """For each key (left id << 32 | right id): is the pair the merge result of its own bytes?"""
+        if len(self.pair_keys) > MOST_PAIRS:
+            self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
         new = np.setdiff1d(keys, self.pair_keys)
         if len(new):
             left, right = (new >> 32).tolist(), (new & 0xFFFFFFFF).tolist()
@@ -248,9 +252,6 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for known in (self.words, self.pieces):
-            if len(known) > MOST_WORDS:
-                known.clear()
         out: list = [None] * len(texts)
         simple = [k for k, t in enumerate(texts) if self._is_simple(t)]
         heads, tails = [], []
@@ -258,8 +259,10 @@ class Coder:
             head, blank, tail = texts[k].partition(" ")
             heads.append(head)
             tails.append(tail.split(" ") if blank else [])
+        used = set().union(*tails)
+        self.pieces = _bounded(self.pieces, used)
         look = self.pieces.get
-        missing = set().union(*tails).difference(self.pieces)
+        missing = used.difference(self.pieces)
         if missing:
             self._add_pieces(list(missing))
         for k, head, tail in zip(simple, self._coded(heads), tails, strict=True):
@@ -273,7 +276,9 @@ class Coder:
     def _add_pieces(self, pieces: list[str]) -> None:
         """Ids of new pieces, a blank before each: split as one text, whose words with a blank begin the pieces."""
         words = self.plain.findall(" " + " ".join(pieces))
-        if new := set(words).difference(self.words):
+        used = set(words)
+        self.words = _bounded(self.words, used)
+        if new := used.difference(self.words):
             self._learn(list(new))
         coded = list(map(self.words.__getitem__, words))
         begins = np.fromiter(map(str.startswith, words, repeat(" ")), bool, len(words))
@@ -293,8 +298,10 @@ class Coder:
     def _coded(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, word by word."""
         words = [self._split(t) for t in texts]
-        if new := [w for w in set().union(*words) if w not in self.words]:
-            self._learn(new)
+        used = set().union(*words)
+        self.words = _bounded(self.words, used)
+        if new := used.difference(self.words):
+            self._learn(list(new))
         look = self.words.__getitem__
         return [b"".join(map(look, w)) for w in words]
 
@@ -302,6 +309,11 @@ class Coder:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def _bounded(known: dict[str, bytes], used: set[str]) -> dict[str, bytes]:
+    """``known``, or only what is ``used`` of it if it has grown beyond MOST_WORDS."""
+    return known if len(known) <= MOST_WORDS else {w: known[w] for w in used & known.keys()}
+
+
 @lru_cache(maxsize=4)
 def coder(vocabulary: str = VOCABULARY) -> Coder:
     """The worker's coder: ``vocabulary`` is a path, or the name of a file of the installed tokenizers package."""
@@ -352,12 +364,32 @@ def decode(coded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids") ->
     return _with_column(coded, "decoded", T.StringType(), ids, lambda values: [coder(vocabulary).decode(v or b"") for v in values])
 
 
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and their text ``decoded`` in place of the text: one worker does both with one coder."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "decoded")])
+    own = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*own, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = coder(vocabulary)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            values = [v or "" for v in batch.column(at).to_pylist()]
+            kept = [k for k in range(batch.num_columns) if k != at]
+            for a, b in slices(batch, values):
+                ids = both.encode(values[a:b])
+                part = batch.slice(a, b - a)
+                made = [pa.array(ids, pa.binary()), pa.array([both.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Registered query op7: all documents encoded and decoded again."""
     from plumbline.llm.common import table
 
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    rows = decode(coded)
+    rows = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -43,7 +43,7 @@ ROWS = 5
 BANDS = REGISTERS // ROWS
 STARS = 2
 PAIRS_A_COPY = 256
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 STEP_ELEMENTS = 1 << 15
 QUERY_BYTES = 1 << 20
 QUERIES = 128
@@ -164,6 +164,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 part = batch.slice(a, b - a)
                 columns = [part.column(0), part.column(1), pa.array(groups[:, 0].copy()), pa.array(groups[:, 1].copy()), bands]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "tie", "g", "g2", "bands"])
+        _hashes.clear()
 
     k, tie = _identity(key, text)
     return docs.select(k.alias("k"), tie.alias("tie"), text_of(text).alias("text")).mapInArrow(run, _SKETCH)
