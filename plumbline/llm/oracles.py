@@ -57,4 +57,54 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op8_warc": WARC, "op10_quality_rules": QUALITY_RULES}
+
+
+def vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Codebooks refined round by round, every part measured against every entry."""
+    steps = [
+        f"""kept AS (
+  SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v, len(embedding) // {parts} AS size
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(v, part * size + 1, (part + 1) * size) AS v FROM kept, range({parts}) t(part)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, v
+  FROM (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {entries}
+)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best
+  FROM (SELECT p.vec_id, p.part, b.entry, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.v, b.v)]) AS d FROM p JOIN b{k} b USING (part))
+  GROUP BY vec_id, part
+)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""m{k} AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY place) AS v
+  FROM (
+    SELECT part, entry, place, sum(x) AS s, count(*) AS n
+    FROM (SELECT p.part, a.best.entry AS entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS place FROM p JOIN a{k} a USING (vec_id, part))
+    GROUP BY part, entry, place
+  )
+  GROUP BY part, entry
+),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f""",
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+c AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', best.entry)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id
+)
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN kept k USING (vec_id), books"""
+    )
+
+
+ORACLES: dict[str, str] = {"op8_warc": WARC, "op10_quality_rules": QUALITY_RULES, "op11_vector_codes": vector_codes_sql()}

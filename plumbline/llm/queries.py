@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprints, html_text, license_rules, line_dedup, near_dedup, packing, quality_rules, sharding, warc
+from plumbline.llm import bpe, fingerprints, html_text, license_rules, line_dedup, near_dedup, packing, quality_rules, sharding, vector_codes, warc
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -16,4 +16,5 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_near_dedup": near_dedup.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_vector_codes": vector_codes.query,
 }
