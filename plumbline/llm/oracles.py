@@ -107,4 +107,31 @@ FROM c JOIN kept k USING (vec_id), books"""
     )
 
 
-ORACLES: dict[str, str] = {"op8_warc": WARC, "op10_quality_rules": QUALITY_RULES, "op11_vector_codes": vector_codes_sql()}
+# Terms: all of a text, A-Z as a-z.
+LEXICAL_SEARCH = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL
+),
+s AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+),
+p AS (
+  SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term
+),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op8_warc": WARC, "op10_quality_rules": QUALITY_RULES, "op11_vector_codes": vector_codes_sql(), "op13_lexical_search": LEXICAL_SEARCH}

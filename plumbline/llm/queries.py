@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, fingerprints, html_text, license_rules, line_dedup, near_dedup, packing, quality_rules, sharding, vector_codes, warc
+from plumbline.llm import (
+    bpe,
+    fingerprints,
+    html_text,
+    lexical_search,
+    license_rules,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_rules,
+    sharding,
+    vector_codes,
+    vector_search,
+    warc,
+)
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -17,4 +31,6 @@ QUERIES = {
     "op9_near_dedup": near_dedup.query,
     "op10_quality_rules": quality_rules.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_vector_search": vector_search.query,
+    "op13_lexical_search": lexical_search.query,
 }
