@@ -77,5 +77,19 @@ def type_similarity(source: Column, target: Column) -> Column:
     )
 
 
+def type_key(declared: Column) -> Column:
+    """What two types must share to score 1.0; null for an empty type."""
+    return F.when(F.coalesce(declared, F.lit("")) != "", F.lower(_stripped(declared)))
+
+
+def type_group(declared: Column) -> Column:
+    """What two types must share to score 0.9 at least: the group's first name, or the type itself; null for an empty type."""
+    key = type_key(declared)
+    group = key
+    for names in TYPE_GROUPS:
+        group = F.when(key.isin(*names), F.lit(names[0])).otherwise(group)
+    return group
+
+
 def types_equivalent(source: Column, target: Column) -> Column:
     return type_similarity(source, target) >= SAME_GROUP

@@ -1,6 +1,6 @@
 """Cross-system comparison of entities by exact field names."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import messages
@@ -10,13 +10,15 @@ from plumbline.functions.types import (
     SAME_GROUP,
     SAME_TYPE,
     UNKNOWN_TYPE,
+    type_group,
+    type_key,
     type_similarity,
-    types_equivalent,
 )
 from plumbline.operators.predicates import active, requested_entities
 from plumbline.operators.schema_fuzzy import entity_systems, unique_fields
 
 PAIR = ["entity", "source_system", "target_system"]
+WORD = 64  # systems of one word of a presence bitmap
 
 
 def _named_fields(catalog: DataFrame) -> DataFrame:
@@ -79,23 +81,39 @@ def field_mapping(catalog: DataFrame) -> DataFrame:
 def consistency_score(catalog: DataFrame) -> DataFrame:
     """Mean mapping score per entity, 1.0 without mappings.
 
-    Scores take five values, so they are counted and weighted; the mean is then the
-    same for any order of rows.
+    Scores take five values, so they are counted and weighted; the mean is then the same for any order of rows. Pairs
+    are counted and never made: each field counts the earlier systems that have it, that also know its type, whose type
+    is of its group, and whose type is its own. All four run over rows of one (entity, field), on one shuffle.
     """
-    score = F.col("similarity_score")
-    classes = [SAME_TYPE, SAME_GROUP, UNKNOWN_TYPE, OTHER_TYPE]
-    counts = field_mapping(catalog).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("mappings"),
-        *[F.count_if(score == value).alias(f"class{i}") for i, value in enumerate(classes)],
+    rows = _named_fields(catalog).select("entity", "field", "system_ord", type_group(F.col("type")).alias("g"), type_key(F.col("type")).alias("t"))
+    before = lambda *of: Window.partitionBy("entity", "field", *of).orderBy("system_ord").rangeBetween(Window.unboundedPreceding, -1)
+    known = F.col("t").isNotNull()
+    pairs = rows.select(
+        "entity",
+        F.count(F.lit(1)).over(before()).alias("all"),
+        F.when(known, F.count("t").over(before())).otherwise(F.lit(0)).alias("known"),
+        F.when(known, F.count(F.lit(1)).over(before("g"))).otherwise(F.lit(0)).alias("group"),
+        F.when(known, F.count(F.lit(1)).over(before("g", "t"))).otherwise(F.lit(0)).alias("same"),
     )
+    counts = pairs.groupBy("entity").agg(*[F.sum(c).alias(c) for c in ("all", "known", "group", "same")])
+    classes = [
+        (SAME_TYPE, F.col("same")),
+        (SAME_GROUP, F.col("group") - F.col("same")),
+        (UNKNOWN_TYPE, F.col("all") - F.col("known")),
+        (OTHER_TYPE, F.col("known") - F.col("group")),
+    ]
     total = F.lit(0.0)
-    for i, value in enumerate(classes):
-        total = total + F.col(f"class{i}") * F.lit(value)
-    entities = catalog.select("entity").distinct()
-    return entities.join(counts, "entity", "left").select(
+    for value, count in classes:
+        total = total + count * F.lit(value)
+    # Every field of a system is mapped to each later system of the entity.
+    later = Window.partitionBy("entity").orderBy("system_ord").rangeBetween(1, Window.unboundedFollowing)
+    own = catalog.select("entity", "system", "system_ord", F.when(F.col("field") != "", F.col("field")).alias("field")).distinct()
+    sizes = own.groupBy("entity", "system", "system_ord").agg(F.count("field").alias("n")).withColumn("later", F.count(F.lit(1)).over(later))
+    mappings = sizes.groupBy("entity").agg(F.sum(F.col("n") * F.col("later")).alias("mappings"))
+    return mappings.join(counts, "entity", "left").select(
         "entity",
-        F.coalesce("mappings", F.lit(0)).alias("mappings"),
-        F.coalesce(total / F.col("mappings"), F.lit(1.0)).alias("consistency_score"),
+        "mappings",
+        F.when(F.col("mappings") > 0, F.coalesce(total, F.lit(0.0)) / F.col("mappings")).otherwise(F.lit(1.0)).alias("consistency_score"),
     )
 
 
@@ -112,17 +130,48 @@ def _finding(df: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def _system_words(catalog: DataFrame) -> DataFrame:
+    """Systems of every entity in words of 64 bits: (entity, word, everyone, names), names by bit."""
+    number = F.row_number().over(Window.partitionBy("entity").orderBy("system")) - 1
+    systems = entity_systems(catalog).select("entity", "system").distinct().withColumn("number", number)
+    bit = (F.col("number") % WORD).cast("int").alias("bit")
+    return (
+        systems.select("entity", F.floor(F.col("number") / WORD).cast("int").alias("word"), bit, "system")
+        .groupBy("entity", "word")
+        .agg(F.bit_or(_mask("bit")).alias("everyone"), F.array_sort(F.collect_list(F.struct("bit", "system"))).alias("names"))
+    )
+
+
+def _mask(bit: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit))
+
+
+def absent_systems(catalog: DataFrame) -> DataFrame:
+    """(entity, field, absent): the systems of the entity that lack the field; no row where none does.
+
+    Presence is a bitmap of systems per field, and what is absent is its complement within the entity's systems.
+    """
+    words = _system_words(catalog)
+    fields = _named_fields(catalog)
+    size = words.groupBy("entity").agg(F.sum(F.size("names")).alias("systems"))
+    has = fields.groupBy("entity", "field").agg(F.count(F.lit(1)).alias("n"))
+    lacking = has.join(size, "entity").filter(F.col("n") < F.col("systems")).select("entity", "field")
+    of = words.select("entity", "word", F.explode("names").alias("x")).select("entity", "word", F.col("x.bit").alias("bit"), F.col("x.system").alias("system"))
+    present = fields.join(of, ["entity", "system"]).groupBy("entity", "field", "word").agg(F.bit_or(_mask("bit")).alias("present"))
+    rest = F.col("everyone").bitwiseAND(F.bitwise_not(F.coalesce("present", F.lit(0))))
+    left = lacking.join(words, "entity").join(present, ["entity", "field", "word"], "left").withColumn("rest", rest).filter("rest <> 0")
+    names = F.transform(F.filter("names", lambda x: F.getbit("rest", x["bit"]) == 1), lambda x: x["system"])
+    return left.select("entity", "field", names.alias("absent"))
+
+
 def missing_field_findings(catalog: DataFrame) -> DataFrame:
     """A finding for each system that has a field and each system of the entity that lacks it."""
-    fields = _named_fields(catalog)
-    other = entity_systems(catalog).select("entity", F.col("system").alias("target_system"))
-    present = fields.select("entity", F.col("system").alias("target_system"), "field")
     names = {"field": F.col("field"), "source": F.col("source_system"), "target": F.col("target_system")}
     absent = (
-        fields.withColumnRenamed("system", "source_system")
-        .join(other, "entity")
-        .filter(F.col("source_system") != F.col("target_system"))
-        .join(present, ["entity", "target_system", "field"], "left_anti")
+        _named_fields(catalog)
+        .withColumnRenamed("system", "source_system")
+        .join(absent_systems(catalog), ["entity", "field"])
+        .withColumn("target_system", F.explode("absent"))
     )
     return _finding(
         absent.withColumn("severity", F.when(F.coalesce(F.col("pk"), F.lit(False)), "HIGH").otherwise("MEDIUM"))
@@ -135,13 +184,19 @@ def missing_field_findings(catalog: DataFrame) -> DataFrame:
 
 
 def type_mismatch_findings(catalog: DataFrame) -> DataFrame:
-    """A finding for each pair of systems whose types of the same field differ in kind."""
-    typed = _named_fields(catalog).filter(F.coalesce(F.col("type"), F.lit("")) != "")
-    source = typed.select(
-        "entity", "field", F.col("system").alias("source_system"), F.col("system_ord").alias("source_ord"), F.col("type").alias("source_definition")
+    """A finding for each pair of systems whose types of the same field differ in kind.
+
+    Fields with types of one group only are left out before anything is joined, and a type meets only other groups.
+    """
+    typed = _named_fields(catalog).withColumn("g", type_group(F.col("type"))).filter("g IS NOT NULL")
+    groups = typed.groupBy("entity", "field").agg(F.collect_set("g").alias("groups")).filter(F.size("groups") > 1)
+    source = (
+        typed.join(groups, ["entity", "field"])
+        .withColumn("g", F.explode(F.array_remove(F.col("groups"), F.col("g"))))
+        .select("entity", "field", "g", F.col("system").alias("source_system"), F.col("system_ord").alias("source_ord"), F.col("type").alias("source_definition"))
     )
     target = typed.select(
-        "entity", "field", F.col("system").alias("target_system"), F.col("system_ord").alias("target_ord"), F.col("type").alias("target_definition")
+        "entity", "field", "g", F.col("system").alias("target_system"), F.col("system_ord").alias("target_ord"), F.col("type").alias("target_definition")
     )
     names = {
         "field": F.col("field"),
@@ -150,10 +205,7 @@ def type_mismatch_findings(catalog: DataFrame) -> DataFrame:
         "source_type": F.col("source_definition"),
         "target_type": F.col("target_definition"),
     }
-    differing = source.join(target, ["entity", "field"]).filter(
-        (F.col("source_ord") < F.col("target_ord"))
-        & ~types_equivalent(F.col("source_definition"), F.col("target_definition"))
-    )
+    differing = source.join(target, ["entity", "field", "g"]).filter(F.col("source_ord") < F.col("target_ord"))
     return _finding(
         differing.withColumn("severity", F.lit("HIGH"))
         .withColumn("impact_description", fill(messages.TYPE_IMPACT, **names))

@@ -132,23 +132,17 @@ def compare_fields(
 def _add_similar(compared: DataFrame, targets: DataFrame, threshold: float, store: Callable) -> DataFrame:
     """Fill in the best similar target where no equal name was found.
 
-    The best target depends on the source's name and the target system alone, so it is
-    looked for once per name and not once per source system.
+    Similar names are looked for among the distinct names of the whole catalog, each pair is scored once, and only then
+    the places where names occur are joined on. The best target depends on the source's name and the target system
+    alone, so it is looked for once per name and not once per source system.
     """
-    unmatched = compared.filter(F.col("target").isNull())
-    pairs = store(
-        candidate_pairs(
-            unmatched.select("entity", "source_norm").distinct(),
-            targets.select("entity", "target_norm").distinct(),
-            threshold,
-            ["entity"],
-        ),
-        "name_pairs",
-    )
-    similar = pairs.join(score_pairs(pairs, threshold), ["source_norm", "target_norm"])
+    asked = compared.filter(F.col("target").isNull()).select("entity", "target_system", "source_norm").distinct()
+    pairs = candidate_pairs(asked.select("source_norm").distinct(), targets.select("target_norm").distinct(), threshold, [])
+    scored = store(score_pairs(pairs, threshold), "similar_names")
     rank = F.struct(F.col("score"), -F.col("target.field_ord"))
     best = (
-        similar.join(targets, ["entity", "target_norm"])
+        asked.join(scored, "source_norm")
+        .join(targets, ["entity", "target_system", "target_norm"])
         .groupBy("entity", "target_system", "source_norm")
         .agg(F.max_by(F.struct("target", "score"), rank).alias("best"))
     )

@@ -1,5 +1,9 @@
+import random
+
 import pytest
+from conftest import CATALOG
 
+from plumbline.functions.types import TYPE_GROUPS
 from plumbline.operators import schema_exact as se
 
 PAIR = {
@@ -55,3 +59,66 @@ def test_full_analysis_scope(spark, catalog):
     result = se.analyze_schemas(c, systems, wanted)
     assert result["inconsistencies"].count() == 3
     assert [r.entity for r in result["consistency"].collect()] == ["Account"]
+
+
+def plain_mappings(rows):
+    """Every field of a system against each later system of the entity: (entity, score)."""
+    group = {t: names[0] for names in TYPE_GROUPS for t in names}
+    out = []
+    for system, order, entity, field, kind in rows:
+        for other, later in {(s, o) for s, o, e, _, _ in rows if e == entity and o > order}:
+            if not field:
+                continue
+            found = [k for s, _, e, f, k in rows if (s, e, f) == (other, entity, field)]
+            a, b = (kind or "").strip().lower(), (found[0] or "").strip().lower() if found else ""
+            same = group.get(a, a) == group.get(b, b)
+            out.append((entity, 0.0 if not found else 0.5 if not kind or not found[0] else 1.0 if a == b else 0.9 if same else 0.2))
+    return out
+
+
+@pytest.fixture(scope="module")
+def many_systems(spark):
+    """70 systems, so that a presence bitmap has two words; some without fields, some with an empty name."""
+    rng = random.Random(7)
+    kinds = ["varchar", "TEXT ", "int", "bigint", "date", "", None, "blob", "varchar(10)"]
+    rows = []
+    for n in range(70):
+        for entity in ("e", "f") if n % 5 else ("e",):
+            fields = [f for f in ("id", "a", "b", "c") if rng.random() < 0.8] if n != 3 else []
+            rows += [(f"s{n:02d}", 100 - n, entity, f, rng.choice(kinds)) for f in ["all", *fields]] if n != 3 else [("s03", 97, entity, None, None)]
+    rows.append(("s01", 99, "e", "", "int"))
+    table = [(s, o, e, f, k, t, True, f == "id") for k, (s, o, e, f, t) in enumerate(rows)]
+    return rows, spark.createDataFrame(table, CATALOG)
+
+
+def test_counted_scores_equal_scores_of_all_pairs(many_systems):
+    rows, table = many_systems
+    want = {}
+    for entity, score in plain_mappings(rows):
+        want.setdefault(entity, []).append(score)
+    got = {r.entity: (r.mappings, r.consistency_score) for r in se.consistency_score(table).collect()}
+    assert got == {e: (len(s), pytest.approx(sum(s) / len(s))) for e, s in want.items()}
+
+
+def test_absent_systems_are_the_complement(many_systems):
+    rows, table = many_systems
+    every = {(s, e) for s, _, e, _, _ in rows}
+    want = {(e, f, s, o) for s, _, e, f, _ in rows if f for o, x in every if x == e and not any((a, b, c) == (o, e, f) for a, _, b, c, _ in rows)}
+    found = se.missing_field_findings(table).collect()
+    assert {(r.entity, r.field_name, r.source_system, r.target_system) for r in found} == want and len(found) == len(want)
+    assert "all" in {r.field for r in se.absent_systems(table).collect()}  # s03 has no field at all
+
+
+def test_fields_that_no_system_lacks_have_no_row(catalog):
+    assert se.absent_systems(catalog(PAIR)).filter("field IN ('Id', 'Name')").count() == 0
+
+
+def test_differing_types_are_the_pairs_of_other_groups(many_systems):
+    rows, table = many_systems
+    group = {t: names[0] for names in TYPE_GROUPS for t in names}
+    kind = lambda t: group.get(t.strip().lower(), t.strip().lower())
+    want = {
+        (e, f, s, x) for s, o, e, f, t in rows if f and t for x, p, y, g, u in rows if (y, g) == (e, f) and u and o < p and kind(t) != kind(u)
+    }
+    found = [(r.entity, r.field_name, r.source_system, r.target_system) for r in se.type_mismatch_findings(table).collect()]
+    assert set(found) == want and len(found) == len(want)
