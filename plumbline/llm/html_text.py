@@ -55,47 +55,72 @@ BOILERPLATE_WORDS = frozenset(
     "masthead topbar toolbar comment comments commentlist disqus reply replies respond copyright legal skip alert form search tags tagcloud "
     "byline-links rail teaser outbrain taboola header".split()
 )
-# Names of parts whose own articles and entries are not the page's.
+# Names of parts that are never the page's own text, however long, with all articles and entries in them.
 FOREIGN_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo related recommend recommended recommendations comment comments "
-    "commentlist disqus reply replies respond teaser outbrain taboola footer".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommend recommended recommendations comment "
+    "comments commentlist disqus reply replies respond teaser outbrain taboola footer cookie cookies consent gdpr notice notices notification "
+    "popup modal newsletter subscribe subscription signup login register copyright legal alert search breadcrumb breadcrumbs pagination pager "
+    "tags tagcloud share sharing social".split()
 )
 # In a class such as "has-sidebar" or "no-header" the words after these do not name the element itself.
 MODIFIERS = frozenset("has have with without no hide show".split())
 CONTENT_WORDS = frozenset("article content entry post story text main body prose".split())
 
-BOILERPLATE_PLACES = frozenset("boilerplate layout foreign".split())
+CLOSED_PLACES = frozenset("boilerplate foreign".split())
+BOILERPLATE_PLACES = CLOSED_PLACES | {"layout"}
 # Classifier weights (log-odds of content) and tie capacities.
 IN_BOILERPLATE, IN_CONTENT, CONTENT_NAME, OUTSIDE = -10.0, 4.0, 1.0, -1.0
-IN_NAMED_BOILERPLATE, PER_WORD_THERE, MOST_THERE = -4.0, 0.08, 6.0
+# A layout element is a wrapper around the page's text if it holds more than this share of all linkless text, and what stands
+# outside of all boilerplate is no more than this share of it.
+WRAPPED, BESIDE = 0.5, 0.1
 PER_WORD, MOST_BY_WORDS, SENTENCE, LINKS, HEADING, ITEM, COPYRIGHT = 0.15, 3.0, 1.0, -5.0, 0.5, -0.5, -2.0
 FOLLOWS, SIBLINGS, APART, BORDER = 1.0, 0.8, 0.6, 0.1
 
 
 class Block:
-    """A run of text: its words' text, share of characters in links, element path, and score."""
+    """A run of text: its words' text, share of characters in links, element path, place, and the layout element it stands in."""
 
-    __slots__ = ("text", "linked", "path", "tag", "place", "score")
+    __slots__ = ("text", "linked", "path", "tag", "place", "layout")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], tag: str, place: str):
-        self.text, self.linked, self.path, self.tag, self.place = text, linked, path, tag, place
-        self.score = self._score()
+    def __init__(self, text: str, linked: int, path: tuple[int, ...], tag: str, place: str, layout: int):
+        self.text, self.linked, self.path, self.tag, self.place, self.layout = text, linked, path, tag, place, layout
 
-    def _score(self) -> float:
-        if self.place == "boilerplate":
+    def score(self) -> float:
+        if self.place in BOILERPLATE_PLACES:
             return IN_BOILERPLATE
         words = len(self.text.split())
-        if self.place in ("layout", "foreign"):  # only a name says so: a long text without links outweighs it
-            score = IN_NAMED_BOILERPLATE + min(MOST_THERE, PER_WORD_THERE * words)
-        else:
-            score = IN_CONTENT if self.place == "content" else OUTSIDE + CONTENT_NAME * (self.place == "named")
-            score += min(MOST_BY_WORDS, PER_WORD * words)
+        score = IN_CONTENT if self.place == "content" else OUTSIDE + CONTENT_NAME * (self.place == "named")
+        score += min(MOST_BY_WORDS, PER_WORD * words)
         score += SENTENCE * (words >= 5 and self.text[-1] in ".!?…:;\"'”»)")
         score += LINKS * min(1.0, self.linked / len(self.text))
         score += HEADING * (self.tag[:1] == "h" and self.tag[1:].isdigit()) + ITEM * (self.tag == "li")
         return score + COPYRIGHT * ("©" in self.text and self.place != "content")
 
 
+def _unwrap(found: list[Block]) -> list[Block]:
+    """``found``, where blocks of a layout element that is a wrapper around the page's text stand in no layout.
+
+    A name alone makes a layout, so a wrapper called "sidebar" must not lose the article. Next to an article, a layout
+    element stays boilerplate at any length.
+    """
+    if any(b.place == "content" for b in found):
+        return found
+    held: dict[int, int] = {}
+    beside = total = 0
+    for block in found:
+        size = max(0, len(block.text) - block.linked)
+        total += size
+        if block.place == "layout":
+            held[block.layout] = held.get(block.layout, 0) + size
+        elif block.place not in BOILERPLATE_PLACES:
+            beside += size
+    wrappers = {k for k, size in held.items() if size > WRAPPED * total and beside <= BESIDE * size}
+    for block in found:
+        if block.place == "layout" and block.layout in wrappers:
+            block.place = ""
+    return found
+
+
 def _named(value: str) -> set[str]:
     """Words of a class or id attribute that name the element."""
     words: set[str] = set()
@@ -126,7 +151,7 @@ def _place(outer: str, name: str, attributes: str) -> str:
                     return "boilerplate"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return "boilerplate"
-    closed = outer in ("boilerplate", "foreign")
+    closed = outer in CLOSED_PLACES
     if role == "main" and outer != "boilerplate" or role == "article" and not closed:
         return "content"
     marks = words & BOILERPLATE_WORDS
@@ -149,8 +174,8 @@ def _place(outer: str, name: str, attributes: str) -> str:
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order."""
     found: list[Block] = []
-    # Open elements: name, number, place, silent.
-    stack: list[tuple[str, int, str, bool]] = [("", 0, "", False)]
+    # Open elements: name, number, place, silent, layout element, and the place and layout element of the innermost block.
+    stack: list[tuple[str, int, str, bool, int, str, int]] = [("", 0, "", False, 0, "", 0)]
     parts: list[str] = []
     linked, links, number = 0, 0, 0
 
@@ -160,7 +185,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS or stack[k][0] in CELLS), 0)
-                found.append(Block(text, linked, tuple(e[1] for e in stack[: at + 1]), stack[at][0], stack[-1][2]))
+                found.append(Block(text, linked, tuple(e[1] for e in stack[: at + 1]), stack[at][0], stack[-1][5], stack[-1][6]))
             parts.clear()
         linked = 0
 
@@ -171,7 +196,9 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not stack[-1][3]:
+        # Text of an inline element that is hidden, or an advert, is no part of the block around it.
+        aside = stack[-1][2] in CLOSED_PLACES and stack[-1][5] not in BOILERPLATE_PLACES
+        if text and not stack[-1][3] and not aside:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
@@ -221,10 +248,13 @@ def blocks(page: str) -> list[Block]:
             continue
         number += 1
         outer = stack[-1]
-        stack.append((name, number, _place(outer[2], name, rest), outer[3] or name in SILENT))
+        place = _place(outer[2], name, rest)
+        layout = (outer[4] if outer[2] == "layout" else number) if place == "layout" else 0
+        block = (place, layout) if name in BLOCKS or name in CELLS else outer[5:]
+        stack.append((name, number, place, outer[3] or name in SILENT, layout, *block))
         links += name == "a"
     flush()
-    return found
+    return _unwrap(found)
 
 
 def ties(found: list[Block]) -> list[tuple[int, int, float]]:
@@ -324,7 +354,7 @@ def _flow(score: list[float], near: dict[int, dict[int, float]]) -> set[int]:
 def labelled(page: str | None) -> list[tuple[str, bool]]:
     """Text of every block and whether it is content."""
     found = blocks(page or "")
-    return [(b.text, keep) for b, keep in zip(found, minimum_cut([b.score for b in found], ties(found)), strict=True)]
+    return [(b.text, keep) for b, keep in zip(found, minimum_cut([b.score() for b in found], ties(found)), strict=True)]
 
 
 def main_text(page: str | None) -> str:

@@ -121,6 +121,38 @@ def test_article_in_boilerplate_is_none(wrapper):
     assert html_text.main_text(f"<body>{main}{wrapper}<article><p>Another story of the site, told in a few words.</p></article></body>") == LONG
 
 
+MANY = "Everyone who reads this part of the page will find that it goes on for very long, as such parts sometimes do, you see. " * 9
+PARTS = [
+    "<div class=comment>", "<section id=comments><div>", "<div class='cookie-consent'>", "<div class=ad>", "<div class='advert banner'>", "<div class=sidebar>",
+    "<aside>", "<section class=related>", "<form action=x>", "<div class='site-notice'>", "<div class=newsletter>", "<div role=dialog>", "<div class=widget>",
+]
+
+
+@pytest.mark.parametrize("article", ["<article>", "<main>", "<div class='entry-content'>", "<div>"])
+@pytest.mark.parametrize("part", PARTS)
+def test_long_boilerplate_stays_out(part, article):
+    end = "".join(f"</{name}>" for name in reversed(re.findall("<([a-z]+)", part)))
+    close = f"</{article[1:-1].split()[0]}>"
+    other = f"{part}<p>{MANY}</p>{end}"
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = f"{LONG}\n{LONG}"
+    for page in (f"{other}{article}{text}{close}", f"{article}{text}{close}{other}", f"{article}<p>{LONG}</p>{other}<p>{LONG}</p>{close}"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_hidden_inline_text_is_dropped():
+    page = "<article><p>The story begins here <span hidden>secret words</span> and <b style='display:none'>more</b>goes on <i class=x>in full</i>.</p></article>"
+    assert html_text.main_text(page) == "The story begins here and goes on in full."
+
+
+def test_long_block_null_url_and_clashing_columns(spark):
+    text = "word " * 400_000
+    rows = [(1, None, f"<article><p>{text}</p></article>", "x", 3), (None, "u", "<main><p>A text of some words, here.</p></main>", None, 4), (1, None, None, "y", 5)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(html_text.extract(table).collect(), key=lambda r: -r.n_chars)
+    assert [(r.page_id, r.url, r.text) for r in got] == [(1, None, text.strip()), (None, "u", "A text of some words, here."), (1, None, "")]
+
+
 def test_minimum_cut_equals_brute_force():
     random.seed(2)
     for _ in range(300):
