@@ -1,6 +1,7 @@
 """Check SQL, shape and pipeline of the text queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -43,5 +44,20 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_leave_clashing_columns_alone(spark, sf_dir):
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    own = ["words", "lines", "n_lines", "n_words", "failures", "n_removed", "bucket", "a.b", "g", "k"]
+    docs = plain.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in own])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        want = {r.doc_id: r for r in stage(spark, plain, sf_dir).collect()}
+        rows = stage(spark, docs, sf_dir)
+        assert rows.columns == docs.columns
+        for r in rows.collect():
+            assert (r.text, r.n_chars, r.lang) == (want[r.doc_id].text, want[r.doc_id].n_chars, want[r.doc_id].lang)
+            assert [r[c] for c in own] == [f"{c} {r.doc_id}" for c in own]
+            del want[r.doc_id]
+        assert not want
+
+
 def test_near_dedup_words_ignore_case_and_marks():
     assert near_dedup.words_of_text("A, b!") == near_dedup.words_of_text("a b")
