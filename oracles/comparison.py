@@ -1,6 +1,6 @@
 """Cross-system comparison of field catalogs."""
 
-from oracles.fragments import base, type_score, with_inputs
+from oracles.fragments import base, scored_names, type_score, with_inputs
 
 O = ORACLES = {}
 PAIR = "entity, source_system, target_system"
@@ -171,3 +171,49 @@ UNION ALL
 SELECT entity, source_system, target_system, inconsistency_type, field_name, severity, target_definition FROM ({_mismatch("scope")})
 """,
 )
+
+# All pairs of entities of two systems, scored without any candidate step.
+_WORDS = "list_sort(list_filter(regexp_split_to_array(lower(regexp_replace(entity, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))"
+_ENTITY_KIND = """CASE WHEN t = '' THEN 'unknown' WHEN t IN ('varchar', 'text', 'string', 'nvarchar', 'char') THEN 'varchar'
+  WHEN t IN ('int', 'integer', 'bigint', 'smallint', 'number') THEN 'int' WHEN t IN ('float', 'double', 'decimal', 'numeric', 'real') THEN 'float'
+  WHEN t IN ('bool', 'boolean', 'bit', 'tinyint') THEN 'bool' WHEN t IN ('date', 'datetime', 'timestamp', 'datetime2') THEN 'date' ELSE 'other' END"""
+_BOTH_WAYS = scored_names("(SELECT DISTINCT 'all' AS entity, name AS norm FROM nodes)", 0.0)
+O["entity_candidates"] = with_inputs(
+    "fx_named_entities",
+    f"""
+WITH f AS (
+  SELECT system, system_ord, entity, trim(regexp_replace(regexp_replace(lower(field), '[^a-z0-9]+', '_', 'g'), '_+', '_', 'g'), '_') AS norm, pk, row_part,
+         {base("type")} AS t
+  FROM fx_named_entities
+),
+k AS (SELECT *, {_ENTITY_KIND} AS kind, string_split(norm, '_') AS words FROM f),
+nodes AS (
+  SELECT system, system_ord, entity, array_to_string({_WORDS}, '_') AS name, list_distinct(list(norm)) AS fields, count(*) AS n, length(CAST(sum(row_part) AS VARCHAR)) AS digits,
+         list(kind) AS kinds,
+         bool_or(pk) AS r1, bool_or(kind = 'date' OR list_has_any(words, ['created', 'updated', 'modified', 'date', 'time', 'timestamp', 'at'])) AS r2,
+         bool_or(list_has_any(words, ['amount', 'price', 'cost', 'revenue', 'total', 'currency', 'balance'])) AS r3
+  FROM k GROUP BY system, system_ord, entity
+),
+scored AS ({_BOTH_WAYS}),
+p AS (
+  SELECT a.system AS source_system, a.entity AS source_entity, b.system AS target_system, b.entity AS target_entity, a.name AS x, b.name AS y,
+         a.n AS na, b.n AS nb, len(list_intersect(a.fields, b.fields)) AS in_both, abs(a.digits - b.digits) AS apart, a.kinds AS ka, b.kinds AS kb,
+         (a.r1 <> b.r1)::INTEGER + (a.r2 <> b.r2)::INTEGER + (a.r3 <> b.r3)::INTEGER AS differ
+  FROM nodes a JOIN nodes b ON a.system_ord < b.system_ord
+),
+s AS (
+  SELECT source_system, source_entity, target_system, target_entity,
+         CASE WHEN x = y THEN 1::DOUBLE ELSE coalesce(score, 0::DOUBLE) END AS name_score,
+         in_both / (na + nb - in_both) AS field_score,
+         CASE apart WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS row_score,
+         list_sum([least(len(list_filter(ka, lambda v: v = g)) * nb, len(list_filter(kb, lambda v: v = g)) * na)
+                   for g in ['varchar', 'int', 'float', 'bool', 'date', 'other', 'unknown']]) / (na * nb) AS type_score,
+         (3 - differ) / 3 AS role_score
+  FROM p LEFT JOIN scored ON scored.a = x AND scored.b = y
+),
+c AS (
+  SELECT *, 0.35::DOUBLE * name_score + 0.3::DOUBLE * field_score + 0.15::DOUBLE * row_score + 0.1::DOUBLE * type_score + 0.1::DOUBLE * role_score AS confidence FROM s
+)
+SELECT * FROM c WHERE confidence >= 0.65::DOUBLE - 1e-9
+""",
+)

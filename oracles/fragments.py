@@ -14,6 +14,7 @@ _SIMPLE = {
     "fx_raw_requests": i.RAW_REQUESTS,
     "fx_findings": i.FINDINGS,
     "fx_gap_rows": i.GAP_ROWS,
+    "fx_references": i.ENTITY_REFERENCES,
     "fx_dq": i.QUALITY,
     "fx_systems": i.SYSTEMS,
     "fx_existing": i.EXISTING,
@@ -21,6 +22,7 @@ _SIMPLE = {
     "fx_changes": i.RUN_CHANGES,
     "fx_statements": i.STATEMENTS,
     "fx_catalog": i.CATALOG,
+    "fx_named_entities": i.NAMED_ENTITIES,
     "fx_catalog_systems": i.CATALOG_SYSTEMS,
     "fx_wanted": i.WANTED_ENTITIES,
     "fx_run_catalog": i.RUN_CATALOG,
@@ -143,17 +145,17 @@ list_max(flatten([[
 """
 
 
-def scored_names(names: str) -> str:
-    """Pairs (a, b, score) of different names (entity, norm) whose matching ratio is at least 0.8; needs WITH RECURSIVE.
+def scored_names(names: str, least: float = 0.8) -> str:
+    """Pairs (a, b, score) of different names (entity, norm) whose matching ratio is at least ``least``; needs WITH RECURSIVE.
 
     The parts on either side of a longest common block are open blocks in their turn.
     """
     return f"""
 WITH RECURSIVE pairs AS (
   SELECT DISTINCT x.norm AS a, y.norm AS b FROM {names} x JOIN {names} y ON x.entity = y.entity AND x.norm <> y.norm
-  WHERE 2 * least(length(x.norm), length(y.norm)) >= 0.8 * (length(x.norm) + length(y.norm)) - 1e-9
+  WHERE 2 * least(length(x.norm), length(y.norm)) >= {least} * (length(x.norm) + length(y.norm)) - 1e-9
 ),
-likely AS (SELECT a, b FROM pairs WHERE 2 * ({_SHARED}) >= 0.8 * (length(a) + length(b)) - 1e-9),
+likely AS (SELECT a, b FROM pairs WHERE 2 * ({_SHARED}) >= {least} * (length(a) + length(b)) - 1e-9),
 blocks AS (
   SELECT a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS got FROM likely
   UNION ALL
@@ -164,7 +166,7 @@ blocks AS (
     FROM (SELECT *, {_BEST} AS m FROM blocks WHERE alo < ahi AND blo < bhi) x WHERE m.k > 0) y
 )
 SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS score FROM blocks GROUP BY a, b
-HAVING 2.0::DOUBLE * sum(got) / (length(a) + length(b)) >= 0.8
+HAVING 2.0::DOUBLE * sum(got) / (length(a) + length(b)) >= {least}
 """
 
 

@@ -89,18 +89,21 @@ items AS (
          CASE WHEN coalesce(remediation_hint, '') <> '' THEN remediation_hint ELSE impact_description END AS description, 'schema' AS category,
          CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 5 WHEN 'LOW' THEN 3 ELSE 1 END AS priority, severity,
          CASE severity WHEN 'CRITICAL' THEN 21 WHEN 'HIGH' THEN 5 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS effort_min_days,
-         CASE severity WHEN 'CRITICAL' THEN 90 WHEN 'HIGH' THEN 21 WHEN 'MEDIUM' THEN 5 ELSE 1 END AS effort_max_days
+         CASE severity WHEN 'CRITICAL' THEN 90 WHEN 'HIGH' THEN 21 WHEN 'MEDIUM' THEN 5 ELSE 1 END AS effort_max_days,
+         concat('entity:', entity_name) AS topic, sha256(concat_ws('|', run_id, 'schema_finding', input_ord)) AS related_gap_ids
   FROM fx_findings
   UNION ALL
   SELECT run_id, 1, input_ord, concat('Resolve ', replace(bottleneck_type, '_', ' '), ' bottleneck in ''requests'' on ', system_name),
          concat(replace(bottleneck_type, '_', ' '), ' is above its limit (observed ', CAST(observed_value AS VARCHAR), unit, ', threshold ', CAST(threshold_value AS VARCHAR), unit, ')'),
-         'pipeline', CASE severity WHEN 'CRITICAL' THEN 9 ELSE 7 END, severity, 5, 21 FROM fx_bottlenecks
+         'pipeline', CASE severity WHEN 'CRITICAL' THEN 9 ELSE 7 END, severity, 5, 21,
+         concat('pipeline:', system_name), sha256(concat_ws('|', run_id, 'bottleneck', input_ord)) FROM fx_bottlenecks
   UNION ALL
   SELECT run_id, 2, gap_ord, concat('Implement ', replace(gap_type, '_', ' '), ' between ', source_system, ' and ', target_system),
          concat(description, ' Recommended solution: ', solution), 'middleware',
-         least(10, CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 6 ELSE 3 END + CASE WHEN blocking THEN 1 ELSE 0 END), severity, effort_min, effort_max FROM fx_gaps
+         least(10, CASE severity WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 6 ELSE 3 END + CASE WHEN blocking THEN 1 ELSE 0 END), severity, effort_min, effort_max,
+         concat('gap:', gap_type), gap_id FROM fx_gaps
   UNION ALL
-  SELECT run_id, 3, input_ord, concat('Data quality issue #', CAST(row_number() OVER (PARTITION BY run_id ORDER BY input_ord) AS VARCHAR)), '', 'data_quality', 4, severity, 1, 5
+  SELECT run_id, 3, input_ord, concat('Data quality issue #', CAST(row_number() OVER (PARTITION BY run_id ORDER BY input_ord) AS VARCHAR)), '', 'data_quality', 4, severity, 1, 5, 'quality', ''
   FROM fx_dq WHERE NOT passed)
 """
 O["remediation_plan"] = with_inputs(
@@ -109,10 +112,50 @@ O["remediation_plan"] = with_inputs(
 WITH {_ITEMS}
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY priority DESC,
          CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END DESC, kind_ord, input_ord) AS recommended_sequence,
-       title, description, category, priority, severity, effort_min_days, effort_max_days
+       title, description, category, priority, severity, effort_min_days, effort_max_days, related_gap_ids
 FROM items
 """,
 )
+# Longest chains by walking along all needs; a walk of 30 steps among 14 topics went round a cycle.
+_TIERS = f"""
+{_ITEMS},
+needs AS (
+  SELECT DISTINCT run_id, concat('entity:', entity) AS topic, concat('entity:', parent) AS needs FROM fx_references WHERE entity <> parent
+  UNION
+  SELECT g.run_id, concat('gap:', g.gap_type), concat('gap:', h.gap_type)
+  FROM fx_gaps g JOIN fx_gaps h ON h.run_id = g.run_id
+  JOIN (VALUES ('api_gateway', 'identity_federation'), ('rest_api', 'api_gateway'), ('message_queue', 'api_gateway'), ('data_virtualization', 'rest_api'),
+               ('semantic_layer', 'etl_pipeline'), ('semantic_layer', 'data_virtualization')) v(kind, first) ON g.gap_type = v.kind AND h.gap_type = v.first
+),
+topics AS (SELECT run_id, topic FROM items UNION SELECT run_id, topic FROM needs UNION SELECT run_id, needs FROM needs),
+up AS (WITH RECURSIVE w AS (
+  SELECT run_id, topic, 0 AS depth FROM topics
+  UNION SELECT n.run_id, n.topic, depth + 1 FROM w JOIN needs n ON n.run_id = w.run_id AND n.needs = w.topic WHERE depth < 30)
+  SELECT run_id, topic, max(depth) AS depth FROM w GROUP BY ALL),
+down AS (WITH RECURSIVE w AS (
+  SELECT run_id, topic, 0 AS depth FROM topics
+  UNION SELECT n.run_id, n.needs, depth + 1 FROM w JOIN needs n ON n.run_id = w.run_id AND n.topic = w.topic WHERE depth < 30)
+  SELECT run_id, topic, max(depth) AS depth FROM w GROUP BY ALL),
+tiers AS (
+  SELECT run_id, topic, CASE WHEN up.depth < 30 THEN up.depth END AS tier, up.depth = 30 AND down.depth = 30 AS cycle FROM up JOIN down USING (run_id, topic)
+)
+"""
+O["plan_tiers"] = with_inputs(f"{_PENALTY_INPUTS} fx_references", f"WITH {_TIERS} SELECT run_id, topic, coalesce(tier, -1) AS tier, cycle FROM tiers")
+O["tiered_plan"] = with_inputs(
+    f"{_PENALTY_INPUTS} fx_references",
+    f"""
+WITH {_TIERS},
+numbered AS (
+  SELECT items.*, tier, sha256(concat_ws('|', items.run_id, category, input_ord)) AS item_id, row_number() OVER (PARTITION BY items.run_id ORDER BY tier NULLS LAST,
+         CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 2 ELSE 1 END DESC, priority DESC, kind_ord, input_ord) AS recommended_sequence
+  FROM items JOIN tiers ON tiers.run_id = items.run_id AND tiers.topic = items.topic
+),
+ends AS (SELECT run_id, topic, arg_max(item_id, recommended_sequence) AS item FROM numbered WHERE tier IS NOT NULL GROUP BY run_id, topic),
+lists AS (SELECT n.run_id, n.topic, string_agg(item, ',' ORDER BY item) AS prerequisites FROM needs n JOIN ends e ON e.run_id = n.run_id AND e.topic = n.needs GROUP BY ALL)
+SELECT n.run_id, recommended_sequence, title, n.topic, coalesce(tier, -1) AS tier, item_id, coalesce(prerequisites, '') AS prerequisites
+FROM numbered n LEFT JOIN lists ON lists.run_id = n.run_id AND lists.topic = n.topic
+""",
+)
 _EFFORT = f"""
 {_ITEMS},
 e AS (SELECT run_id, count(*) AS n, CAST(floor(CAST(sum(effort_min_days) AS BIGINT) * 0.70::DOUBLE) AS BIGINT) AS lo,

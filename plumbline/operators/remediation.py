@@ -16,6 +16,7 @@ from plumbline.functions.grades import (
     severity_rank,
 )
 from plumbline.functions.text import fill, fixed, rounded, spaced, titled
+from plumbline.operators.dependencies import entity_topic, gap_topic
 from plumbline.operators.ranking import number_rows
 
 # Priority and effort level of an item by the severity of its finding.
@@ -31,8 +32,14 @@ def _or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def _related(df: DataFrame, kind: str, column: str = "finding_id") -> Column:
+    """The id of the finding: its own, or else a hash of run, kind and place."""
+    return F.col(column) if column in df.columns else finding_id(F.col("run_id"), F.lit(kind), F.col("input_ord"))
+
+
 def _items(df: DataFrame, kind: int, category: str, **values: Column) -> DataFrame:
-    c = {"severity": F.col("severity"), "confidence": F.lit(EFFORT_CONFIDENCE), **values}
+    none = F.array().cast("array<string>")
+    c = {"severity": F.col("severity"), "confidence": F.lit(EFFORT_CONFIDENCE), "related": none, **values}
     return df.select(
         "run_id",
         F.lit(kind).alias("kind_ord"),
@@ -46,6 +53,8 @@ def _items(df: DataFrame, kind: int, category: str, **values: Column) -> DataFra
         c["low"].alias("effort_min_days"),
         c["high"].alias("effort_max_days"),
         c["confidence"].alias("confidence"),
+        c["related"].alias("related_gap_ids"),
+        c["topic"].alias("topic"),
     )
 
 
@@ -66,6 +75,8 @@ def schema_items(findings: DataFrame) -> DataFrame:
         priority=choose(severity, SCHEMA_PRIORITY, 5),
         low=effort_min(level),
         high=effort_max(level),
+        related=F.array(_related(findings, "schema_finding")),
+        topic=entity_topic(_or_empty(F.col("entity_name"))),
     )
 
 
@@ -89,6 +100,8 @@ def bottleneck_items(bottlenecks: DataFrame) -> DataFrame:
         priority=choose(F.col("severity"), BOTTLENECK_PRIORITY, 5),
         low=effort_min(F.lit("MEDIUM")),
         high=effort_max(F.lit("MEDIUM")),
+        related=F.array(_related(bottlenecks, "bottleneck")),
+        topic=F.concat(F.lit("pipeline:"), _or_empty(F.col("system"))),
     )
 
 
@@ -106,6 +119,8 @@ def gap_items(gaps: DataFrame) -> DataFrame:
         priority=F.least(F.lit(10), raised),
         low=F.col("effort_min"),
         high=F.col("effort_max"),
+        related=F.array(_related(gaps, "gap", "gap_id")),
+        topic=gap_topic(F.col("gap_type")),
     )
 
 
@@ -124,6 +139,7 @@ def quality_items(issues: DataFrame) -> DataFrame:
         severity=F.coalesce(F.col("severity"), F.lit("MEDIUM")),
         low=effort_min(F.lit("LOW")),
         high=effort_max(F.lit("LOW")),
+        topic=F.lit("quality"),
     )
 
 

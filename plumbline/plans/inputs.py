@@ -54,6 +54,13 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 GROUP BY o_custkey, l_linenumber
 """
 
+# Foreign keys of the entities of FINDINGS; a few runs have cycles.
+ENTITY_REFERENCES = """
+SELECT DISTINCT o_custkey AS run_id, concat('entity_', CAST(o_orderkey % 7 AS STRING)) AS entity, concat('entity_', CAST(l_suppkey % 7 AS STRING)) AS parent
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+WHERE l_suppkey % 7 < o_orderkey % 7 AND l_linenumber = 1 OR l_suppkey % 7 > o_orderkey % 7 AND l_quantity >= 50 AND l_linenumber = 2
+"""
+
 QUALITY = """
 SELECT o_custkey AS run_id, l_linenumber AS input_ord, concat('col_', CAST(l_linenumber AS STRING)) AS column_name,
        CASE WHEN max(l_returnflag) = 'R' AND max(l_linestatus) = 'O' THEN 'CRITICAL' WHEN max(l_returnflag) = 'R' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
@@ -122,6 +129,26 @@ SELECT concat('system_', CAST(s AS STRING)) AS system, s AS system_ord, concat('
 FROM (SELECT DISTINCT l_suppkey % 6 AS s, l_partkey AS e, CAST(l_quantity AS INT) % 12 AS f FROM {lineitem}) g
 """
 
+# Systems that name the same things in their own ways: 100 parts to a system, an entity per name and kind of part, a field
+# per row of lineitem.
+NAMED_ENTITIES = """
+SELECT concat('system_', CAST(s AS STRING)) AS system, s AS system_ord,
+       CASE s % 3 WHEN 0 THEN concat(adjective, '_', noun, '_', kind)
+                  WHEN 1 THEN concat(upper(substring(kind, 1, 1)), substring(kind, 2), upper(substring(noun, 1, 1)), substring(noun, 2),
+                                     upper(substring(adjective, 1, 1)), substring(adjective, 2))
+                  ELSE concat(noun, ' ', kind, '-', adjective) END AS entity,
+       CASE f WHEN 0 THEN 'id' WHEN 1 THEN 'created_at' WHEN 2 THEN 'status' WHEN 3 THEN 'total_price' WHEN 4 THEN 'name'
+              ELSE concat(CASE WHEN f < 20 THEN noun ELSE adjective END, CASE WHEN s % 2 = 0 THEN '_field_' ELSE ' Field ' END, CAST(f AS STRING)) END AS field,
+       min(f) AS field_ord,
+       min(CASE f % 5 WHEN 0 THEN 'varchar(40)' WHEN 1 THEN CASE WHEN s % 2 = 0 THEN 'timestamp' ELSE 'date' END WHEN 2 THEN 'integer'
+                      WHEN 3 THEN 'decimal' ELSE CASE WHEN f > 30 THEN '' ELSE 'blob' END END) AS type,
+       f > 0 AS nullable, f = 0 AS pk, CAST(sum(quantity) AS BIGINT) AS row_part
+FROM (SELECT CAST(floor(p_partkey / 100) AS BIGINT) AS s, split_part(p_name, ' ', 1) AS adjective, split_part(p_name, ' ', 2) AS noun,
+             lower(p_type) AS kind, CAST((l_orderkey * 7 + l_suppkey) % 40 AS BIGINT) AS f, CAST(l_quantity AS BIGINT) AS quantity
+      FROM {part} p JOIN {lineitem} l ON l_partkey = p_partkey) g
+GROUP BY s, adjective, noun, kind, f
+"""
+
 CATALOG_SYSTEMS = """
 SELECT DISTINCT concat('system_', CAST(s_suppkey % 6 AS STRING)) AS name,
        CASE WHEN s_suppkey % 6 = 4 THEN 'failed' ELSE 'connected' END AS status

@@ -9,6 +9,8 @@ from plumbline.functions import types
 from plumbline.functions.names import normalize_field_name
 from plumbline.functions.text import fallback, fixed
 from plumbline.operators import (
+    dependencies,
+    entity_matching,
     gaps,
     predicates,
     quality,
@@ -326,6 +328,13 @@ def _compared_words(spark, d):
     return schema_fuzzy.compare_fields(catalog, store=stored)
 
 
+@query
+def entity_candidates(spark, d):
+    catalog = stored(i.derive(spark, d, i.NAMED_ENTITIES), "named_entities")
+    rows = catalog.groupBy("system", "entity").agg(F.sum("row_part").alias("row_count"))
+    return entity_matching.entity_candidates(catalog, rows, store=stored)
+
+
 @query
 def shared_entities(spark, d):
     return schema_fuzzy.shared_entities(i.catalog(spark, d))
@@ -623,6 +632,29 @@ def remediation_plan(spark, d):
         "severity",
         "effort_min_days",
         "effort_max_days",
+        F.array_join("related_gap_ids", ",").alias("related_gap_ids"),
+    )
+
+
+def _needs(spark, d, gaps):
+    references = i.derive(spark, d, i.ENTITY_REFERENCES)
+    return stored(dependencies.entity_needs(references).unionByName(dependencies.gap_needs(gaps)), "needs")
+
+
+@query
+def plan_tiers(spark, d):
+    t = _finding_tables(spark, d, stored)
+    topics = remediation.plan_items(*_issues(t)).select("run_id", "topic").distinct()
+    return dependencies.topic_tiers(topics, _needs(spark, d, t["gaps"])).na.fill({"tier": -1})
+
+
+@query
+def tiered_plan(spark, d):
+    t = _finding_tables(spark, d, stored)
+    items, needs = stored(remediation.plan_items(*_issues(t)), "items"), _needs(spark, d, t["gaps"])
+    tiers = stored(dependencies.topic_tiers(items.select("run_id", "topic").distinct(), needs), "tiers")
+    return dependencies.tiered_plan(items, tiers, needs).select(
+        "run_id", "recommended_sequence", "title", "topic", F.coalesce("tier", F.lit(-1)).alias("tier"), "item_id", F.array_join("prerequisites", ",").alias("prerequisites")
     )
 
 
