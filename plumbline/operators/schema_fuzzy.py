@@ -107,8 +107,7 @@ def compare_fields(
         "score", F.when(F.col("target").isNotNull(), F.lit(1.0))
     )
     if threshold is not None:
-        compared = store(compared, "equal_names")
-        compared = _add_similar(compared, targets, threshold, store)
+        compared = _add_similar(compared, targets, similar_names_of(fields, threshold, store))
     matched = F.col("target").isNotNull()
     return compared.select(
         *PAIR,
@@ -129,16 +128,20 @@ def compare_fields(
     )
 
 
-def _add_similar(compared: DataFrame, targets: DataFrame, threshold: float, store: Callable) -> DataFrame:
+def similar_names_of(fields: DataFrame, threshold: float, store: Callable) -> DataFrame:
+    """The dictionary: pairs of different names of the whole catalog that reach ``threshold``, each scored once."""
+    names = fields.select("norm").distinct()
+    pairs = candidate_pairs(names.withColumnRenamed("norm", "source_norm"), names.withColumnRenamed("norm", "target_norm"), threshold, [])
+    return store(score_pairs(pairs, threshold), "similar_names")
+
+
+def _add_similar(compared: DataFrame, targets: DataFrame, scored: DataFrame) -> DataFrame:
     """Fill in the best similar target where no equal name was found.
 
-    Similar names are looked for among the distinct names of the whole catalog, each pair is scored once, and only then
-    the places where names occur are joined on. The best target depends on the source's name and the target system
-    alone, so it is looked for once per name and not once per source system.
+    The places where names occur are joined on after the names are compared. The best target depends on the source's
+    name and the target system alone, so it is looked for once per name and not once per source system.
     """
     asked = compared.filter(F.col("target").isNull()).select("entity", "target_system", "source_norm").distinct()
-    pairs = candidate_pairs(asked.select("source_norm").distinct(), targets.select("target_norm").distinct(), threshold, [])
-    scored = store(score_pairs(pairs, threshold), "similar_names")
     rank = F.struct(F.col("score"), -F.col("target.field_ord"))
     best = (
         asked.join(scored, "source_norm")
