@@ -382,6 +382,23 @@ FROM m
 )
 O["stream_dedup"] = "SELECT event_id, user_id, event_type, value FROM events"
 O["stream_run_state"] = O["run_progress"]
+O["stream_progress_ttl"] = O["progress_ttl"]
+# Change by change: legal is what has a higher rank than all before it, while the run has not ended.
+O["stream_run_lifecycle"] = with_inputs(
+    "fx_changes",
+    """
+WITH r AS (
+  SELECT *, CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 1 WHEN 'analyzing' THEN 2 WHEN 'reporting' THEN 3 ELSE 4 END AS rank FROM fx_changes
+),
+o AS (
+  SELECT *, coalesce(max(rank) OVER (PARTITION BY run_id ORDER BY changed_at, version_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS highest FROM r
+)
+SELECT run_id, arg_max(status, rank) FILTER (WHERE rank > highest) AS status,
+       strftime(arg_max(changed_at, rank) FILTER (WHERE rank > highest), '%Y-%m-%d %H:%M:%S') AS changed_at,
+       count(*) FILTER (WHERE rank > highest) AS accepted, count(*) FILTER (WHERE rank <= highest) AS rejected
+FROM o GROUP BY run_id
+""",
+)
 O["stream_event_counts"] = """
 WITH e AS (SELECT date_trunc('day', ts) AS w, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS event_count, CAST(sum(k) AS BIGINT) AS payload_total

@@ -86,6 +86,39 @@ def run_progress(changes: DataFrame) -> DataFrame:
     )
 
 
+# States in the order that a run goes through them; the last two end it.
+LIFECYCLE = ["pending", "running", "analyzing", "reporting", "completed", "failed"]
+TERMINAL_STATES = ["completed", "failed"]
+
+
+def run_lifecycles(changes: DataFrame) -> DataFrame:
+    """Current state of each run when illegal changes are rejected, and how many were.
+
+    A run may only move forward, may skip states, may fail from any state, and ends with ``completed`` or ``failed``. A change
+    is legal exactly if it is the first of its state and no first change of a later state came before it, so the earliest
+    change of each state and a count decide everything: partial results merge in any order, also on streams, and state is
+    a row of ``len(LIFECYCLE)`` entries however long a run's history is. Changes of unknown states are rejected.
+    """
+    place = F.struct("changed_at", "version_ord")
+    first = {name: F.min(F.when(F.col("status") == name, place)).alias(name) for name in LIFECYCLE}
+    runs = changes.groupBy("run_id").agg(*first.values(), F.count(F.lit(1)).alias("changes"))
+    end = F.least(*TERMINAL_STATES)
+    order = [*[name for name in LIFECYCLE if name not in TERMINAL_STATES], "end"]
+    runs = runs.withColumn("end", end)
+    legal = {}
+    for k, name in enumerate(order):
+        later = [F.col(c) for c in order[k + 1 :]]
+        before = F.lit(True) if not later else F.coalesce(F.col(name) < (F.least(*later) if len(later) > 1 else later[0]), F.lit(True))
+        legal[name] = F.col(name).isNotNull() & before
+    accepted = sum((F.when(x, 1).otherwise(0) for x in legal.values()), F.lit(0)).cast("long")
+    ended = F.when(F.col("failed") == F.col("end"), "failed").otherwise("completed")
+    state = F.coalesce(*[F.when(legal[name], ended if name == "end" else F.lit(name)) for name in reversed(order)])
+    since = F.coalesce(*[F.when(legal[name], F.col(name)) for name in reversed(order)])
+    return runs.select(
+        "run_id", state.alias("status"), since["changed_at"].alias("changed_at"), accepted.alias("accepted"), (F.col("changes") - accepted).alias("rejected")
+    )
+
+
 def latest_progress(changes: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
     """Latest entry of each run that is not older than the limit, counted from the newest entry."""
     newest = changes.select(F.max("changed_at")).scalar()

@@ -28,6 +28,7 @@ from plumbline.sources import catalog as cat
 from plumbline.sources import reads, results
 from plumbline.sources.folders import stored, working_folder
 from plumbline.streaming import events as stream_events
+from plumbline.streaming import stateful
 from plumbline.streaming.tables import append_available, parquet_stream, update_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -816,6 +817,21 @@ def stream_run_state(spark, d):
     return _with_time_text(update_available(states, "run_states", ["run_id"]), "started_at", "completed_at")
 
 
+@query
+def stream_progress_ttl(spark, d):
+    orders = parquet_stream(spark, d, "orders.parquet", i.table(spark, d, "orders").schema)
+    changes = spark.sql(i.RUN_CHANGES, orders=orders).withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    latest = update_available(stateful.latest_progress(changes, ttl_seconds=30 * 86400), "progress", ["run_id"])
+    return _with_time_text(latest.filter("NOT expired").drop("expired"), "changed_at")
+
+
+@query
+def stream_run_lifecycle(spark, d):
+    orders = parquet_stream(spark, d, "orders.parquet", i.table(spark, d, "orders").schema)
+    states = runs.run_lifecycles(spark.sql(i.RUN_CHANGES, orders=orders))
+    return _with_time_text(update_available(states, "lifecycles", ["run_id"]), "changed_at")
+
+
 @query
 def stream_event_counts(spark, d):
     events = _event_stream(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("long"))

@@ -1,11 +1,13 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import runs
 from plumbline.operators.requests import request_metrics
 from plumbline.operators.runs import run_progress
 from plumbline.sources.folders import working_folder
-from plumbline.streaming import events
+from plumbline.streaming import events, stateful
 from plumbline.streaming.tables import append_available, parquet_stream, update_available
 
 T0 = datetime(2024, 1, 1)
@@ -91,3 +93,52 @@ def test_file_stream_reads_the_named_files_only(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/region.parquet").schema
     rows = append_available(parquet_stream(spark, sf_dir, "region.parquet", schema), "regions")
     assert rows.count() == 5
+
+
+CHANGES = "run_id int, version_ord long, changed_at timestamp, status string, error_message string"
+
+
+def changes_of_runs():
+    rng = random.Random(11)
+    states = [*runs.LIFECYCLE, "unknown", None]
+    return [
+        (run, k, T0 + timedelta(hours=rng.randrange(200) if run else 0), rng.choice(states), None) for run in range(30) for k in range(rng.randrange(1, 9))
+    ]
+
+
+def plain_lifecycles(rows):
+    out = {}
+    for run, _, at, status, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        state, since, accepted, rejected = out.get(run, (None, None, 0, 0))
+        known = status in runs.LIFECYCLE and state not in runs.TERMINAL_STATES
+        if known and (state is None or runs.LIFECYCLE.index(status) > runs.LIFECYCLE.index(state)):
+            out[run] = status, at, accepted + 1, rejected
+        else:
+            out[run] = state, since, accepted, rejected + 1
+    return out
+
+
+def cuts_of(rows):
+    shuffled = random.Random(2).sample(rows, len(rows))
+    return [[rows], [shuffled[k::5] for k in range(5)], [rows[60:], rows[:60]]]
+
+
+def test_illegal_changes_are_rejected_however_the_stream_is_cut(spark):
+    rows = changes_of_runs()
+    want = plain_lifecycles(rows)
+    for cut in cuts_of(rows):
+        frame, stream = written(spark, cut, CHANGES)
+        for found in (runs.run_lifecycles(frame), update_available(runs.run_lifecycles(stream), "lifecycles", ["run_id"])):
+            assert {r.run_id: (r.status, r.changed_at, r.accepted, r.rejected) for r in found.collect()} == want
+
+
+def test_progress_expires_however_the_stream_is_cut(spark):
+    newest = T0 + timedelta(hours=400)
+    ends = [(900, 0, newest, "running", None), (901, 0, newest - timedelta(hours=24), "running", None), (902, 0, newest - timedelta(hours=24) + timedelta(milliseconds=1), "failed", "x")]
+    rows = [*changes_of_runs(), *[(r, k, t + timedelta(hours=210), s, e) for r, k, t, s, e in changes_of_runs() if r % 3 == 0], *ends]
+    for cut in cuts_of(rows):
+        frame, stream = written(spark, cut, CHANGES)
+        want = {tuple(r) for r in runs.latest_progress(frame, ttl_seconds=86400).select("run_id", "version_ord", "changed_at", "status").collect()}
+        found = update_available(stateful.latest_progress(stream, 86400), "progress", ["run_id"]).filter("NOT expired")
+        got = {tuple(r) for r in found.select("run_id", "version_ord", "changed_at", "status").collect()}
+        assert got == want and {r[0] for r in got} >= {900, 902} and 901 not in {r[0] for r in got}
