@@ -133,7 +133,7 @@ def test_illegal_changes_are_rejected_however_the_stream_is_cut(spark):
 
 
 def test_progress_expires_however_the_stream_is_cut(spark):
-    newest = T0 + timedelta(hours=400)
+    newest = T0 + timedelta(hours=415)
     ends = [(900, 0, newest, "running", None), (901, 0, newest - timedelta(hours=24), "running", None), (902, 0, newest - timedelta(hours=24) + timedelta(milliseconds=1), "failed", "x")]
     rows = [*changes_of_runs(), *[(r, k, t + timedelta(hours=210), s, e) for r, k, t, s, e in changes_of_runs() if r % 3 == 0], *ends]
     for cut in cuts_of(rows):
