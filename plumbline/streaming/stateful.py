@@ -7,29 +7,26 @@ RocksDB state store, which keeps it on disk beyond what fits into memory.
 """
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-ENTRY = "version_ord long, changed_at timestamp, status string, error_message string"
+ENTRY = "version_ord long, at_us long, status string, error_message string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest_progress(changes: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
     """Entries as they become the latest of their run, and once more with ``expired`` when they are dropped; update mode.
 
-    ``changes`` has ``run_id`` and the columns of ``ENTRY``. Among equal times the higher ``version_ord`` is the later.
+    ``changes`` has ``run_id``, ``version_ord``, ``changed_at``, ``status`` and ``error_message``. Among equal times the
+    higher ``version_ord`` is the later. Expiry counts in whole milliseconds.
     """
-    # Defined here, so that workers get the classes with the plan and need not import this package.
-    from datetime import datetime, timedelta, timezone
-
+    # Defined here, so that workers get the class with the plan and need not import this package.
     from pyspark.sql import Row
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    def place(entry):
-        return entry.changed_at, entry.version_ord
+    names = [part.split()[0] for part in ENTRY.split(", ")]
 
-    def due(entry) -> int:
-        """The watermark at which the entry is too old; times count in whole milliseconds."""
-        at = entry.changed_at.replace(tzinfo=entry.changed_at.tzinfo or timezone.utc)
-        return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
+    def place(entry: tuple) -> tuple:
+        return entry[1], entry[0]
 
     class LatestProgress(StatefulProcessor):
         def init(self, handle) -> None:
@@ -37,28 +34,29 @@ def latest_progress(changes: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
             self.last = handle.getValueState("last", ENTRY)
 
         def handleInputRows(self, key, rows, timerValues):
-            newest = max(rows, key=place)
+            newest = max((tuple(r[c] for c in names) for r in rows), key=place)
             if self.last.exists():
-                old = Row(*ENTRY_NAMES)(*self.last.get())
+                old = tuple(self.last.get())
                 if place(old) >= place(newest):
                     return
-                self.handle.deleteTimer(due(old))
-            entry = tuple(newest[c] for c in ENTRY_NAMES)
-            self.last.update(entry)
-            self.handle.registerTimer(due(newest))
-            yield Row(run_id=key[0], **dict(zip(ENTRY_NAMES, entry, strict=True)), expired=False)
+                self.handle.deleteTimer(old[1] // 1000)
+            self.last.update(newest)
+            # The watermark at which the entry is too old.
+            self.handle.registerTimer(newest[1] // 1000)
+            yield Row(run_id=key[0], **dict(zip(names, newest, strict=True)), expired=False)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             if self.last.exists():
                 entry = tuple(self.last.get())
                 self.last.clear()
-                yield Row(run_id=key[0], **dict(zip(ENTRY_NAMES, entry, strict=True)), expired=True)
+                yield Row(run_id=key[0], **dict(zip(names, entry, strict=True)), expired=True)
 
         def close(self) -> None:
             pass
 
-    ENTRY_NAMES = [part.split()[0] for part in ENTRY.split(", ")]
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = changes.select("run_id", *ENTRY_NAMES).withWatermark("changed_at", f"{int(ttl_seconds)} seconds")
+    rows = changes.withColumn("at_us", F.unix_micros("changed_at")).select("run_id", "changed_at", *names)
+    rows = rows.withWatermark("changed_at", f"{int(ttl_seconds)} seconds")
     kind = dict(changes.dtypes)["run_id"]
-    return rows.groupBy("run_id").transformWithState(LatestProgress(), f"run_id {kind}, {ENTRY}, expired boolean", "update", "eventTime")
+    latest = rows.groupBy("run_id").transformWithState(LatestProgress(), f"run_id {kind}, {ENTRY}, expired boolean", "update", "eventTime")
+    return latest.select("run_id", "version_ord", F.timestamp_micros("at_us").alias("changed_at"), "status", "error_message", "expired")
