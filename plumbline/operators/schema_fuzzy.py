@@ -102,12 +102,10 @@ def compare_fields(
     fields = store(prepared, "fields")
     sources = _source_fields(catalog, fields)
     targets = _target_names(fields)
-    equal = targets.withColumnRenamed("target_norm", "source_norm")
-    compared = sources.join(equal, ["entity", "target_system", "source_norm"], "left").withColumn(
-        "score", F.when(F.col("target").isNotNull(), F.lit(1.0))
-    )
+    best = targets.withColumnRenamed("target_norm", "source_norm").withColumn("score", F.lit(1.0))
     if threshold is not None:
-        compared = _add_similar(compared, targets, similar_names_of(fields, threshold, store))
+        best = _with_similar(best, targets, similar_names_of(fields, threshold, store))
+    compared = sources.join(best, ["entity", "target_system", "source_norm"], "left")
     matched = F.col("target").isNotNull()
     return compared.select(
         *PAIR,
@@ -135,26 +133,16 @@ def similar_names_of(fields: DataFrame, threshold: float, store: Callable) -> Da
     return store(score_pairs(pairs, threshold), "similar_names")
 
 
-def _add_similar(compared: DataFrame, targets: DataFrame, scored: DataFrame) -> DataFrame:
-    """Fill in the best similar target where no equal name was found.
+def _with_similar(equal: DataFrame, targets: DataFrame, scored: DataFrame) -> DataFrame:
+    """The best target of every name that an entity's target system has, or has one similar to: an equal name wins.
 
-    The places where names occur are joined on after the names are compared. The best target depends on the source's
-    name and the target system alone, so it is looked for once per name and not once per source system.
+    It depends on the source's name and the target system alone, so it is looked for once per name and not once per
+    source system. Of equal scores the earliest field is taken.
     """
-    asked = compared.filter(F.col("target").isNull()).select("entity", "target_system", "source_norm").distinct()
+    similar = targets.join(scored, "target_norm").select(*equal.columns)
     rank = F.struct(F.col("score"), -F.col("target.field_ord"))
-    best = (
-        asked.join(scored, "source_norm")
-        .join(targets, ["entity", "target_system", "target_norm"])
-        .groupBy("entity", "target_system", "source_norm")
-        .agg(F.max_by(F.struct("target", "score"), rank).alias("best"))
-    )
-    return (
-        compared.join(best, ["entity", "target_system", "source_norm"], "left")
-        .withColumn("target", F.coalesce("target", "best.target"))
-        .withColumn("score", F.coalesce("score", "best.score"))
-        .drop("best")
-    )
+    best = equal.unionByName(similar).groupBy("entity", "target_system", "source_norm").agg(F.max_by(F.struct("target", "score"), rank).alias("best"))
+    return best.select("entity", "target_system", "source_norm", "best.target", "best.score")
 
 
 def field_matches(compared: DataFrame) -> DataFrame:
