@@ -17,6 +17,7 @@ _SIMPLE = {
     "fx_references": i.ENTITY_REFERENCES,
     "fx_dq": i.QUALITY,
     "fx_systems": i.SYSTEMS,
+    "fx_connection_tables": i.CONNECTION_TABLES,
     "fx_existing": i.EXISTING,
     "fx_scenarios": i.SCENARIOS,
     "fx_changes": i.RUN_CHANGES,

@@ -182,6 +182,15 @@ summary AS (SELECT run_id, count(*) FILTER (WHERE kind = 'schema') AS schema_inc
   count(*) FILTER (WHERE severity = 'CRITICAL' AND kind <> 'data_quality') AS critical_issues, count(*) FILTER (WHERE blocking) AS blocking_gaps
   FROM tagged GROUP BY run_id)
 """
+O["finding_totals"] = with_inputs(
+    _PENALTY_INPUTS,
+    f"""
+WITH {_TAGGED}
+SELECT run_id, CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, CASE WHEN grouping(severity) = 1 THEN 'all' ELSE severity END AS severity,
+       count(*) AS finding_count, count(*) FILTER (WHERE blocking) AS blocking_count
+FROM tagged GROUP BY GROUPING SETS ((run_id, kind, severity), (run_id, kind), (run_id, severity), (run_id))
+""",
+)
 O["findings_summary"] = with_inputs(
     _PENALTY_INPUTS,
     f"""

@@ -54,11 +54,13 @@ WITH sized AS (SELECT *, count(*) OVER (PARTITION BY system, entity) AS n,
                       row_number() OVER (PARTITION BY system, entity ORDER BY field_ord) - 1 AS pos FROM fx_catalog)
 SELECT system, system_ord, entity, field, CAST(pos AS INTEGER) AS field_ord, CASE WHEN pk THEN 'id' ELSE type END AS type,
        CAST(CASE WHEN field_ord = 3 THEN true ELSE nullable END AS VARCHAR) AS nullable, CAST(pk AS VARCHAR) AS pk,
-       CASE WHEN field_ord = 6 THEN 'Account.Id' END AS fk_to
+       CASE WHEN field_ord = 6 THEN 'Account.Id' END AS fk_to, CASE WHEN field_ord <> 2 THEN concat('Label of ', field) END AS label,
+       CASE WHEN field_ord % 2 = 0 THEN field_ord * 10 + 20 ELSE -1 END AS length, CAST(field_ord % 3 = 1 AS VARCHAR) AS createable,
+       CAST(field_ord <> 4 AND NOT pk AS VARCHAR) AS updateable
 FROM sized WHERE n > 2
 UNION ALL
 SELECT DISTINCT system, system_ord, entity, CAST(NULL AS VARCHAR), -1, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
-       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), -1, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
 FROM sized WHERE n = 2
 """,
 )
@@ -324,6 +326,19 @@ LEFT JOIN (SELECT run_id, count(*) AS table_count FROM fx_existing GROUP BY run_
 """,
 )
 
+O["connection_details"] = with_inputs(
+    "fx_systems fx_connection_tables",
+    """
+SELECT s.run_id, s.name, s.type AS connector_type, s.status = 'connected' AS healthy, s.error,
+       CASE WHEN s.status = 'connected' THEN (SELECT count(*) FROM fx_connection_tables t WHERE t.run_id = s.run_id AND t.name = s.name) ELSE -1 END AS tables
+FROM fx_systems s
+""",
+)
+O["filtered_scan"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+WHERE o_orderstatus IN ('F', 'O') AND o_totalprice >= 150000 AND o_orderpriority <> '5-LOW' AND o_custkey IS NOT NULL
+"""
+
 # --- run tables ------------------------------------------------------------------------
 
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"

@@ -217,6 +217,21 @@ def _tagged(
     )
 
 
+def finding_totals(findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame) -> DataFrame:
+    """Findings per run, kind and severity with all subtotals; ``all`` stands where a subtotal covers every value.
+
+    Rows are counted per (run, kind, severity) first, so that grouping sets multiply a few counts per run and not its rows.
+    """
+    severity = F.coalesce("severity", F.lit("unknown"))
+    tagged = _tagged(findings, bottlenecks, gaps, quality_issues).withColumn("severity", severity)
+    counts = tagged.groupBy("run_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocking").alias("b"))
+    sets = [["run_id", "kind", "severity"], ["run_id", "kind"], ["run_id", "severity"], ["run_id"]]
+    totals = counts.groupingSets([[F.col(c) for c in s] for s in sets], "run_id", "kind", "severity")
+    shown = lambda c: F.when(F.grouping(c) == 1, F.lit("all")).otherwise(F.col(c)).alias(f"shown_{c}")
+    found = totals.agg(F.sum("n").alias("finding_count"), F.sum("b").alias("blocking_count"), shown("kind"), shown("severity"))
+    return found.select("run_id", F.col("shown_kind").alias("kind"), F.col("shown_severity").alias("severity"), "finding_count", "blocking_count")
+
+
 def findings_summary(
     findings: DataFrame, bottlenecks: DataFrame, gaps: DataFrame, quality_issues: DataFrame, runs: DataFrame | None = None
 ) -> DataFrame:

@@ -188,13 +188,30 @@ def breaking_points(metrics: DataFrame, by: list[str] = KEYS, phase: str = "phas
     )
 
 
-def connection_summary(
-    connections: DataFrame, tables: DataFrame | None = None, by: str = "run_id", name: str = "name"
-) -> DataFrame:
+def connection_details(connections: DataFrame, tables: DataFrame, by: str = "run_id", name: str = "name") -> DataFrame:
+    """A row per connection: type, health, latency, error, and its number of tables.
+
+    ``connections`` has ``type``, ``status``, ``error`` and may have ``latency_ms``; ``tables`` has ``by`` and ``name``. The
+    tables of a system that is not connected are unknown (null); a connected one without tables has none (0).
+    """
+    connected = F.coalesce(F.col("status") == "connected", F.lit(False))
+    latency = F.col("latency_ms") if "latency_ms" in connections.columns else F.lit(None)
+    counted = tables.groupBy(by, name).agg(F.count(F.lit(1)).alias("counted"))
+    return connections.join(counted, [by, name], "left").select(
+        by,
+        name,
+        F.col("type").alias("connector_type"),
+        connected.alias("healthy"),
+        latency.cast("double").alias("latency_ms"),
+        "error",
+        F.when(connected, F.coalesce("counted", F.lit(0))).alias("tables"),
+    )
+
+
+def connection_summary(connections: DataFrame, tables: DataFrame | None = None, by: str = "run_id") -> DataFrame:
     """Per run: connections by state and success rate, with table counts when given.
 
-    ``connections`` has ``status`` and ``error``; ``tables`` has ``by``, the connection
-    name and ``table``.
+    ``connections`` has ``status`` and ``error``; ``tables`` has ``by`` and a row per table.
     """
     connected = F.col("status") == "connected"
     failed = F.coalesce(F.col("error"), F.lit("")) != ""

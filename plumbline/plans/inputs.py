@@ -77,6 +77,13 @@ SELECT CAST(floor(c_custkey / 1500) AS BIGINT) * 700 + CASE WHEN c_custkey % 150
 FROM {customer}
 """
 
+# A table per order of the customer that a connection stands for.
+CONNECTION_TABLES = """
+SELECT CAST(floor(c_custkey / 1500) AS BIGINT) * 700 + CASE WHEN c_custkey % 1500 < 1200 THEN c_custkey % 1500 % 700 WHEN c_custkey % 1500 < 1350 THEN c_custkey % 50 ELSE 100 + c_custkey % 150 END AS run_id,
+       c_name AS name, concat('table_', CAST(o_orderkey AS STRING)) AS table_name
+FROM {customer} JOIN {orders} ON o_custkey = c_custkey
+"""
+
 EXISTING = """
 SELECT DISTINCT p_partkey % 700 AS run_id,
        CASE p_size % 7 WHEN 0 THEN 'rest_api' WHEN 1 THEN 'message_queue' WHEN 2 THEN 'etl_pipeline' WHEN 3 THEN 'api_gateway' WHEN 4 THEN 'data_virtualization' WHEN 5 THEN 'identity_federation' ELSE 'semantic_layer' END AS pattern
@@ -278,6 +285,10 @@ def describe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("field_ord") != 3, F.col("nullable")).alias("nillable"),
         F.col("pk").alias("idLookup"),
         F.when(F.col("field_ord") == 6, F.array(F.lit("Account"), F.lit("Contact"))).otherwise(F.array().cast("array<string>")).alias("referenceTo"),
+        F.when(F.col("field_ord") != 2, F.concat(F.lit("Label of "), "field")).alias("label"),
+        F.when(F.col("field_ord") % 2 == 0, F.col("field_ord") * 10 + 20).alias("length"),
+        F.when(F.col("field_ord") % 3 != 0, F.col("field_ord") % 3 == 1).alias("createable"),
+        F.when(F.col("field_ord") != 4, ~F.col("pk")).alias("updateable"),
     )
     n = F.count(F.lit(1))
     return (

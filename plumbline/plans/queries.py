@@ -93,9 +93,17 @@ def catalog_from_describe(spark, d):
     return catalog.select(
         "system", "system_ord", "entity", "field", F.coalesce("field_ord", F.lit(-1)).alias("field_ord"), "type",
         F.col("nullable").cast("string").alias("nullable"), F.col("pk").cast("string").alias("pk"), "fk_to",
+        "label", F.coalesce("length", F.lit(-1)).alias("length"), F.col("createable").cast("string").alias("createable"),
+        F.col("updateable").cast("string").alias("updateable"),
     )
 
 
+@query
+def filtered_scan(spark, d):
+    wanted = [("o_orderstatus", "in", ["F", "O"]), ("o_totalprice", ">=", 150000.0), ("o_orderpriority", "!=", "5-LOW"), ("o_custkey", "is", "known")]
+    return reads.filtered_scan(i.table(spark, d, "orders"), wanted, ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
 @query
 def read_query(spark, d):
     sql = (
@@ -551,6 +559,12 @@ def connection_summary(spark, d):
     return req.connection_summary(i.derive(spark, d, i.SYSTEMS), tables)
 
 
+@query
+def connection_details(spark, d):
+    details = req.connection_details(i.derive(spark, d, i.SYSTEMS), i.derive(spark, d, i.CONNECTION_TABLES))
+    return details.drop("latency_ms").withColumn("tables", F.coalesce("tables", F.lit(-1)))
+
+
 # --- gaps, scores, remediation -------------------------------------------------------
 
 
@@ -670,6 +684,11 @@ def findings_summary(spark, d):
     return remediation.findings_summary(*_issues(_finding_tables(spark, d)), _run_list(spark, d))
 
 
+@query
+def finding_totals(spark, d):
+    return remediation.finding_totals(*_issues(_finding_tables(spark, d)))
+
+
 @query
 def severity_breakdown(spark, d):
     return remediation.severity_breakdown(*_issues(_finding_tables(spark, d)), _run_list(spark, d))

@@ -177,6 +177,10 @@ DESCRIBE_JSON = T.StructType(
                         T.StructField("nillable", T.BooleanType()),
                         T.StructField("idLookup", T.BooleanType()),
                         T.StructField("referenceTo", T.ArrayType(T.StringType())),
+                        T.StructField("label", T.StringType()),
+                        T.StructField("length", T.IntegerType()),
+                        T.StructField("createable", T.BooleanType()),
+                        T.StructField("updateable", T.BooleanType()),
                     ]
                 )
             ),
@@ -205,6 +209,10 @@ def catalog_from_describe(objects: DataFrame) -> DataFrame:
             F.when(field.isNotNull(), F.coalesce(field["nillable"], F.lit(True))).alias("nullable"),
             F.when(field.isNotNull(), F.coalesce(field["idLookup"], F.lit(False)) & (field["type"] == "id")).alias("pk"),
             F.concat(F.get(field["referenceTo"], F.lit(0)), F.lit(".Id")).alias("fk_to"),
+            field["label"].alias("label"),
+            field["length"].alias("length"),
+            F.when(field.isNotNull(), F.coalesce(field["createable"], F.lit(False))).alias("createable"),
+            F.when(field.isNotNull(), F.coalesce(field["updateable"], F.lit(False))).alias("updateable"),
         )
     )
 

@@ -37,9 +37,43 @@ def random_sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return df.sample(fraction=fraction, seed=seed)
 
 
-def filtered_scan(df: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
-    """Extension: records of an entity; Spark's partitions take the place of pages."""
-    return df.filter(condition).select(*columns)
+_COMPARISONS = {
+    "=": lambda c, v: c == v,
+    "!=": lambda c, v: c != v,
+    "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v,
+    ">": lambda c, v: c > v,
+    ">=": lambda c, v: c >= v,
+    "in": lambda c, v: c.isin(*v),
+    "starts": lambda c, v: c.startswith(v),
+    "is": lambda c, v: {"null": c.isNull(), "known": c.isNotNull()}[v],
+}
+
+
+def record_filter(columns: list[str], conditions: list[tuple]) -> Column:
+    """All of ``conditions`` (field, comparison, value); each is of a kind that a scan can take over.
+
+    Fields that do not exist and unknown comparisons are refused. Unknown values fulfil nothing but ``is null``.
+    """
+    result = F.lit(True)
+    for field, comparison, value in conditions:
+        if field not in columns:
+            raise ValueError(f"no such field: {field}")
+        if comparison not in _COMPARISONS or comparison == "is" and value not in ("null", "known"):
+            raise ValueError(f"unknown comparison: {comparison} {value if comparison == 'is' else ''}".strip())
+        result = result & _COMPARISONS[comparison](F.col(f"`{field}`"), value)
+    return result
+
+
+def filtered_scan(records: DataFrame, conditions: list[tuple], columns: list[str]) -> DataFrame:
+    """Extension: the named columns of an entity's records that fulfil all conditions.
+
+    Input partitions take the place of pages; conditions and columns reach the scan.
+    """
+    for name in columns:
+        if name not in records.columns:
+            raise ValueError(f"no such field: {name}")
+    return records.filter(record_filter(records.columns, conditions)).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def audit_counts(log: DataFrame, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import predicates, runs
+from plumbline.operators import predicates, requests, runs
 from plumbline.sources import catalog as cat
 from plumbline.sources import folders, reads, results
 
@@ -158,3 +158,32 @@ def test_report_documents(spark):
         "remediation_items": 3, "total_effort_min_days": 10, "total_effort_max_days": 40, "remediation_weeks": "19", "generated_at": "2024-05-01",
     }
     assert (got[2]["remediation_weeks"], got[2]["findings_summary"]["middleware_gaps"]) == ("TBD", 0)
+
+
+def test_conditions_and_columns_reach_the_scan(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = reads.filtered_scan(orders, [("o_orderstatus", "in", ["F"]), ("o_totalprice", ">=", 1000.0), ("o_custkey", "is", "known")], ["o_orderkey"])
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = next(line for line in plan.split("\n") if line.startswith("PushedFilters"))
+    assert all(x in pushed for x in ("GreaterThanOrEqual(o_totalprice,1000.0)", "IsNotNull(o_custkey)", "o_orderstatus")), pushed
+    assert "o_orderdate" not in plan
+
+
+def test_filters_of_unknown_kinds_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "`a.b` int, s string")
+    assert [r["a.b"] for r in reads.filtered_scan(rows, [("s", "is", "null")], ["a.b"]).collect()] == [2]
+    assert [r["a.b"] for r in reads.filtered_scan(rows, [("a.b", "<", 2), ("s", "starts", "a")], ["a.b"]).collect()] == [1]
+    assert reads.filtered_scan(rows, [], ["s"]).count() == 3
+    for wrong in ([("x", "=", 1)], [("s", "like", "%")], [("s", "is", "x")]):
+        with pytest.raises(ValueError):
+            reads.filtered_scan(rows, wrong, ["s"])
+    with pytest.raises(ValueError):
+        reads.filtered_scan(rows, [], ["x"])
+
+
+def test_connections_are_listed_with_their_tables(spark):
+    kinds = "run_id int, name string, type string, status string, error string, latency_ms double"
+    connections = spark.createDataFrame([(1, "a", "ERP", "connected", None, 3.5), (1, "b", "CRM", "failed", "x", None), (2, "a", "API", "connected", None, None)], kinds)
+    tables = spark.createDataFrame([(1, "a", "t"), (1, "a", "u"), (1, "b", "v")], "run_id int, name string, table_name string")
+    got = {(r.run_id, r.name): (r.connector_type, r.healthy, r.latency_ms, r.error, r.tables) for r in requests.connection_details(connections, tables).collect()}
+    assert got == {(1, "a"): ("ERP", True, 3.5, None, 2), (1, "b"): ("CRM", False, None, "x", None), (2, "a"): ("API", True, None, None, 0)}
