@@ -19,6 +19,7 @@ from plumbline.operators import (
     schema_exact,
     schema_fuzzy,
     scoring,
+    sketches,
 )
 from plumbline.operators import requests as req
 from plumbline.operators.similar_names import candidate_pairs, score_pairs
@@ -565,6 +566,19 @@ def connection_details(spark, d):
     return details.drop("latency_ms").withColumn("tables", F.coalesce("tables", F.lit(-1)))
 
 
+@query
+def dq_uniqueness_sketch(spark, d):
+    rows = i.derive(spark, d, i.DIRTY_CUSTOMER)
+    made = stored(sketches.distinct_sketches(rows, ["segment"], ["customer_id", "account_key", "name"]), "distinct_sketches")
+    return sketches.uniqueness_estimates(sketches.all_levels(made, sketches.merged_distinct, [["segment"], []]))
+
+
+@query
+def req_percentiles_sketch(spark, d):
+    made = stored(sketches.latency_sketches(i.requests(spark, d), req.KEYS), "latency_sketches")
+    return sketches.latency_estimates(sketches.all_levels(made, sketches.merged_latencies, [req.KEYS, ["system_name"]]))
+
+
 # --- gaps, scores, remediation -------------------------------------------------------
 
 
