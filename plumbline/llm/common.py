@@ -59,3 +59,13 @@ def window_hashes(words: Column, size: int) -> Column:
         .when(n > 0, F.array(F.xxhash64(words)))
         .otherwise(F.array().cast("array<long>"))
     )
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

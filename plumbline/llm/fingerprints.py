@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of, window_hashes, words_of
+from plumbline.llm.common import text_of, unused, window_hashes, words_of
 
 SHINGLE = 5
-SHARE = 8  # one hash in SHARE is kept
+SHARE = 4  # one hash in SHARE is kept
+NO_KEY = -(1 << 63)
 BUCKET_ROWS = 1_000
 MOST_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 200
@@ -29,11 +30,12 @@ def with_sketch(docs: DataFrame, text: str, name: str, share: int = SHARE) -> Da
     The steps are columns of their own, so that none is evaluated twice.
     """
     limit = -(1 << 63) + (1 << 64) // share
-    rows = docs.withColumn("sketch_words", words_of(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    rows = rows.withColumn("sketch_hashes", window_hashes(F.col("sketch_words"), SHINGLE))
-    rows = rows.withColumn("sketch_low", F.filter("sketch_hashes", lambda h: h < F.lit(limit).cast("long")))
-    low, lowest = F.sort_array(F.array_distinct("sketch_low")), F.slice(F.sort_array("sketch_hashes"), 1, 1)
-    return rows.withColumn(name, F.when(F.size("sketch_low") > 0, low).otherwise(lowest)).drop("sketch_words", "sketch_hashes", "sketch_low")
+    words, hashes, kept = own = unused(docs, "sketch_words", "sketch_hashes", "sketch_low")
+    rows = docs.withColumn(words, words_of(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    rows = rows.withColumn(hashes, window_hashes(F.col(words), SHINGLE))
+    rows = rows.withColumn(kept, F.filter(hashes, lambda h: h < F.lit(limit).cast("long")))
+    low, lowest = F.sort_array(F.array_distinct(kept)), F.slice(F.sort_array(hashes), 1, 1)
+    return rows.withColumn(name, F.when(F.size(kept) > 0, low).otherwise(lowest)).drop(*own)
 
 
 def merged(one: Column, other: Column) -> Column:
@@ -63,7 +65,7 @@ def _bounds(docs: DataFrame, key: str) -> list:
     Their number is bounded by MOST_BUCKETS; beyond that the ranges grow, and are sorted on disk. Like any range
     partitioning this looks at a sample of the keys; where the cuts lie changes no result.
     """
-    ids = docs.select(F.col(key).cast("long").alias("k"))
+    ids = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("k"))
     n = ids.agg(F.count("k")).first()[0]
     if not n:
         return []
@@ -94,20 +96,20 @@ def with_next(docs: DataFrame, added: dict[str, Column], key: str = "doc_id") ->
     also dealt, as a guest, to the range above, where it is the one after the last.
     """
     bounds = _bounds(docs, key)
-    k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    names = ["next_key", "next_tie", "next_place", "next_guest", "next_part"]
-    rows = docs.withColumns({"next_key": k, "next_tie": F.xxhash64(text_of())})
-    rank = _rank(bounds, F.col("next_key"))
-    at_bound = F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col("next_key")) if bounds else F.lit(False)
+    k = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY))
+    place_key, tie, place, guest, part = own = unused(docs, "next_key", "next_tie", "next_place", "next_guest", "next_part")
+    rows = docs.withColumns({place_key: k, tie: F.xxhash64(text_of())})
+    rank = _rank(bounds, F.col(place_key))
+    at_bound = F.array_contains(F.array(*[F.lit(b) for b in bounds]), F.col(place_key)) if bounds else F.lit(False)
     home = F.struct(F.lit(False).alias("guest"), rank.alias("part"))
     visit = F.struct(F.lit(True).alias("guest"), ((rank + 1) % max(1, len(bounds))).alias("part"))
     places = F.when(at_bound, F.array(home, visit)).otherwise(F.array(home))
-    dealt = rows.withColumn("next_place", F.explode(places))
-    dealt = dealt.withColumns({"next_guest": F.col("next_place.guest"), "next_part": F.col("next_place.part")})
+    dealt = rows.withColumn(place, F.explode(places))
+    dealt = dealt.withColumns({guest: F.col(f"{place}.guest"), part: F.col(f"{place}.part")})
     # A guest comes after the rows of the range; in the lowest range these are followed by the greatest of all.
-    order = Window.partitionBy("next_part").orderBy(F.col("next_guest"), F.col("next_key").desc(), "next_tie")
+    order = Window.partitionBy(part).orderBy(F.col(guest), F.col(place_key).desc(), tie)
     following = dealt.withColumns({name: F.lead(value).over(order) for name, value in added.items()})
-    return following.filter(~F.col("next_guest")).drop(*names)
+    return following.filter(~F.col(guest)).drop(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,12 +18,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plumbline.llm.common import text_of
+from plumbline.llm.common import text_of, unused
 
 BUCKET_BYTES = 8 << 20
 RECORD_OVERHEAD = 8
-_RESULT = ("size", "shard", "slot", "grown_shard", "bucket")
+_RESULT = ("size", "shard", "slot", "grown_shard")
 
 
 def _weight(key: Column, shard: int, seed: int) -> Column:
@@ -53,23 +54,25 @@ def assign(
     total = docs.select(record_size(text).alias("size")).agg(F.sum("size")).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     part = F.pmod(F.xxhash64(k, F.lit(seed + 1), text_of(text)), F.lit(per_shard))
-    rows = rows.withColumn("bucket", F.col("shard").cast("long") * per_shard + part)
-    return _numbered(rows, k, text, seed)
+    # Its own columns go by names that the caller's do not have.
+    own = unused(rows, "bucket", "row_in_bucket", "first_slot", "permutation")
+    return _numbered(rows.withColumn(own[0], F.col("shard").cast("long") * per_shard + part), k, text, seed, own)
 
 
-def _numbered(rows: DataFrame, key: Column, text: str, seed: int) -> DataFrame:
+def _numbered(rows: DataFrame, key: Column, text: str, seed: int, own: list[str]) -> DataFrame:
     """Pass 2: a seeded permutation of each bucket's row numbers, after the rows of the shard's earlier buckets."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucket, place, first, permutation = own
+    counts = rows.groupBy("shard", bucket).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # Sorted, so that a task that runs again draws the same permutations.
-    buckets = counts.withColumn("first_slot", F.coalesce(F.sum("n").over(before), F.lit(0))).sortWithinPartitions("bucket")
-    permuted = buckets.select("bucket", "first_slot", F.shuffle(F.sequence(F.lit(0), F.col("n") - 1), seed).alias("permutation"))
-    order = Window.partitionBy("bucket").orderBy(key, F.xxhash64(text_of(text)))
-    numbered = rows.withColumn("row_in_bucket", F.row_number().over(order) - 1)
-    slot = F.col("first_slot") + F.get("permutation", F.col("row_in_bucket"))
-    return numbered.join(permuted, "bucket").withColumn("slot", slot.cast("long")).drop("permutation", "first_slot", "row_in_bucket", "bucket")
+    buckets = counts.withColumn(first, F.coalesce(F.sum("n").over(before), F.lit(0))).sortWithinPartitions(bucket)
+    permuted = buckets.select(bucket, first, F.shuffle(F.sequence(F.lit(0), F.col("n") - 1), seed).alias(permutation))
+    order = Window.partitionBy(bucket).orderBy(key, F.xxhash64(text_of(text)))
+    numbered = rows.withColumn(place, F.row_number().over(order) - 1)
+    slot = F.col(first) + F.get(permutation, F.col(place))
+    return numbered.join(permuted, bucket).withColumn("slot", slot.cast("long")).drop(*own)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
@@ -77,10 +80,19 @@ def write_shards(assigned: DataFrame, path: str) -> None:
     assigned.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark, path: str, schema: StructType) -> DataFrame:
+    """The records of written shards; ``schema`` is that of the assigned rows."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def query(spark, sf_dir: str, shards: int = 24) -> DataFrame:
-    """Registered query op1: all documents in 24 shards, law ``key``."""
-    from plumbline.llm.common import table
+    """Registered query op1: all documents written to 24 shards, law ``key``, and read back from the files."""
+    from plumbline.llm.common import shared_folder, table
 
     rows = assign(table(spark, sf_dir, "documents").select("doc_id", "text"), shards)
+    path = f"{shared_folder(spark, 'shards')}/shards"
+    write_shards(rows, path)
     crc = F.crc32(text_of().cast("binary"))
-    return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    # What the files hold, and not what was meant to be written.
+    written = read_shards(spark, path, rows.schema)
+    return written.select("doc_id", record_size().alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

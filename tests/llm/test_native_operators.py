@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import fingerprints, license_rules, queries, quality_rules, sharding
@@ -54,6 +55,62 @@ def rows_with_crc(df):
     return df.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")).collect()
 
 
+def test_sharding_query_gives_what_the_files_hold(spark, sf_dir, docs):
+    """Law, sizes and sums of the registered query against the table itself."""
+    rows = queries.QUERIES["op1_sharding"](spark, sf_dir).collect()
+    want = sorted((k, len(t.encode()) + 8, zlib.crc32(t.encode())) for k, t in texts(docs).items())
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == want and {r.law for r in rows} == {"key"}
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
+    plain = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(docs, 24).collect()}
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in rows} == plain
+
+
+def test_shards_keep_the_callers_columns(spark, docs):
+    own = ["bucket", "first_slot", "permutation", "row_in_bucket", "a.b"]
+    rows = sharding.assign(docs.limit(30).select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in own]), 3).collect()
+    assert all([r[c] for c in own] == [f"{c} {r.doc_id}" for c in own] for r in rows) and len(rows) == 30
+
+
+def plain_sketch(text):
+    words = [w for w in re.split("[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    runs = [words[k : k + 5] for k in range(len(words) - 4)] or ([words] if words else [])
+    hashes = set()
+    for run in runs:
+        h = 42
+        for word in run:
+            h = xxhash.xxh64_intdigest(word.encode(), seed=h)
+        hashes.add(h - (1 << 64) if h >> 63 else h)
+    low = sorted(h for h in hashes if h < -(1 << 63) + (1 << 64) // fingerprints.SHARE)
+    return low or sorted(hashes)[:1]
+
+
+def plain_likeness(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+def test_fingerprint_query_equals_brute_force(spark, sf_dir, docs):
+    rows = sorted(texts(docs).items(), reverse=True)
+    got = {r.doc_id: r for r in queries.QUERIES["op5_fingerprints"](spark, sf_dir).collect()}
+    for (k, text), (_, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        mine, other = plain_sketch(text), plain_sketch(edited)
+        assert got[k].fingerprint == "".join(f"{h % (1 << 64):016X}" for h in mine)
+        assert got[k].edited_fingerprint == "".join(f"{h % (1 << 64):016X}" for h in other)
+        assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[k].n_chars == len(text)
+        assert got[k].near_edited == pytest.approx(plain_likeness(mine, other)) and got[k].near_next == pytest.approx(plain_likeness(mine, plain_sketch(following)))
+
+
+def test_next_of_null_keys_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(None, "a", "p"), (None, "b", "q")], "doc_id long, text string, next_part string").withColumn("sketch_words", F.lit(3))
+    got = fingerprints.with_next(fingerprints.with_sketch(rows, "text", "s"), {"following": F.col("text")}).collect()
+    assert {(r.text, r.following) for r in got} == {("a", "b"), ("b", "a")}
+    assert {(r.text, r.next_part, r.sketch_words) for r in got} == {("a", "p", 3), ("b", "q", 3)}
+
+
 def test_written_shards_hold_every_row(spark, docs, tmp_path):
     sharding.write_shards(sharding.assign(docs, 4), str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
