@@ -121,6 +121,10 @@ _RULE_TYPE = "array<struct<rank:int,tier:int,label:string,keywords:array<string>
 _RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 
 
+CHUNK = 256
+_SPANS = "array<struct<s:int,ne:int,tier:int,rank:int,label:string>>"
+
+
 def rules() -> list[dict]:
     """All rules in order of rank: notices, then every use of every name."""
     found = [(tier, label, "", literal, pattern) for tier, label, pattern, literal in NOTICES]
@@ -150,7 +154,8 @@ def _spans(body: Column, rule: Column) -> Column:
         F.regexp_extract_all(body, rule["pattern"], F.lit(0)),
         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("match")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,ne:int,tier:int,rank:int,label:string>>").alias("out"))
+    none = F.array().cast(_SPANS)
+    size = lambda x: F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["match"], F.lit(0))
 
     def step(acc, piece):
         s = acc["at"] + F.coalesce(piece["gap"], F.lit(0))
@@ -159,21 +164,51 @@ def _spans(body: Column, rule: Column) -> Column:
         out = F.when(piece["match"].isNotNull(), F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
         return F.struct(e.alias("at"), out.alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def placed(chunks):
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + size(x)))
+        starts = F.aggregate(lengths, begin, add, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    return _let(pieces, lambda p: _let(_chunks(p), placed))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _chunks(values: Column) -> Column:
+    """An array in parts of CHUNK elements: appending to an array copies it, so long ones are put together from short ones."""
+    last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * CHUNK + 1, CHUNK))
+    return F.when(F.size(values) > 0, cut).otherwise(F.filter(F.array(values), lambda x: F.lit(False)))
 
 
 def _resolved(spans: Column) -> Column:
     """Without those that lie inside one of the same or a better tier; one pass over the spans by start and end."""
-    none = F.array().cast("array<struct<s:int,ne:int,tier:int,rank:int,label:string>>")
-    start = F.struct(*[F.lit(-1).alias(f"m{t}") for t in WEIGHT], none.alias("out"))
+    none = F.array().cast(_SPANS)
+
+    def reached(acc, x) -> list[Column]:
+        return [F.when(x["tier"] <= t, F.greatest(acc[f"m{t}"], -x["ne"])).otherwise(acc[f"m{t}"]).alias(f"m{t}") for t in WEIGHT]
 
     def step(acc, x):
-        end = -x["ne"]
         reach = F.when(x["tier"] == 1, acc["m1"]).when(x["tier"] == 2, acc["m2"]).otherwise(acc["m3"])
-        ends = [F.when(x["tier"] <= t, F.greatest(acc[f"m{t}"], end)).otherwise(acc[f"m{t}"]).alias(f"m{t}") for t in WEIGHT]
-        return F.struct(*ends, F.when(reach >= end, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+        return F.struct(*reached(acc, x), F.when(reach >= -x["ne"], acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+
+    def kept(chunks):
+        # How far each tier reaches at the end of every chunk, and from there at the begin of the next.
+        nowhere = F.struct(*[F.lit(-1).alias(f"m{t}") for t in WEIGHT])
+        ends = F.transform(chunks, lambda c: F.aggregate(c, nowhere, lambda acc, x: F.struct(*reached(acc, x))))
+        farther = lambda acc, x: F.struct(*[F.greatest(acc["at"][f"m{t}"], x[f"m{t}"]).alias(f"m{t}") for t in WEIGHT])
+        begin = F.struct(nowhere.alias("at"), F.filter(F.array(nowhere), lambda x: F.lit(False)).alias("out"))
+        add = lambda acc, x: F.struct(farther(acc, x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        starts = F.aggregate(ends, begin, add, lambda acc: acc["out"])
+        first = lambda at: F.struct(*[at[f"m{t}"].alias(f"m{t}") for t in WEIGHT], none.alias("out"))
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, first(at), step, lambda acc: acc["out"])))
 
-    return F.aggregate(F.sort_array(spans), start, step, lambda acc: acc["out"])
+    return _let(F.sort_array(spans), lambda x: _let(_chunks(x), kept))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -198,7 +233,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumns(
         {
             "detections": F.transform(
-                _resolved(F.coalesce(F.col("spans"), F.array().cast("array<struct<s:int,ne:int,tier:int,rank:int,label:string>>"))),
+                _resolved(F.coalesce(F.col("spans"), F.array().cast(_SPANS))),
                 lambda x: F.struct(x["s"].alias("start"), (-x["ne"]).alias("end"), x["tier"].alias("tier"), x["rank"].alias("rank"), x["label"].alias("label")),
             ),
             "places": F.coalesce(F.flatten(F.transform("kinds", lambda h: h["places"])), F.array().cast("array<int>")),

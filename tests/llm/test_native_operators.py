@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -239,3 +240,17 @@ def test_plan_is_native(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     for node in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
         assert node not in plan
+
+
+def test_many_detections_take_time_in_proportion(spark):
+    """50 000 detections in one text; the same text a few times shorter against brute force over all pairs."""
+    notice = "Licensed under the MIT license. Words between the notices, Apache License version 2. "
+    few = spark.createDataFrame([(1, notice * 400)], "doc_id long, text string")
+    found = license_rules.scan(few).select("detections", "labels").first()
+    want, labels = license_rules.brute_force(notice * 400)
+    assert [(x.start, x.end, x.label) for x in found.detections] == want and found.labels == labels and len(want) > 2 * license_rules.CHUNK
+    each = len(want) / 400
+    many = spark.createDataFrame([(1, notice * int(50_000 / each))], "doc_id long, text string")
+    begin = time.time()
+    n = license_rules.scan(many).select(F.size("detections").alias("n")).first().n
+    assert abs(n - 50_000) <= each and time.time() - begin < 60
