@@ -100,7 +100,7 @@ def frequencies(forward: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["term", "df"])
 
     out = np.zeros(size, np.int64)
-    for row in forward.select("term").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for row in forward.select("term").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).head(size):
         out[row["term"]] = row["df"]
     return out
 
@@ -217,9 +217,10 @@ def _item_blocks(items: DataFrame, key: str, text: str, block_terms: int) -> Ite
     """Rows (item_id, term, times) of all items, in blocks of whole items with about ``block_terms`` rows."""
     words = items.select(F.col(f"`{key}`").alias("item_id"), F.explode(terms_of(F.col(f"`{text}`"))).alias("term"))
     rows = written(words.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times")), "item-terms")
-    blocks = -(-rows.count() // block_terms)
+    total = rows.count()
+    blocks = -(-total // block_terms)
     for k in range(blocks):
-        block = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "term").collect()
+        block = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "term").head(total)
         if block:
             yield block
 

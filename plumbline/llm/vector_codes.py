@@ -156,7 +156,7 @@ def start_books(rows: DataFrame, key: str, vector: str, parts: int = PARTS, entr
     kept = _kept(rows, key, vector)
     longest = kept.agg(F.max(F.size("vec"))).first()[0] or 0
     size = -(-longest // parts)
-    first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "vec").limit(entries).collect()
+    first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "vec").head(entries)
     whole = np.zeros((len(first), size * parts))
     for k, row in enumerate(first):
         whole[k, : len(row["vec"])] = row["vec"]
@@ -208,7 +208,7 @@ def fit(
         return books
     kept = _kept(rows, key, vector)
     for _ in range(rounds):
-        found = _sums(kept, books, scale, width).collect()  # entries x components of a codebook, whatever the rows
+        found = _sums(kept, books, scale, width).head(sum(b.size for b in books))  # a row per component, whatever the rows
         books = [b.copy() for b in books]
         for r in found:
             books[r["part"]][r["entry"], r["place"]] = r["total"] // r["n"]

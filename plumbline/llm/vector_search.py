@@ -282,7 +282,7 @@ def search(
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest *= 1 + 1e-12  # no vector is longer by rounding
-    few = rows.orderBy(F.xxhash64("vec_id", "tie"), "vec_id", "tie").limit(sample).collect()
+    few = rows.orderBy(F.xxhash64("vec_id", "tie"), "vec_id", "tie").head(sample)
     ids, fitted = np.array([r["vec_id"] for r in few]), np.zeros((len(few), dims))
     for k, r in enumerate(few):
         fitted[k, : len(r["vec"])] = r["vec"]
