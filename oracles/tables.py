@@ -326,6 +326,21 @@ LEFT JOIN (SELECT run_id, count(*) AS table_count FROM fx_existing GROUP BY run_
 """,
 )
 
+O["dq_uniqueness_sketch"] = with_inputs(
+    "fx_dirty_customer",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS \"values\", count(DISTINCT {c}) AS exact, true AS estimate_holds FROM fx_dirty_customer"
+        for c in ("customer_id", "account_key", "name")
+    ),
+)
+O["req_percentiles_sketch"] = with_inputs(
+    "fx_requests",
+    """
+SELECT system_name, count(*) AS total_requests, count(*) FILTER (WHERE NOT success) AS failed_requests, max(latency_ms) FILTER (WHERE success) AS max_ms,
+       true AS p50_ms_holds, true AS p95_ms_holds, true AS p99_ms_holds
+FROM fx_requests GROUP BY system_name
+""",
+)
 O["connection_details"] = with_inputs(
     "fx_systems fx_connection_tables",
     """

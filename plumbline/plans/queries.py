@@ -1,6 +1,7 @@
 """Registered queries: each operator over inputs derived from the test tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -568,15 +569,31 @@ def connection_details(spark, d):
 
 @query
 def dq_uniqueness_sketch(spark, d):
-    rows = i.derive(spark, d, i.DIRTY_CUSTOMER)
-    made = stored(sketches.distinct_sketches(rows, ["segment"], ["customer_id", "account_key", "name"]), "distinct_sketches")
-    return sketches.uniqueness_estimates(sketches.all_levels(made, sketches.merged_distinct, [["segment"], []]))
+    """Estimates of all customers, merged from sketches per segment, held against exact distinct counts."""
+    rows, columns = i.derive(spark, d, i.DIRTY_CUSTOMER), ["customer_id", "account_key", "name"]
+    made = stored(sketches.distinct_sketches(rows, ["segment"], columns), "distinct_sketches")
+    found = sketches.uniqueness_estimates(sketches.merged_distinct(made, []))
+    exact = [rows.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).distinct() for c in columns]
+    exact = reduce(DataFrame.unionByName, exact).groupBy("column").agg(F.count("value").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * (4 * sketches.DISTINCT_ERROR)
+    return found.join(exact, "column").select("column", "values", "exact", near.alias("estimate_holds"))
 
 
 @query
 def req_percentiles_sketch(spark, d):
-    made = stored(sketches.latency_sketches(i.requests(spark, d), req.KEYS), "latency_sketches")
-    return sketches.latency_estimates(sketches.all_levels(made, sketches.merged_latencies, [req.KEYS, ["system_name"]]))
+    """Percentiles per system, merged from sketches per run and system, held against the share of latencies below them."""
+    requests = i.requests(spark, d)
+    made = stored(sketches.latency_sketches(requests, req.KEYS), "latency_sketches")
+    found = sketches.latency_estimates(sketches.merged_latencies(made, ["system_name"]))
+    latency = F.col("latency_ms")
+    near = {
+        name: F.avg((latency < F.col(name)).cast("double")).between(0, share + 2 * sketches.RANK_ERROR)
+        & (F.avg((latency <= F.col(name)).cast("double")) >= share - 2 * sketches.RANK_ERROR)
+        for name, share in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99))
+    }
+    held = requests.filter("success").join(found.select("system_name", *near), "system_name").groupBy("system_name")
+    held = held.agg(*[x.alias(f"{name}_holds") for name, x in near.items()])
+    return found.join(held, "system_name").select("system_name", "total_requests", "failed_requests", "max_ms", *[f"{n}_holds" for n in near])
 
 
 # --- gaps, scores, remediation -------------------------------------------------------
