@@ -145,7 +145,7 @@ SELECT concat('system_', CAST(s AS STRING)) AS system, s AS system_ord,
                                      upper(substring(adjective, 1, 1)), substring(adjective, 2))
                   ELSE concat(noun, ' ', kind, '-', adjective) END AS entity,
        CASE f WHEN 0 THEN 'id' WHEN 1 THEN 'created_at' WHEN 2 THEN 'status' WHEN 3 THEN 'total_price' WHEN 4 THEN 'name'
-              ELSE concat(CASE WHEN f < 20 THEN noun ELSE adjective END, CASE WHEN s % 2 = 0 THEN '_field_' ELSE ' Field ' END, CAST(f AS STRING)) END AS field,
+              ELSE concat(CASE WHEN f < 12 THEN noun ELSE concat(adjective, '_', noun) END, CASE WHEN s % 2 = 0 THEN '_field_' ELSE ' Field ' END, CAST(f AS STRING)) END AS field,
        min(f) AS field_ord,
        min(CASE f % 5 WHEN 0 THEN 'varchar(40)' WHEN 1 THEN CASE WHEN s % 2 = 0 THEN 'timestamp' ELSE 'date' END WHEN 2 THEN 'integer'
                       WHEN 3 THEN 'decimal' ELSE CASE WHEN f > 30 THEN '' ELSE 'blob' END END) AS type,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import fixed
+from plumbline.sources.folders import stored
 
 RUN_BUCKETS = 64
 ROWS_PER_TASK = 1_000_000
@@ -50,12 +51,16 @@ def run_bucket(buckets: int = RUN_BUCKETS):
     return F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int")
 
 
-def write_results(df: DataFrame, path: str, buckets: int = RUN_BUCKETS, rows_per_task: int = ROWS_PER_TASK) -> None:
+def write_results(df: DataFrame, path: str, buckets: int = RUN_BUCKETS, rows_per_task: int = ROWS_PER_TASK, rows: int | None = None) -> None:
     """Write a result table partitioned by run bucket, replacing only the buckets written.
 
     Rows are spread by bucket and row hash, the further the more there are, so that one large run is written by many tasks.
+    ``rows`` is their number, if it is known.
     """
-    parts = 1 + df.count() // rows_per_task
+    if rows is None:  # stored first, so that counting does not run the whole plan twice
+        df = stored(df, "results")
+        rows = df.count()
+    parts = 1 + rows // rows_per_task
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != "run_id"]), F.lit(parts))
     (
         df.withColumn("run_bucket", run_bucket(buckets))
