@@ -3,8 +3,8 @@
 Words (pre-tokens) that a worker has not met are first cut greedily into the longest vocabulary entries. A sequence of
 tokens is the merge result exactly if every adjacent pair is: so all adjacent pairs of all new words are looked up at once
 in a table of compatible pairs, and only words with an incompatible pair go through exact merging. A pair's own entry is
-found once, by merging its bytes. Each worker keeps its table and its words between tasks; beyond ``MOST_WORDS`` it forgets
-those that the slice of texts at hand does not use, which bounds the memory and changes no result.
+found once, by merging its bytes. Each worker keeps its table and its words between tasks; beyond ``most_words`` it
+keeps the half that it met first and those that the slice of texts at hand uses, which bounds the memory and changes no result.
 
 Defined cases: a null text is the empty text, which has no ids; text of a special token becomes its id, as the tokenizers
 library does; repeated rows are coded alike; extra columns are kept, columns with a result's name are replaced.
@@ -17,7 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "byte_bpe_50k.json"
-MOST_WORDS = 200_000
+MOST_WORDS = 600_000
+FEW_WORDS = 120_000  # where workers hold more than one coder's tables, or those of other stages
 MOST_PAIRS = 1 << 20
 LONG_WORD = 256
 SLICE_CHARS = 4 << 20
@@ -47,7 +48,8 @@ def byte_symbols() -> dict[str, int]:
 class Coder:
     """Encoder and decoder of one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        self.most_words = most_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols, model = byte_symbols(), spec["model"]
@@ -260,7 +262,7 @@ class Coder:
             heads.append(head)
             tails.append(tail.split(" ") if blank else [])
         used = set().union(*tails)
-        self.pieces = _bounded(self.pieces, used)
+        self.pieces = _bounded(self.pieces, used, self.most_words)
         look = self.pieces.get
         missing = used.difference(self.pieces)
         if missing:
@@ -277,7 +279,7 @@ class Coder:
         """Ids of new pieces, a blank before each: split as one text, whose words with a blank begin the pieces."""
         words = self.plain.findall(" " + " ".join(pieces))
         used = set(words)
-        self.words = _bounded(self.words, used)
+        self.words = _bounded(self.words, used, self.most_words)
         if new := used.difference(self.words):
             self._learn(list(new))
         coded = list(map(self.words.__getitem__, words))
@@ -299,7 +301,7 @@ class Coder:
         """Ids of each text, word by word."""
         words = [self._split(t) for t in texts]
         used = set().union(*words)
-        self.words = _bounded(self.words, used)
+        self.words = _bounded(self.words, used, self.most_words)
         if new := used.difference(self.words):
             self._learn(list(new))
         look = self.words.__getitem__
@@ -309,21 +311,25 @@ class Coder:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def _bounded(known: dict[str, bytes], used: set[str]) -> dict[str, bytes]:
-    """``known``, or only what is ``used`` of it if it has grown beyond MOST_WORDS."""
-    return known if len(known) <= MOST_WORDS else {w: known[w] for w in used & known.keys()}
+def _bounded(known: dict[str, bytes], used: set[str], most: int) -> dict[str, bytes]:
+    """``known``; if it has grown beyond ``most``, the half that was met first (frequent words are) and what is ``used``."""
+    if len(known) <= most:
+        return known
+    kept = dict(islice(known.items(), most // 2))
+    kept.update((w, known[w]) for w in used & known.keys())
+    return kept
 
 
 @lru_cache(maxsize=4)
-def coder(vocabulary: str = VOCABULARY) -> Coder:
+def coder(vocabulary: str = VOCABULARY, most_words: int = MOST_WORDS) -> Coder:
     """The worker's coder: ``vocabulary`` is a path, or the name of a file of the installed tokenizers package."""
     import os
 
     if os.path.isabs(vocabulary):
-        return Coder(vocabulary)
+        return Coder(vocabulary, most_words)
     import public_tokenizers
 
-    return Coder(public_tokenizers.path(vocabulary))
+    return Coder(public_tokenizers.path(vocabulary), most_words)
 
 
 def slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -371,7 +377,7 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
     schema = T.StructType([*own, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = coder(vocabulary)
+        both = coder(vocabulary, FEW_WORDS)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             values = [v or "" for v in batch.column(at).to_pylist()]

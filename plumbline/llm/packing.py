@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import VOCABULARY, coder, slices
+from plumbline.llm.bpe import MOST_WORDS, VOCABULARY, coder, slices
 from plumbline.llm.common import written
 
 CAPACITY = 2048
@@ -38,8 +38,13 @@ BUCKET_ROWS = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents: the ids of the text, then END; longer ones in full pieces after a first, shorter one."""
+def cut(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False, most_words: int = MOST_WORDS
+) -> DataFrame:
+    """Pieces of all documents: the ids of the text, then END; longer ones in full pieces after a first, shorter one.
+
+    ``most_words`` bounds what a worker remembers; it changes the time, not the result.
+    """
     schema = _PIECE + (", ids binary" if with_ids else "")
     end = np.array([END], "<u4").tobytes()
 
@@ -48,7 +53,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY,
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(batch, texts):
                 rows = []
-                for key, ids in zip(keys[a:b], coder(vocabulary).encode(texts[a:b]), strict=True):
+                for key, ids in zip(keys[a:b], coder(vocabulary, most_words).encode(texts[a:b]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
