@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, near_dedup, packing, quality_rules
+from plumbline.llm.bpe import FEW_WORDS
 from plumbline.llm.common import table, written
 
 
@@ -48,7 +49,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the sequences."""
-    return packing.pack(written(packing.cut(docs), "pipeline-pieces"))
+    # Workers of the stages before are still there, so those of this one remember fewer words.
+    return packing.pack(written(packing.cut(docs, most_words=FEW_WORDS), "pipeline-pieces"))
 
 
 STAGES = [
