@@ -100,12 +100,19 @@ def compare_fields(
         {"norm": normalize_field_name(F.col("field")), "base": type_base(F.coalesce(F.col("type"), F.lit("")))}
     )
     fields = store(prepared, "fields")
-    sources = _source_fields(catalog, fields)
-    targets = _target_names(fields)
-    best = targets.withColumnRenamed("target_norm", "source_norm").withColumn("score", F.lit(1.0))
-    if threshold is not None:
-        best = _with_similar(best, targets, similar_names_of(fields, threshold, store))
-    compared = sources.join(best, ["entity", "target_system", "source_norm"], "left")
+    if threshold is None:
+        equal = _target_names(fields).withColumnRenamed("target_norm", "source_norm").withColumn("score", F.lit(1.0))
+        compared = _source_fields(catalog, fields).join(equal, ["entity", "target_system", "source_norm"], "left")
+    else:
+        placed = _by_entity(fields)
+        sources = _source_fields(catalog, placed)
+        best = _best_targets(placed, similar_names_of(fields, threshold, store))
+        # Hashes lead the keys: rows are sorted by their first eight bytes, which names of entities mostly share.
+        lead = lambda *of: F.xxhash64("entity", "target_system", *of)
+        details = _target_names(placed).select("entity", "target_system", "target", _name_key("target_norm"), F.col("target.field_ord").alias("best_ord"))
+        by_name, by_place = ["lead", "entity", "target_system", "source_norm"], ["lead", "entity", "target_system", "best_ord", "name_key"]
+        found = sources.withColumn("lead", lead("source_norm")).join(best.withColumn("lead", lead("source_norm")), by_name, "left").drop("lead")
+        compared = found.withColumn("lead", lead("best_ord", "name_key")).join(details.withColumn("lead", lead("best_ord", "name_key")), by_place, "left")
     matched = F.col("target").isNotNull()
     return compared.select(
         *PAIR,
@@ -126,23 +133,45 @@ def compare_fields(
     )
 
 
+def _by_entity(rows: DataFrame) -> DataFrame:
+    """Rows dealt by entity: what follows, up to the compared fields, is keyed by entity and more, and moves no row again.
+
+    Joins may then use that distribution although they have more keys, which Spark's setting rules out by default.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # Fields become many times as many rows where they are compared, so partitions are not merged by their size in bytes.
+    return rows.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "entity")
+
+
+def _name_key(norm: str):
+    return F.xxhash64(norm).alias("name_key")
+
+
 def similar_names_of(fields: DataFrame, threshold: float, store: Callable) -> DataFrame:
-    """The dictionary: pairs of different names of the whole catalog that reach ``threshold``, each scored once."""
+    """The dictionary: pairs of names of the whole catalog that reach ``threshold``, each scored once; equal names have 1."""
     names = fields.select("norm").distinct()
-    pairs = candidate_pairs(names.withColumnRenamed("norm", "source_norm"), names.withColumnRenamed("norm", "target_norm"), threshold, [])
-    return store(score_pairs(pairs, threshold), "similar_names")
+    sources, targets = names.withColumnRenamed("norm", "source_norm"), names.withColumnRenamed("norm", "target_norm")
+    different = score_pairs(candidate_pairs(sources, targets, threshold, []), threshold).select("source_norm", "target_norm", "score")
+    equal = names.select(F.col("norm").alias("source_norm"), F.col("norm").alias("target_norm"), F.lit(1.0).alias("score"))
+    return store(different.unionByName(equal), "similar_names")
 
 
-def _with_similar(equal: DataFrame, targets: DataFrame, scored: DataFrame) -> DataFrame:
+def _best_targets(fields: DataFrame, scored: DataFrame) -> DataFrame:
     """The best target of every name that an entity's target system has, or has one similar to: an equal name wins.
 
     It depends on the source's name and the target system alone, so it is looked for once per name and not once per
-    source system. Of equal scores the earliest field is taken.
+    source system. Of equal scores the earliest field is taken: score and place are one number, so that the aggregation
+    keeps numbers only and needs no sorting. The target is named by its place and a hash of its name.
     """
-    similar = targets.join(scored, "target_norm").select(*equal.columns)
-    rank = F.struct(F.col("score"), -F.col("target.field_ord"))
-    best = equal.unionByName(similar).groupBy("entity", "target_system", "source_norm").agg(F.max_by(F.struct("target", "score"), rank).alias("best"))
-    return best.select("entity", "target_system", "source_norm", "best.target", "best.score")
+    key = ["entity", F.col("system").alias("target_system")]
+    first = fields.groupBy(*key, F.col("norm").alias("target_norm")).agg(F.min("field_ord").alias("ord"))
+    steps = F.floor(F.col("score") * F.lit(float(1 << 53))).cast("decimal(17,0)") * F.lit(1 << 62).cast("decimal(19,0)")
+    ranked = scored.select("source_norm", "target_norm", "score", steps.alias("steps"), _name_key("target_norm"))
+    met = first.join(ranked, "target_norm").withColumn("rank", F.col("steps") - F.col("ord").cast("decimal(19,0)"))
+    return met.groupBy("entity", "target_system", "source_norm").agg(
+        F.max("score").alias("score"), F.max_by("ord", "rank").alias("best_ord"), F.max_by("name_key", "rank").alias("name_key")
+    )
 
 
 def field_matches(compared: DataFrame) -> DataFrame:
@@ -165,12 +194,11 @@ def missing_in_source(catalog: DataFrame, compared: DataFrame) -> DataFrame:
         "entity", F.col("system").alias("source_system"), F.col("system_ord").alias("source_ord")
     )
     wanted = (
-        unique_fields(catalog)
-        .select("entity", F.col("system").alias("target_system"), "system_ord", "field", "field_ord")
+        _by_entity(unique_fields(catalog).select("entity", F.col("system").alias("target_system"), "system_ord", "field", "field_ord"))
         .join(earlier, "entity")
         .filter(F.col("source_ord") < F.col("system_ord"))
     )
-    taken = field_matches(compared).select(*PAIR, F.col("target_field").alias("field"))
+    taken = _by_entity(field_matches(compared).select(*PAIR, F.col("target_field").alias("field")))
     return wanted.join(taken, [*PAIR, "field"], "left_anti").select(*PAIR, "field", "field_ord")
 
 
@@ -216,12 +244,11 @@ def key_mismatches(compared: DataFrame) -> DataFrame:
 
     Sets are compared by counting in how many names one side alone occurs.
     """
-    matches = field_matches(compared)
+    side = lambda name, s: F.struct(F.col(name).alias("name"), F.lit(s).alias("s"), F.lit(1 - s).alias("t"))
     names = (
-        matches.select(*PAIR, "source_ord", "target_ord", F.col("source_field").alias("name"), F.lit(1).alias("s"), F.lit(0).alias("t"))
-        .unionByName(
-            matches.select(*PAIR, "source_ord", "target_ord", F.col("target_field").alias("name"), F.lit(0).alias("s"), F.lit(1).alias("t"))
-        )
+        field_matches(compared)
+        .filter(looks_like_id(F.col("source_field")) | looks_like_id(F.col("target_field")))
+        .select(*PAIR, "source_ord", "target_ord", F.inline(F.array(side("source_field", 1), side("target_field", 0))))
         .filter(looks_like_id(F.col("name")))
         .groupBy(*PAIR, "source_ord", "target_ord", "name")
         .agg(F.max("s").alias("s"), F.max("t").alias("t"))

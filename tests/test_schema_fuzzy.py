@@ -177,3 +177,19 @@ def test_short_names_with_one_beginning_do_not_all_meet(spark):
     df = spark.createDataFrame([("e", n) for n in names], "entity string, n string")
     met = similar_names.met_pairs(df.withColumnRenamed("n", "source_norm"), df.withColumnRenamed("n", "target_norm"), 0.8, ["entity"])
     assert met.filter("source_norm <> target_norm").count() == 0
+
+
+def test_fields_are_dealt_by_entity_once(spark):
+    """No row moves again by entity and target system, which made ten rows of a field in the shuffle."""
+    import re
+
+    from plumbline.operators import schema_fuzzy
+    from plumbline.sources.folders import stored
+
+    rows = [(f"s{s}", s, f"e{e}", f"some_field{f}", f, "int", True, f == 0) for s in range(4) for e in range(3000) for f in range(4) if (s + e + f) % 3]
+    kinds = "system string, system_ord long, entity string, field string, field_ord int, type string, nullable boolean, pk boolean"
+    fields = stored(spark.createDataFrame(rows, kinds), "fields")
+    names = schema_fuzzy.compare_fields(fields, 0.8, stored)
+    joined = [line for line in names._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert joined and not [line for line in joined if re.search(r"hashpartitioning\([^)]*target_system", line)]
+    assert names.count() == sum(1 for a in rows for s in range(a[1] + 1, 4))
