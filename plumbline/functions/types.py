@@ -38,7 +38,7 @@ SAME_TYPE, SAME_GROUP, UNKNOWN_TYPE, OTHER_TYPE = 1.0, 0.9, 0.5, 0.2
 
 def _stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\v\f\r"))
 
 
 def type_base(declared: Column) -> Column:
@@ -85,10 +85,9 @@ def type_key(declared: Column) -> Column:
 def type_group(declared: Column) -> Column:
     """What two types must share to score 0.9 at least: the group's first name, or the type itself; null for an empty type."""
     key = type_key(declared)
-    group = key
-    for names in TYPE_GROUPS:
-        group = F.when(key.isin(*names), F.lit(names[0])).otherwise(group)
-    return group
+    first = F.create_map(*[F.lit(x) for names in TYPE_GROUPS for name in names for x in (name, names[0])])
+    # One look-up: a branch per group would work the key out again in each.
+    return F.coalesce(F.element_at(first, key), key)
 
 
 def types_equivalent(source: Column, target: Column) -> Column:

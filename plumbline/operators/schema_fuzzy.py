@@ -23,12 +23,23 @@ PAIR = ["entity", "source_system", "target_system"]
 
 def unique_fields(catalog: DataFrame) -> DataFrame:
     """One row per field name: the first position, the last definition."""
+    return led_fields(catalog).drop("lead")
+
+
+def led_fields(catalog: DataFrame) -> DataFrame:
+    """The unique fields with ``lead``, a hash of entity and field.
+
+    Rows are sorted by the first eight bytes of their first key, which names of entities mostly share; the hash goes before.
+    On a catalog dealt by entity they come out sorted by lead, entity, field and system_ord, for windows and joins on these.
+    """
     definition = F.struct("type", "nullable", "pk")
+    key = ["lead", "entity", "field", "system_ord", "system"]
     return (
         catalog.filter(F.col("field").isNotNull())
-        .groupBy("system", "system_ord", "entity", "field")
+        .withColumn("lead", F.xxhash64("entity", "field"))
+        .groupBy(*key)
         .agg(F.min("field_ord").alias("field_ord"), F.max_by(definition, "field_ord").alias("d"))
-        .select("system", "system_ord", "entity", "field", "field_ord", "d.type", "d.nullable", "d.pk")
+        .select("system", "system_ord", "entity", "field", "field_ord", "d.type", "d.nullable", "d.pk", "lead")
     )
 
 
@@ -104,7 +115,7 @@ def compare_fields(
         equal = _target_names(fields).withColumnRenamed("target_norm", "source_norm").withColumn("score", F.lit(1.0))
         compared = _source_fields(catalog, fields).join(equal, ["entity", "target_system", "source_norm"], "left")
     else:
-        placed = _by_entity(fields)
+        placed = by_entity(fields)
         sources = _source_fields(catalog, placed)
         best = _best_targets(placed, similar_names_of(fields, threshold, store))
         # Hashes lead the keys: rows are sorted by their first eight bytes, which names of entities mostly share.
@@ -133,7 +144,7 @@ def compare_fields(
     )
 
 
-def _by_entity(rows: DataFrame) -> DataFrame:
+def by_entity(rows: DataFrame) -> DataFrame:
     """Rows dealt by entity: what follows, up to the compared fields, is keyed by entity and more, and moves no row again.
 
     Joins may then use that distribution although they have more keys, which Spark's setting rules out by default.
@@ -194,11 +205,11 @@ def missing_in_source(catalog: DataFrame, compared: DataFrame) -> DataFrame:
         "entity", F.col("system").alias("source_system"), F.col("system_ord").alias("source_ord")
     )
     wanted = (
-        _by_entity(unique_fields(catalog).select("entity", F.col("system").alias("target_system"), "system_ord", "field", "field_ord"))
+        by_entity(unique_fields(catalog).select("entity", F.col("system").alias("target_system"), "system_ord", "field", "field_ord"))
         .join(earlier, "entity")
         .filter(F.col("source_ord") < F.col("system_ord"))
     )
-    taken = _by_entity(field_matches(compared).select(*PAIR, F.col("target_field").alias("field")))
+    taken = by_entity(field_matches(compared).select(*PAIR, F.col("target_field").alias("field")))
     return wanted.join(taken, [*PAIR, "field"], "left_anti").select(*PAIR, "field", "field_ord")
 
 

@@ -3,7 +3,9 @@ import random
 import pytest
 from conftest import CATALOG
 
-from plumbline.functions.types import TYPE_GROUPS
+from pyspark.sql import functions as F
+
+from plumbline.functions.types import TYPE_GROUPS, type_group
 from plumbline.operators import schema_exact as se
 
 PAIR = {
@@ -122,3 +124,25 @@ def test_differing_types_are_the_pairs_of_other_groups(many_systems):
     }
     found = [(r.entity, r.field_name, r.source_system, r.target_system) for r in se.type_mismatch_findings(table).collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+def moved_by_key(frame):
+    """Exchanges of the plan that deal rows by a key; those written again in full, not read as reused ones."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_differing_types_move_rows_once(many_systems):
+    table = many_systems[1]
+    table.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert moved_by_key(se.type_mismatch_findings(table)) == 1
+    finally:
+        table.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_group_of_a_type_works_the_key_out_once(spark):
+    kinds = [" VARCHAR\t", "Numeric ", "blob", "", None, " ", "bit", "varchar(3)"]
+    frame = spark.createDataFrame([(k,) for k in kinds], "type string").select(type_group(F.col("type")).alias("g"))
+    assert [r.g for r in frame.collect()] == ["varchar", "float", "blob", None, None, "", "bool", "varchar(3)"]
+    assert frame._jdf.queryExecution().analyzed().toString().count("lower(") <= 2
