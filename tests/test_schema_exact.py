@@ -132,13 +132,19 @@ def moved_by_key(frame):
     return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines())
 
 
-def test_differing_types_move_rows_once(many_systems):
-    table = many_systems[1]
-    table.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        assert moved_by_key(se.type_mismatch_findings(table)) == 1
-    finally:
-        table.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+@pytest.fixture
+def fixed_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_differing_types_move_rows_once(many_systems, fixed_plans):
+    assert moved_by_key(se.type_mismatch_findings(many_systems[1])) == 1
+
+
+def test_missing_fields_move_fields_once_and_systems_once(many_systems, fixed_plans):
+    assert moved_by_key(se.missing_field_findings(many_systems[1])) == 2
 
 
 def test_group_of_a_type_works_the_key_out_once(spark):
