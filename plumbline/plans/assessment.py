@@ -4,6 +4,8 @@ Every input carries ``run_id``; a single run is a portfolio of size one. Finding
 several results read are written once (``stored``) and read back.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,13 @@ def schema_findings(catalog: DataFrame, threshold: float | None = schema_fuzzy.T
     return found.withColumn("input_ord", position)
 
 
-def exact_findings(catalog: DataFrame) -> DataFrame:
-    """Findings of the exact-name comparison of each run, in the same layout."""
-    found = _unkeyed(schema_exact.findings(stored(_keyed(catalog), "run_catalog")))
-    return found.select(
+def exact_findings(catalog: DataFrame, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """Findings of the exact-name comparison of each run, in the same layout.
+
+    What is stored are the bare findings; their texts, several times as many bytes, are filled in where they are read.
+    """
+    bare = store(schema_exact.bare_findings(store(_keyed(catalog), "run_catalog")), "exact_findings")
+    return _unkeyed(schema_exact.described(bare)).select(
         "run_id",
         F.col("entity").alias("entity_name"),
         "source_system",
@@ -111,7 +116,7 @@ def assess_exact(runs: DataFrame, catalog: DataFrame, scenarios: DataFrame | Non
 
     Returns ``findings``, ``scores``, ``plan``, ``effort`` and ``summary``.
     """
-    findings = stored(exact_findings(catalog), "exact_findings")
+    findings = exact_findings(catalog)
     scores = scoring.readiness_penalty(runs, findings)
     ordered = number_rows(findings, ["run_id"], "input_ord", name="finding_number", rows_per_bucket=HASH_BUCKET).drop("input_ord")
     items = remediation.plan_items(ordered.withColumnRenamed("finding_number", "input_ord"))
@@ -121,6 +126,7 @@ def assess_exact(runs: DataFrame, catalog: DataFrame, scenarios: DataFrame | Non
         "findings": findings,
         "scores": scores,
         "plan": remediation.remediation_plan(items),
-        "effort": remediation.remediation_effort(items, runs),
+        # Totals need no numbers, so findings are not sorted for them.
+        "effort": remediation.remediation_effort(remediation.plan_items(findings), runs),
         "summary": remediation.executive_summary_penalty(scores, counts, scenarios),
     }

@@ -756,8 +756,9 @@ def top_issues(spark, d):
 
 
 def _portfolio(spark, d):
-    runs_ = i.derive(spark, d, i.RUN_SYSTEMS).select("run_id").distinct()
-    return runs_, i.derive(spark, d, i.RUN_CATALOG), i.derive(spark, d, i.RUN_SYSTEMS)
+    fields = i.catalog(spark, d)
+    systems = spark.sql(i.RUN_SYSTEMS, catalog=fields)
+    return systems.select("run_id").distinct(), spark.sql(i.RUN_CATALOG, catalog=fields), systems
 
 
 @query

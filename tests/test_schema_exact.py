@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.types import TYPE_GROUPS, type_group
 from plumbline.operators import schema_exact as se
+from plumbline.plans import assessment
 
 PAIR = {
     "salesforce": {"Account": ["Id varchar*", "Name varchar", "Email varchar", "Phone varchar"]},
@@ -152,3 +153,20 @@ def test_group_of_a_type_works_the_key_out_once(spark):
     frame = spark.createDataFrame([(k,) for k in kinds], "type string").select(type_group(F.col("type")).alias("g"))
     assert [r.g for r in frame.collect()] == ["varchar", "float", "blob", None, None, "", "bool", "varchar(3)"]
     assert frame._jdf.queryExecution().analyzed().toString().count("lower(") <= 2
+
+
+def test_assessment_stores_findings_without_texts_and_sorts_none_for_its_totals(spark, many_systems, monkeypatch):
+    stored = {}
+
+    def store(frame, label):
+        stored[label] = frame.columns
+        return frame.localCheckpoint()
+
+    monkeypatch.setattr(assessment.exact_findings, "__defaults__", (store,))
+    runs = spark.createDataFrame([(1,), (2,)], "run_id long")
+    result = assessment.assess_exact(runs, many_systems[1].withColumn("run_id", F.lit(1).cast("long")))
+    assert stored["exact_findings"] == se.BARE and "impact_description" in result["findings"].columns
+    assert "Window" not in result["effort"]._jdf.queryExecution().optimizedPlan().toString()
+    numbers = result["plan"].filter("run_id = 1").select("recommended_sequence").collect()
+    counted = {r.run_id: r.item_count for r in result["effort"].collect()}
+    assert sorted(r[0] for r in numbers) == list(range(1, counted[1] + 1)) and counted[2] == 0
