@@ -88,21 +88,34 @@ def tier_counts(tiers: DataFrame) -> DataFrame:
     return tiers.groupBy("run_id", "tier").agg(F.count(F.lit(1)).alias("topics"), F.count_if("cycle").alias("on_cycle"))
 
 
-def tiered_plan(items: DataFrame, tiers: DataFrame, needs: DataFrame, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+def tiered_plan(items: DataFrame, tiers: DataFrame, needs: DataFrame, item_id: Callable[..., Column] | None = None) -> DataFrame:
     """Items numbered per run by tier, then severity, priority, kind and input order, with their prerequisites.
 
     The prerequisites of an item are the last items, in this order, of the topics that its own topic needs: when they are
     done, these topics are. A topic that needs a cycle, or stands on it, names only prerequisites that have a tier.
+
+    Items of a topic share its tier, so its last item is known before any are numbered, and lists of prerequisites come to
+    the items with the tiers. ``item_id`` makes the id of ``run_id``, ``kind_ord`` and ``input_ord`` (such as that of
+    ``remediation``); ids are then worked out at the end, and no row carries them. Without it, ``items`` has them.
     """
-    tier = F.coalesce("tier", F.lit(NO_TIER))
-    classes = [tier, -choose(F.col("severity"), SEVERITY_WEIGHTS, 3), -F.col("priority"), F.col("kind_ord")]
-    placed = items.join(tiers.select(*NODE, "tier", "cycle"), NODE)
-    numbered = store(number_rows(placed, ["run_id"], "input_ord", classes, "recommended_sequence"), "numbered")
-    last = numbered.filter("tier IS NOT NULL").groupBy(*NODE).agg(F.max_by("item_id", "recommended_sequence").alias("item"))
-    first = needs.filter("topic <> needs").join(last.withColumnRenamed("topic", "needs"), ["run_id", "needs"])
-    lists = first.groupBy(*NODE).agg(F.array_sort(F.collect_set("item")).alias("prerequisites"))
+    order = [-choose(F.col("severity"), SEVERITY_WEIGHTS, 3), -F.col("priority"), F.col("kind_ord")]
+    carried = [] if item_id is not None else ["item_id"]
+    place = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], "input_ord", "kind_ord", *carried)
+    last = items.groupBy(*NODE).agg(F.max(place).alias("last"))
+    sound = tiers.filter("tier IS NOT NULL").select(*NODE)
+    ends = last.join(sound, NODE, "left_semi").withColumnRenamed("topic", "needs").select("run_id", "needs", "last.kind_ord", "last.input_ord", *[f"last.{c}" for c in carried])
+    own = F.struct("kind_ord", "input_ord") if item_id is not None else F.col("item_id")
+    first = needs.filter("topic <> needs").join(ends, ["run_id", "needs"]).withColumn("own", own)
+    lists = first.groupBy(*NODE).agg(F.collect_set("own").alias("first"))
+    topics = tiers.select(*NODE, "tier", "cycle").join(lists, NODE, "left")
+    classes = [F.coalesce("tier", F.lit(NO_TIER)), *order]
+    numbered = number_rows(items.join(topics, NODE), ["run_id"], "input_ord", classes, "recommended_sequence")
+    ids = F.col("first")
+    if item_id is not None:
+        numbered = numbered.withColumn("item_id", item_id(F.col("run_id"), F.col("kind_ord"), F.col("input_ord")))
+        ids = F.transform("first", lambda x: item_id(F.col("run_id"), x["kind_ord"], x["input_ord"]))
     none = F.array().cast("array<string>")
-    return numbered.join(lists, NODE, "left").withColumn("prerequisites", F.coalesce("prerequisites", none))
+    return numbered.withColumn("prerequisites", F.array_sort(F.coalesce(ids, none))).drop("first")
 
 
 def open_prerequisites(plan: DataFrame) -> DataFrame:

@@ -697,9 +697,10 @@ def plan_tiers(spark, d):
 @query
 def tiered_plan(spark, d):
     t = _finding_tables(spark, d, stored)
-    items, needs = stored(remediation.plan_items(*_issues(t)), "items"), _needs(spark, d, t["gaps"])
+    columns = ["run_id", "kind_ord", "input_ord", "title", "severity", "priority", "topic"]
+    items, needs = stored(remediation.plan_items(*_issues(t)).select(columns), "items"), _needs(spark, d, t["gaps"])
     tiers = stored(dependencies.topic_tiers(items.select("run_id", "topic").distinct(), needs), "tiers")
-    return dependencies.tiered_plan(items, tiers, needs).select(
+    return dependencies.tiered_plan(items, tiers, needs, remediation.item_id).select(
         "run_id", "recommended_sequence", "title", "topic", F.coalesce("tier", F.lit(-1)).alias("tier"), "item_id", F.array_join("prerequisites", ",").alias("prerequisites")
     )
 

@@ -89,3 +89,15 @@ def test_items_name_their_findings(plan):
 def test_chain_takes_the_longest_item_of_every_tier(plan):
     rows = {r.run_id: (r.tiers, r.min_days, r.max_days) for r in dep.critical_chain(plan).collect()}
     assert rows == {1: (3, 5 + 21 + 21, 21 + 90 + 90), 2: (1, 0, 1)}
+
+
+def test_ids_worked_out_at_the_end_are_those_carried(spark, plan):
+    items = plan.drop("item_id", "tier", "cycle", "recommended_sequence", "prerequisites")
+    tiers = plan.select("run_id", "topic", "tier", "cycle").distinct()
+    edges = [("entity:Order", "entity:Customer"), ("entity:Line", "entity:Order"), ("gap:semantic_layer", "gap:etl_pipeline")]
+    needs = spark.createDataFrame([(1, a, b) for a, b in edges], "run_id long, topic string, needs string")
+    late = dep.tiered_plan(items, tiers, needs, remediation.item_id)
+    columns = ["run_id", "recommended_sequence", "title", "item_id", "tier", "prerequisites"]
+    assert sorted(late.select(columns).collect()) == sorted(plan.select(columns).collect())
+    moved = [line for line in late._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert not any("sha2" in line for line in moved)

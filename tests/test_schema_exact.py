@@ -170,3 +170,11 @@ def test_assessment_stores_findings_without_texts_and_sorts_none_for_its_totals(
     numbers = result["plan"].filter("run_id = 1").select("recommended_sequence").collect()
     counted = {r.run_id: r.item_count for r in result["effort"].collect()}
     assert sorted(r[0] for r in numbers) == list(range(1, counted[1] + 1)) and counted[2] == 0
+
+
+def test_analysis_deals_its_scope_by_entity_once_per_kind(spark, many_systems, fixed_plans):
+    systems = spark.createDataFrame([(f"s{n:02d}", "connected") for n in range(70)], "name string, status string")
+    wanted = spark.createDataFrame([("e",), ("f",)], "entity string")
+    # Fields of both kinds, systems of words and sizes; what selects the scope is small and may be dealt or not.
+    found = se.analyze_schemas(many_systems[1], systems, wanted)["inconsistencies"]
+    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(entity") <= 4
