@@ -142,3 +142,16 @@ def test_progress_expires_however_the_stream_is_cut(spark):
         found = update_available(stateful.latest_progress(stream, 86400), "progress", ["run_id"]).filter("NOT expired")
         got = {tuple(r) for r in found.select("run_id", "version_ord", "changed_at", "status").collect()}
         assert got == want and {r[0] for r in got} >= {900, 902} and 901 not in {r[0] for r in got}
+
+
+def test_progress_of_runs_that_share_a_bucket(spark):
+    """Far more runs than buckets: entries of a list expire one by one, and calls to the state store follow the buckets."""
+    rows = [(run, run % 7, T0 + timedelta(minutes=run), "running", None) for run in range(3000)]
+    later = [(run, 9, T0 + timedelta(minutes=run + 1000), "failed", "x") for run in range(0, 3000, 5)]
+    for cut in ([rows + later], [rows, later], [later[::2], rows[::-1], later[1::2]]):
+        frame, stream = written(spark, cut, CHANGES)
+        want = {tuple(r) for r in runs.latest_progress(frame, ttl_seconds=86400).select("run_id", "version_ord", "changed_at", "status").collect()}
+        found = update_available(stateful.latest_progress(stream, 86400, buckets=3), "progress", ["run_id"])
+        got = {tuple(r) for r in found.filter("NOT expired").select("run_id", "version_ord", "changed_at", "status").collect()}
+        assert got == want and 0 < len(got) < 3000
+        assert found.count() == 3000
