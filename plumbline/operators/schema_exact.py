@@ -12,10 +12,9 @@ from plumbline.functions.types import (
     UNKNOWN_TYPE,
     type_group,
     type_key,
-    type_similarity,
 )
 from plumbline.operators.predicates import active, requested_entities
-from plumbline.operators.schema_fuzzy import by_entity, entity_systems, led_fields, unique_fields
+from plumbline.operators.schema_fuzzy import by_entity, entity_systems, led_fields
 
 PAIR = ["entity", "source_system", "target_system"]
 WORD = 64  # systems of one word of a presence bitmap
@@ -25,22 +24,19 @@ def _named(catalog: DataFrame) -> DataFrame:
     return catalog.filter(F.col("field") != "")
 
 
-def _named_fields(catalog: DataFrame) -> DataFrame:
-    return unique_fields(_named(catalog))
-
-
 def canonical_schema(catalog: DataFrame) -> DataFrame:
     """Union of an entity's fields; type and key come from the first system that has it.
 
     A canonical field is nullable when some system of the entity lacks it.
     """
-    systems = entity_systems(catalog).groupBy("entity").agg(F.count(F.lit(1)).alias("system_count"))
+    dealt = by_entity(catalog)
+    systems = entity_systems(dealt).groupBy("entity").agg(F.count(F.lit(1)).alias("system_count"))
     first = F.struct(F.coalesce(F.col("type"), F.lit("unknown")).alias("type"), F.coalesce(F.col("pk"), F.lit(False)).alias("pk"))
     return (
-        _named_fields(catalog)
-        .groupBy("entity", "field")
+        led_fields(_named(dealt))
+        .groupBy("lead", "entity", "field")
         .agg(F.count(F.lit(1)).alias("present_in"), F.min_by(first, "system_ord").alias("d"))
-        .join(systems, "entity")
+        .join(systems.hint("shuffle_hash"), "entity")
         .select(
             "entity",
             "field",
@@ -54,30 +50,29 @@ def canonical_schema(catalog: DataFrame) -> DataFrame:
 def field_mapping(catalog: DataFrame) -> DataFrame:
     """Every field of the earlier system against each later system of the entity.
 
-    Fields that only the later system has are left out.
+    Fields that only the later system has are left out. Keys and groups of types are worked out once a field, not once a pair.
     """
-    fields = _named_fields(catalog)
-    later = entity_systems(catalog).select(
-        "entity", F.col("system").alias("target_system"), F.col("system_ord").alias("target_ord")
-    )
+    dealt = by_entity(catalog)
+    fields = led_fields(_named(dealt)).withColumns({"t": type_key(F.col("type")), "g": type_group(F.col("type"))})
+    later = entity_systems(dealt).select("entity", F.col("system").alias("target_system"), F.col("system_ord").alias("target_ord"))
     source = fields.select(
-        "entity", F.col("system").alias("source_system"), F.col("system_ord").alias("source_ord"), "field", F.col("type").alias("source_type")
-    )
-    target = fields.select(
-        "entity", F.col("system").alias("target_system"), "field", F.coalesce(F.col("type"), F.lit("")).alias("target_type")
+        "lead", "entity", F.col("system").alias("source_system"), F.col("system_ord").alias("source_ord"), "field", F.col("t").alias("source_key"), F.col("g").alias("source_group")
     )
-    both = F.col("target_type").isNotNull()
-    score = F.when(both, type_similarity(F.col("source_type"), F.col("target_type"))).otherwise(F.lit(0.0))
+    target = fields.select("lead", "entity", F.col("system").alias("target_system"), "field", "t", "g", F.lit(True).alias("both"))
+    same_type, same_group = F.col("source_key") == F.col("t"), F.col("source_group") == F.col("g")
+    unknown = F.col("source_key").isNull() | F.col("t").isNull()
+    score = F.when(unknown, UNKNOWN_TYPE).when(same_type, SAME_TYPE).when(same_group, SAME_GROUP).otherwise(OTHER_TYPE)
     return (
-        source.join(later, "entity")
+        source.join(later.hint("shuffle_hash"), "entity")
         .filter(F.col("source_ord") < F.col("target_ord"))
-        .join(target, ["entity", "target_system", "field"], "left")
+        .join(target, ["lead", "entity", "target_system", "field"], "left")
+        .withColumn("similarity_score", F.when(F.col("both"), score).otherwise(F.lit(0.0)))
         .select(
             *PAIR,
             F.col("field").alias("source_field"),
-            F.when(both, F.col("field")).otherwise(F.lit("")).alias("target_field"),
-            score.alias("similarity_score"),
-            F.when(~both, "unmapped").when(score >= SAME_GROUP, "exact").otherwise("semantic").alias("mapping_type"),
+            F.when(F.col("both"), F.col("field")).otherwise(F.lit("")).alias("target_field"),
+            "similarity_score",
+            F.when(F.col("both").isNull(), "unmapped").when(F.col("similarity_score") >= SAME_GROUP, "exact").otherwise("semantic").alias("mapping_type"),
         )
     )
 
@@ -87,15 +82,18 @@ def consistency_score(catalog: DataFrame) -> DataFrame:
 
     Scores take five values, so they are counted and weighted; the mean is then the same for any order of rows. Pairs
     are counted and never made: each field counts the earlier systems that have it, that also know its type, whose type
-    is of its group, and whose type is its own. All four run over rows of one (entity, field), on one shuffle.
+    is of its group, and whose type is its own. Rows are dealt once, into more tasks than a merge by size would leave, and
+    come sorted for the first two.
     """
-    rows = _named_fields(catalog).select("entity", "field", "system_ord", type_group(F.col("type")).alias("g"), type_key(F.col("type")).alias("t"))
-    before = lambda *of: Window.partitionBy("entity", "field", *of).orderBy("system_ord").rangeBetween(Window.unboundedPreceding, -1)
+    dealt = by_entity(catalog)
+    rows = led_fields(_named(dealt)).select("lead", "entity", "field", "system_ord", type_group(F.col("type")).alias("g"), type_key(F.col("type")).alias("t"))
+    before = lambda *of: Window.partitionBy("lead", "entity", "field", *of).orderBy("system_ord").rangeBetween(Window.unboundedPreceding, -1)
     known = F.col("t").isNotNull()
-    pairs = rows.select(
+    found = rows.select("*", F.count(F.lit(1)).over(before()).alias("all"), F.when(known, F.count("t").over(before())).otherwise(F.lit(0)).alias("known"))
+    pairs = found.select(
         "entity",
-        F.count(F.lit(1)).over(before()).alias("all"),
-        F.when(known, F.count("t").over(before())).otherwise(F.lit(0)).alias("known"),
+        "all",
+        "known",
         F.when(known, F.count(F.lit(1)).over(before("g"))).otherwise(F.lit(0)).alias("group"),
         F.when(known, F.count(F.lit(1)).over(before("g", "t"))).otherwise(F.lit(0)).alias("same"),
     )
@@ -111,7 +109,7 @@ def consistency_score(catalog: DataFrame) -> DataFrame:
         total = total + count * F.lit(value)
     # Every field of a system is mapped to each later system of the entity.
     later = Window.partitionBy("entity").orderBy("system_ord").rangeBetween(1, Window.unboundedFollowing)
-    own = catalog.select("entity", "system", "system_ord", F.when(F.col("field") != "", F.col("field")).alias("field")).distinct()
+    own = dealt.select("entity", "system", "system_ord", F.when(F.col("field") != "", F.col("field")).alias("field")).distinct()
     sizes = own.groupBy("entity", "system", "system_ord").agg(F.count("field").alias("n")).withColumn("later", F.count(F.lit(1)).over(later))
     mappings = sizes.groupBy("entity").agg(F.sum(F.col("n") * F.col("later")).alias("mappings"))
     return mappings.join(counts, "entity", "left").select(

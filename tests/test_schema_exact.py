@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import CATALOG
@@ -172,9 +173,19 @@ def test_assessment_stores_findings_without_texts_and_sorts_none_for_its_totals(
     assert sorted(r[0] for r in numbers) == list(range(1, counted[1] + 1)) and counted[2] == 0
 
 
-def test_analysis_deals_its_scope_by_entity_once_per_kind(spark, many_systems, fixed_plans):
+def test_analysis_deals_its_scope_by_entity_alone(spark, many_systems, fixed_plans):
     systems = spark.createDataFrame([(f"s{n:02d}", "connected") for n in range(70)], "name string, status string")
     wanted = spark.createDataFrame([("e",), ("f",)], "entity string")
-    # Fields of both kinds, systems of words and sizes; what selects the scope is small and may be dealt or not.
     found = se.analyze_schemas(many_systems[1], systems, wanted)["inconsistencies"]
-    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(entity") <= 4
+    # No shuffle has more than one key (and its number of partitions): none deals rows by entity and field, or by system.
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert keys and all(len(k.split(", ")) == 2 for k in keys)
+
+
+def test_scores_mappings_and_schemas_deal_rows_once_per_side(many_systems, fixed_plans):
+    """Fields, systems and targets, into a number of tasks that is set: tasks merged by their bytes on disk held too many rows to sort."""
+    for build in (se.consistency_score, se.canonical_schema, se.field_mapping):
+        plan = build(many_systems[1])
+        assert moved_by_key(plan) <= 3
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("REPARTITION_BY_NUM") >= 2 and "ENSURE_REQUIREMENTS" not in text
