@@ -26,6 +26,7 @@ BOTTLENECK_PRIORITY = {"CRITICAL": 9, "HIGH": 7, "MEDIUM": 5, "LOW": 2}
 GAP_PRIORITY = {"CRITICAL": 10, "HIGH": 8, "MEDIUM": 6, "LOW": 3}
 
 CATEGORIES = ["schema", "pipeline", "middleware", "data_quality"]  # by kind_ord
+QUALITY_TOPIC = "quality"
 PARALLEL_DISCOUNT = 0.70
 
 
@@ -146,7 +147,7 @@ def quality_items(issues: DataFrame) -> DataFrame:
         severity=F.coalesce(F.col("severity"), F.lit("MEDIUM")),
         low=effort_min(F.lit("LOW")),
         high=effort_max(F.lit("LOW")),
-        topic=F.lit("quality"),
+        topic=F.lit(QUALITY_TOPIC),
     )
 
 
@@ -162,6 +163,20 @@ def plan_items(
     return reduce(DataFrame.unionByName, [build(df) for build, df in zip(builders, inputs) if df is not None])
 
 
+def plan_topics(
+    findings: DataFrame | None = None,
+    bottlenecks: DataFrame | None = None,
+    gaps: DataFrame | None = None,
+    quality_issues: DataFrame | None = None,
+) -> DataFrame:
+    """(run_id, topic) of all items; rows may repeat. Quality issues have one topic, so none is numbered for it."""
+    builders = [schema_items, bottleneck_items, gap_items]
+    parts = [build(df) for build, df in zip(builders, [findings, bottlenecks, gaps]) if df is not None]
+    if quality_issues is not None:
+        parts.append(quality_issues.withColumn("topic", F.lit(QUALITY_TOPIC)))
+    return reduce(DataFrame.unionByName, [part.select("run_id", "topic") for part in parts])
+
+
 def remediation_plan(items: DataFrame) -> DataFrame:
     """Items numbered per run: priority, then severity, then kind and input order."""
     return number_rows(

@@ -667,7 +667,8 @@ def readiness_three_part(spark, d):
 
 @query
 def remediation_plan(spark, d):
-    items = stored(remediation.plan_items(*_issues(_finding_tables(spark, d))), "items")
+    # The findings are written, not the items: those have two hashes each, of which the plan shows one.
+    items = remediation.plan_items(*_issues(_finding_tables(spark, d, stored)))
     return remediation.remediation_plan(items).select(
         "run_id",
         "recommended_sequence",
@@ -690,8 +691,7 @@ def _needs(spark, d, gaps):
 @query
 def plan_tiers(spark, d):
     t = _finding_tables(spark, d, stored)
-    topics = remediation.plan_items(*_issues(t)).select("run_id", "topic").distinct()
-    return dependencies.topic_tiers(topics, _needs(spark, d, t["gaps"])).na.fill({"tier": -1})
+    return dependencies.topic_tiers(remediation.plan_topics(*_issues(t)), _needs(spark, d, t["gaps"])).na.fill({"tier": -1})
 
 
 @query

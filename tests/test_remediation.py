@@ -109,3 +109,26 @@ def test_top_issues(spark):
 def test_gap_view_defaults(spark):
     df = spark.createDataFrame([(1, None, "rest_api", None, None, None, 3, None)], "run_id int, gap_id string, gap_type string, severity string, blocking boolean, description string, effort_min int, effort_max int")
     assert tuple(gap_view(df).first()) == (1, "unknown", "rest_api", "MEDIUM", False, "", 5, 20, "HTTP/REST interface for AI agent queries")
+
+
+def test_topics_are_those_of_the_items_and_number_nothing(spark):
+    of = inputs(spark)
+    topics = rem.plan_topics(*of)
+    assert {tuple(r) for r in topics.collect()} == {tuple(r) for r in rem.plan_items(*of).select("run_id", "topic").collect()}
+    assert "Join" not in topics._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_registered_plan_writes_no_items(spark, sf_dir, monkeypatch):
+    """Their hashes are most of their bytes, and the plan shows one of two."""
+    from plumbline.plans import queries
+
+    labels = []
+
+    def store(frame, label):
+        labels.append((label, frame.columns))
+        return frame
+
+    monkeypatch.setattr(queries, "stored", store)
+    columns = queries.remediation_plan(spark, sf_dir).columns
+    assert "related_gap_ids" in columns and labels
+    assert not any("item_id" in of or "related_gap_ids" in of for _, of in labels)
