@@ -26,7 +26,6 @@ BOTTLENECK_PRIORITY = {"CRITICAL": 9, "HIGH": 7, "MEDIUM": 5, "LOW": 2}
 GAP_PRIORITY = {"CRITICAL": 10, "HIGH": 8, "MEDIUM": 6, "LOW": 3}
 
 CATEGORIES = ["schema", "pipeline", "middleware", "data_quality"]  # by kind_ord
-QUALITY_TOPIC = "quality"
 PARALLEL_DISCOUNT = 0.70
 
 
@@ -39,6 +38,25 @@ def _related(df: DataFrame, kind: str, column: str = "finding_id") -> Column:
     return F.col(column) if column in df.columns else finding_id(F.col("run_id"), F.lit(kind), F.col("input_ord"))
 
 
+def _schema_topic() -> Column:
+    return entity_topic(_or_empty(F.col("entity_name")))
+
+
+def _pipeline_topic() -> Column:
+    return F.concat(F.lit("pipeline:"), _or_empty(F.col("system")))
+
+
+def _middleware_topic() -> Column:
+    return gap_topic(F.col("gap_type"))
+
+
+def _quality_topic() -> Column:
+    return F.lit("quality")
+
+
+TOPICS = [_schema_topic, _pipeline_topic, _middleware_topic, _quality_topic]  # by kind_ord
+
+
 def item_id(run_id: Column, kind_ord: Column, input_ord: Column) -> Column:
     """The id of an item: a hash of its run, category and place."""
     return finding_id(run_id, F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), kind_ord + 1), input_ord)
@@ -84,7 +102,7 @@ def schema_items(findings: DataFrame) -> DataFrame:
         low=effort_min(level),
         high=effort_max(level),
         related=F.array(_related(findings, "schema_finding")),
-        topic=entity_topic(_or_empty(F.col("entity_name"))),
+        topic=_schema_topic(),
     )
 
 
@@ -109,7 +127,7 @@ def bottleneck_items(bottlenecks: DataFrame) -> DataFrame:
         low=effort_min(F.lit("MEDIUM")),
         high=effort_max(F.lit("MEDIUM")),
         related=F.array(_related(bottlenecks, "bottleneck")),
-        topic=F.concat(F.lit("pipeline:"), _or_empty(F.col("system"))),
+        topic=_pipeline_topic(),
     )
 
 
@@ -128,7 +146,7 @@ def gap_items(gaps: DataFrame) -> DataFrame:
         low=F.col("effort_min"),
         high=F.col("effort_max"),
         related=F.array(_related(gaps, "gap", "gap_id")),
-        topic=gap_topic(F.col("gap_type")),
+        topic=_middleware_topic(),
     )
 
 
@@ -147,7 +165,7 @@ def quality_items(issues: DataFrame) -> DataFrame:
         severity=F.coalesce(F.col("severity"), F.lit("MEDIUM")),
         low=effort_min(F.lit("LOW")),
         high=effort_max(F.lit("LOW")),
-        topic=F.lit(QUALITY_TOPIC),
+        topic=_quality_topic(),
     )
 
 
@@ -169,12 +187,9 @@ def plan_topics(
     gaps: DataFrame | None = None,
     quality_issues: DataFrame | None = None,
 ) -> DataFrame:
-    """(run_id, topic) of all items; rows may repeat. Quality issues have one topic, so none is numbered for it."""
-    builders = [schema_items, bottleneck_items, gap_items]
-    parts = [build(df) for build, df in zip(builders, [findings, bottlenecks, gaps]) if df is not None]
-    if quality_issues is not None:
-        parts.append(quality_issues.withColumn("topic", F.lit(QUALITY_TOPIC)))
-    return reduce(DataFrame.unionByName, [part.select("run_id", "topic") for part in parts])
+    """(run_id, topic) of all items; rows may repeat. Of each input only the columns that name its topic are read."""
+    inputs = [findings, bottlenecks, gaps, quality_issues]
+    return reduce(DataFrame.unionByName, [df.select("run_id", topic().alias("topic")) for df, topic in zip(inputs, TOPICS) if df is not None])
 
 
 def remediation_plan(items: DataFrame) -> DataFrame:

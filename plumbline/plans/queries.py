@@ -690,8 +690,11 @@ def _needs(spark, d, gaps):
 
 @query
 def plan_tiers(spark, d):
-    t = _finding_tables(spark, d, stored)
-    return dependencies.topic_tiers(remediation.plan_topics(*_issues(t)), _needs(spark, d, t["gaps"])).na.fill({"tier": -1})
+    # Tables that are read once are not written, so that only what names a topic is worked out.
+    t = _finding_tables(spark, d, lambda df, label: stored(df, label) if label == "pipeline" else df)
+    gaps = stored(t["gaps"].select("run_id", "gap_type"), "gaps")
+    topics = remediation.plan_topics(t["findings"], t["bottlenecks"], gaps, t["quality"].filter("NOT passed"))
+    return dependencies.topic_tiers(topics, _needs(spark, d, gaps)).na.fill({"tier": -1})
 
 
 @query

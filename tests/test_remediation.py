@@ -115,7 +115,10 @@ def test_topics_are_those_of_the_items_and_number_nothing(spark):
     of = inputs(spark)
     topics = rem.plan_topics(*of)
     assert {tuple(r) for r in topics.collect()} == {tuple(r) for r in rem.plan_items(*of).select("run_id", "topic").collect()}
-    assert "Join" not in topics._jdf.queryExecution().optimizedPlan().toString()
+    plan = topics._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "severity" not in plan.split("LogicalRDD")[0]
+    findings, slow, gap, issues = of
+    assert rem.plan_topics(findings.select("run_id", "entity_name"), slow, gap.select("run_id", "gap_type"), issues.select("run_id")).count() == topics.count()
 
 
 def test_registered_plan_writes_no_items(spark, sf_dir, monkeypatch):
